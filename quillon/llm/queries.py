@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from quillon.llm.bpe import encoded
 from quillon.llm.common import table
 from quillon.llm.exact_dedup import duplicate_groups
 from quillon.llm.mixing import mixture
+from quillon.llm.token_store import stored_tokens
+from quillon.llm.webp import media
 
 MIX = {
     "weights": {"domain": {"dom0": 4, "dom1": 3, "dom2": 2, "dom3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}},
@@ -14,14 +17,37 @@ MIX = {
 }
 
 
+def tokenizer_path(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def tokenizer_text(name):
+    with open(tokenizer_path(name), encoding="utf-8") as file:
+        return file.read()
+
+
+def op2_token_store(spark, sf_dir):
+    return stored_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark, sf_dir):
+    return encoded(table(spark, sf_dir, "documents"), tokenizer_text("word_bpe_49k.json"))
+
+
 def op8_mixing(spark, sf_dir):
     return mixture(table(spark, sf_dir, "documents"), **MIX)
 
 
+def op10_webp(spark, sf_dir):
+    return media(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
