@@ -5,7 +5,10 @@ from __future__ import annotations
 from quillon.llm.bpe import encoded
 from quillon.llm.common import table
 from quillon.llm.exact_dedup import duplicate_groups
+from quillon.llm.html_text import main_text
+from quillon.llm.lm_score import lm_scores
 from quillon.llm.mixing import mixture
+from quillon.llm.quality import scored, train
 from quillon.llm.token_store import stored_tokens
 from quillon.llm.webp import media
 
@@ -32,10 +35,19 @@ def op2_token_store(spark, sf_dir):
     return stored_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_html_text(spark, sf_dir):
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_score(spark, sf_dir):
+    """The target is every document that labels call good."""
+    return lm_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1"))
+
+
 def op7_bpe(spark, sf_dir):
     return encoded(table(spark, sf_dir, "documents"), tokenizer_text("word_bpe_49k.json"))
 
@@ -44,6 +56,11 @@ def op8_mixing(spark, sf_dir):
     return mixture(table(spark, sf_dir, "documents"), **MIX)
 
 
+def op9_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_webp(spark, sf_dir):
     return media(table(spark, sf_dir, "documents"))
 
