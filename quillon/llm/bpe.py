@@ -55,12 +55,15 @@ class Halves(dict):
         if (value := self.old.get(key)) is None:
             value = self.make(key)
         if len(key) <= CACHE_LONGEST:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
+            self.put(key, value)
         return value
 
+    def put(self, key: str, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
 
 class WordBpe:
     """A byte-level BPE over words with an end-of-word suffix, as its tokenizer file describes it."""
@@ -81,7 +84,6 @@ class WordBpe:
         steps = file["pre_tokenizer"]["pretokenizers"]
         self.words = regex.compile(steps[0]["pattern"]["Regex"])
         self.chunks = Halves(self._chunk)
-        self.known = Halves(self._word)
 
     def normalize(self, text: str) -> str:
         """NFC, then lower case letter by letter (a final sigma is no exception)."""
@@ -118,15 +120,13 @@ class WordBpe:
                 heapq.heappush(heap, (m[0], h, ids[h], ids[i]))
         return [x for x in ids if x >= 0]
 
-    def _word(self, word: str) -> tuple[str, str, int]:
-        ids = self.word_ids(word)
-        return (" ".join(map(str, ids)), self.decode(ids), len(ids))
-
     def _chunk(self, chunk: str) -> tuple[str, str, int]:
         """(ids as text, their strings, how many) of a stretch without white space."""
-        found = [self.known[w] for w in self.words.findall(chunk)]
-        if len(found) == 1:
-            return found[0]
+        words = [chunk] if chunk.isalpha() else self.words.findall(chunk)
+        if words == [chunk]:
+            ids = self.word_ids(chunk)
+            return (" ".join(map(str, ids)), self.decode(ids), len(ids))
+        found = [self.chunks[w] for w in words]
         return (" ".join([f[0] for f in found]), " ".join([f[1] for f in found]), sum([f[2] for f in found]))
 
     def encode_text(self, text: str) -> list[tuple[str, str, int]]:
@@ -150,6 +150,18 @@ class WordBpe:
         return " ".join(self.strings[i] for i in ids if i in self.strings)
 
 
+_LOADED: dict[str, WordBpe] = {}
+
+
+def loaded(spec: str) -> WordBpe:
+    """One encoder per tokenizer file and worker, so that later tasks of the worker find its cache warm."""
+    key = hashlib.sha256(spec.encode()).hexdigest()
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = WordBpe(spec)
+    return _LOADED[key]
+
+
 def encoded(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256; with full also ids (text) and decoded.
 
@@ -160,7 +172,7 @@ def encoded(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str =
     extra = ", ids string, decoded string" if full else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(broadcast.value)
+        bpe = loaded(broadcast.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
