@@ -6,6 +6,7 @@ from quillon.llm.bpe import encoded
 from quillon.llm.common import table
 from quillon.llm.exact_dedup import duplicate_groups
 from quillon.llm.html_text import main_text
+from quillon.llm.jaccard_join import near_duplicates
 from quillon.llm.lm_score import lm_scores
 from quillon.llm.mixing import mixture
 from quillon.llm.quality import scored, train
@@ -39,6 +40,10 @@ def op3_html_text(spark, sf_dir):
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op4_jaccard_join(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return duplicate_groups(table(spark, sf_dir, "documents"))
 

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.bpe import Halves
+from quillon.llm.bpe import CACHE_LONGEST, Halves
 from quillon.llm.common import shared_dir, text_of
 
 MAGIC, VERSION = 0x51425031, 1
@@ -36,7 +36,7 @@ INDEX = "shard int, chunk int, doc_ids array<long>, lengths array<long>, n_token
 
 
 class Pieces:
-    """The ids of texts, as little-endian bytes; each piece is encoded once by the tokenizers library."""
+    """The ids of texts, as little-endian bytes; each stretch is encoded once by the tokenizers library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,29 +47,44 @@ class Pieces:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: What makes cutting at spaces unsafe: other white space, or white space beside white space or at an end.
         self.odd = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z" + "".join("|" + re.escape(s) for s in special))
-        self.model, self.cut = self.tokenizer.model, self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.chunks = Halves(self._chunk, CACHE_PIECES)
-        self.words = Halves(self._word, CACHE_PIECES)
+        self.marks = {m: self.whole(m) for m in ",.;:!?"}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-
     def _chunk(self, chunk: str) -> bytes:
-        words = self.words
-        return b"".join([words[w] for w, _ in self.cut(" " + chunk)])
-
-    def encode(self, text: str) -> bytes:
+        # A run of letters with one mark behind it is two words to the library, whatever they are.
+        if (mark := self.marks.get(chunk[-1:])) is not None and chunk[:-1].isalpha():
+            return self.chunks[chunk[:-1]] + mark
+        return self.whole(" " + chunk)
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encodes the words that these split texts bring up anew, in one call of the library."""
+        known, old = self.chunks, self.chunks.old
+        new = {c for t in texts for c in t if c not in known and len(c) <= CACHE_LONGEST}
+        new = {c[:-1] if c[-1:] in self.marks and c[:-1].isalpha() else c for c in new}
+        words = sorted(c for c in new if c not in known and c not in old)
+        for word, found in zip(words, self.tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False), strict=True):
+            known.put(word, array("I", found.ids).tobytes())
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Texts are cut at single spaces between two other characters, where the library's own cuts always lie."""
-        if not text or self.odd.search(text):
-            return self.whole(text)
-        first, _, rest = text.partition(" ")
-        if not rest:
-            return self.whole(text)
+        plain = {k: t.split(" ") for k, t in enumerate(texts) if t and not self.odd.search(t)}
+        self.learn([p[1:] for p in plain.values()])
         chunks = self.chunks
-        return self.whole(first) + b"".join([chunks[c] for c in rest.split(" ")])
+        return [self.whole(p[0]) + b"".join([chunks[c] for c in p[1:]]) if (p := plain.get(k)) else self.whole(t) for k, t in enumerate(texts)]
+
+
+_LOADED: dict[str, Pieces] = {}
+
+
+def loaded(path: str) -> Pieces:
+    """One encoder per tokenizer file and worker, so that later tasks of the worker find its cache warm."""
+    if path not in _LOADED:
+        _LOADED.clear()
+        _LOADED[path] = Pieces(path)
+    return _LOADED[path]
 
 
 def planes(ids: np.ndarray, bits: bool = True) -> list[bytes]:
@@ -137,7 +152,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         from pyspark import TaskContext
 
         shard, chunk = TaskContext.get().partitionId(), 0
-        pieces = Pieces(tokenizer_path)
+        pieces = loaded(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         ids, lengths, parts, held = [], [], [], 0
 
@@ -150,16 +165,18 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                raw = pieces.encode(text.as_py()) + end
-                ids.append(doc_id.as_py())
-                lengths.append(len(raw) // 4)
-                parts.append(raw)
-                held += len(raw) // 4
-                if held >= CHUNK_IDS:
-                    yield close()
-                    ids, lengths, parts, held = [], [], [], 0
-                    chunk += 1
+            for at in range(0, batch.num_rows, 200):
+                piece = batch.slice(at, 200)
+                for doc_id, encoded in zip(piece.column(0).to_pylist(), pieces.encode(piece.column(1).to_pylist()), strict=True):
+                    raw = encoded + end
+                    ids.append(doc_id)
+                    lengths.append(len(raw) // 4)
+                    parts.append(raw)
+                    held += len(raw) // 4
+                    if held >= CHUNK_IDS:
+                        yield close()
+                        ids, lengths, parts, held = [], [], [], 0
+                        chunk += 1
         if ids:
             yield close()
 
