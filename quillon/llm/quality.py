@@ -190,3 +190,19 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text_of("text").alias("text"))
     return slim.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that scored predicts to be of label 1."""
+    broadcast = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = broadcast.value
+        rows = model.reader()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            for at in range(0, batch.num_rows, 500):
+                x = np.stack([model.inputs(t.as_py() or "", rows) for t in texts.slice(at, 500)])
+                yield batch.slice(at, 500).filter(pa.array(model.scores(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

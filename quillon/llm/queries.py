@@ -10,6 +10,7 @@ from quillon.llm.jaccard_join import near_duplicates
 from quillon.llm.lm_score import lm_scores
 from quillon.llm.mixing import mixture
 from quillon.llm.quality import scored, train
+from quillon.llm.suffix_dedup import without_repeats
 from quillon.llm.token_store import stored_tokens
 from quillon.llm.webp import media
 
@@ -32,6 +33,10 @@ def tokenizer_text(name):
         return file.read()
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_token_store(spark, sf_dir):
     return stored_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
