@@ -43,7 +43,7 @@ def centroid(vectors: DataFrame, ids=None, weights: Sequence[float] | None = Non
     rows = chosen(vectors, ids)
     if weights is None:
         found = centroid_table(rows).first()
-        if found is None:
+        if not found["n"]:
             raise LookupError("no vectors")
         return list(found["centroid"])
     order = [r["id"] for r in rows.select("id").orderBy("id").limit(len(weights) + 1).collect()]
