@@ -5,10 +5,10 @@
    items that a sample finds frequent last, then goes by hash. Packed (item, class) pairs are shuffled by item, and
    classes that share an item of these prefixes are candidates: all pairs of a small group, and of a large one each member with the
    member that most large groups share.
-3. Candidates are joined by signature trees: the items that occur twice in a batch get a bit each; a leaf holds some sets, a node the OR of
-   the bitmaps below it and the range of their sizes; two trees are walked together, and a pair of nodes is left when the items that they
-   can share are too few for the smallest sets in it. What is left is compared exactly.
-4. Large groups that the links found so far don't join into one component are walked in full, by a tree over the whole group.
+3. Candidates are joined by signature trees over bitmaps of whole sets: a leaf holds some sets, a node the OR of the bitmaps below it and
+   the range of their sizes; two trees are walked together, and a pair of nodes is left when the items that they can share are too few for
+   the smallest sets in it. What is left is compared exactly, by whole sets.
+4. Large groups that the links found so far don't join into one component are walked in full, by trees over the whole group.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.bpe import Halves
 from quillon.llm.common import cut, shared_dir, text_of
 from quillon.llm.graph_components import components
 
@@ -33,24 +32,51 @@ PARTS, WHOLE = 75, 100
 #: Items frequent in a sample of about SAMPLE documents come last in the order; that bears on speed alone.
 SAMPLE, OFTEN, MOST_OFTEN = 8192, 8, 100_000
 #: Groups up to SMALL give all their pairs; larger ones are walked as a tree if their members aren't connected.
-SMALL = 24
+SMALL = 6
 #: Rows of a walked group that meet in one task; larger groups are walked chunk against chunk.
-CHUNK = 3000
+CHUNK = 4000
 BUCKET_ITEMS = 400_000
 LEAF, FAN = 8, 4
+SKETCH_BITS = (1024, 8192)
+BASE = 0x5851F42D4C957F2D
+WHITE_BYTE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def word_hashes() -> Halves:
-    return Halves(lambda word: xxhash.xxh3_64_intdigest(word))
+class Words:
+    """Hashes of all words of a text at once, from sums of powers modulo 2**64."""
 
+    def __init__(self) -> None:
+        self.up, self.down = powers(1 << 16)
 
-def shingles(text: str, hashes: Halves) -> np.ndarray:
+    def hashes(self, text: str) -> np.ndarray:
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)  # of bytes: A-Z only
+        inner = ~WHITE_BYTE[raw]
+        edges = np.flatnonzero(np.diff(inner, prepend=False, append=False))
+        start, end = edges[::2], edges[1::2]
+        if len(raw) > len(self.up):
+            self.up, self.down = powers(2 * len(raw))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.up[: len(raw)], out=sums[1:])
+        h = (sums[end] - sums[start]) * self.down[start]
+        h ^= h >> np.uint64(32)
+        h *= MIXERS[0]
+        h ^= h >> np.uint64(29)
+        return h * MIXERS[1]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2**64."""
+    up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 2**64), np.uint64)
+    up[:1] = down[:1] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def shingles(text: str, words: Words) -> np.ndarray:
     """The distinct 64-bit hashes of a text's shingles, ascending; empty for a text without words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z only, and \x20 \x09-\x0D only
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.array([hashes[w] for w in words], np.uint64)
+    h = words.hashes(text)
+    if not len(h):
+        return h
     if len(h) < WORDS:
         out = np.array([len(h)], np.uint64)
         for k in range(len(h)):
@@ -65,6 +91,22 @@ def shingles(text: str, hashes: Halves) -> np.ndarray:
     return np.unique(out)
 
 
+def sketch(items: np.ndarray) -> bytes:
+    """A bitmap of a set: each item's bit, of 1024 for small sets and 8192 for others; the small one is the large one folded."""
+    bits = SKETCH_BITS[0] if len(items) <= SKETCH_BITS[0] // 2 else SKETCH_BITS[1]
+    flags = np.zeros(bits, np.uint8)
+    flags[(items % np.uint64(bits)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def folded(bitmap: int, bits: int) -> int:
+    out = 0
+    while bitmap:
+        out |= bitmap & ((1 << bits) - 1)
+        bitmap >>= bits
+    return out
+
+
 def set_id(items: np.ndarray) -> int:
     """A class's 64-bit name; 0 is the empty set's alone."""
     return (xxhash.xxh3_64_intdigest(items.tobytes()) | 1) - 2**63 if len(items) else 0
@@ -84,14 +126,18 @@ def least_common(a: int, b: int) -> int:
 
 
 class Tree:
-    """A signature tree over sets given as (name, bitmap, size); the bits are items, and items without a bit are shared by none."""
+    """A signature tree over sets given as (name, bitmap, size).
+
+    A leaf holds some sets; a node has the OR of the bitmaps below it, the range of their sizes, and the most items that share a bit with
+    another item of their set (slack). Two sets share at most the bits that both have, and the lesser slack of the two.
+    """
 
     def __init__(self, sets: list[tuple[int, int, int]]):
-        self.sets = sorted(sets, key=lambda s: (s[2], s[1]))
-        level = [(self._or(part, 1), part[0][2], part[-1][2], part) for part in self._cut(self.sets, LEAF)]
+        leaves = sorted(((name, bits, n, n - bits.bit_count()) for name, bits, n in sets), key=lambda s: (s[2], s[1]))
+        level = [(*self._of([(s[1], s[2], s[2], s[3]) for s in part]), part) for part in self._cut(leaves, LEAF)]
         self.depth = 0
         while len(level) > 1:
-            level = [(self._or(part, 0), part[0][1], max(p[2] for p in part), part) for part in self._cut(level, FAN)]
+            level = [(*self._of(part), part) for part in self._cut(level, FAN)]
             self.depth += 1
         self.root = level[0] if level else None
 
@@ -100,11 +146,16 @@ class Tree:
         return [items[k : k + n] for k in range(0, len(items), n)]
 
     @staticmethod
-    def _or(items: list, at: int) -> int:
-        out = 0
+    def _of(items: list[tuple]) -> tuple[int, int, int, int]:
+        bits = 0
         for x in items:
-            out |= x[at]
-        return out
+            bits |= x[0]
+        return bits, min(x[1] for x in items), max(x[2] for x in items), max(x[3] for x in items)
+
+
+def apart(a: tuple[int, int, int, int], b: tuple[int, int, int, int]) -> bool:
+    """Whether no set under one node can link with one under the other: by sizes, or by the most items that they can share."""
+    return WHOLE * min(a[2], b[2]) < PARTS * max(a[1], b[1]) or (a[0] & b[0]).bit_count() + min(a[3], b[3]) < least_common(a[1], b[1])
 
 
 def walk(left: Tree, right: Tree) -> Iterator[tuple[int, int]]:
@@ -115,44 +166,44 @@ def walk(left: Tree, right: Tree) -> Iterator[tuple[int, int]]:
     same = left is right
     while todo:
         a, da, b, db = todo.pop()
-        if WHOLE * min(a[2], b[2]) < PARTS * max(a[1], b[1]) or (a[0] & b[0]).bit_count() < least_common(a[1], b[1]):
+        if apart(a, b):
             continue
         if da or db:
             if same and a is b:
-                parts = [(a[3][i], da - 1, a[3][j], da - 1) for i in range(len(a[3])) for j in range(i, len(a[3]))]
+                todo += [(a[4][i], da - 1, a[4][j], da - 1) for i in range(len(a[4])) for j in range(i, len(a[4]))]
             elif da >= db:
-                parts = [(x, da - 1, b, db) for x in a[3]]
+                todo += [(x, da - 1, b, db) for x in a[4]]
             else:
-                parts = [(a, da, x, db - 1) for x in b[3]]
-            todo += parts
+                todo += [(a, da, x, db - 1) for x in b[4]]
             continue
-        for i, (p, p_bits, p_n) in enumerate(a[3]):
-            for q, q_bits, q_n in b[3][i + 1 :] if same and a is b else b[3]:
-                common = (p_bits & q_bits).bit_count()
-                if common and links(common, p_n, q_n):
+        for i, (p, p_bits, p_n, p_slack) in enumerate(a[4]):
+            for q, q_bits, q_n, q_slack in b[4][i + 1 :] if same and a is b else b[4]:
+                if not apart((p_bits, p_n, p_n, p_slack), (q_bits, q_n, q_n, q_slack)):
                     yield p, q
 
 
-def bitmaps(sets: dict[int, np.ndarray]) -> dict[int, tuple[int, int, int]]:
-    """(name, bitmap, size) of each set, with a bit for each item that occurs in two of them."""
-    if not sets:
-        return {}
-    every = np.concatenate(list(sets.values()))
-    items, counts = np.unique(every, return_counts=True)
-    shared = items[counts > 1]
-    out = {}
-    for name, own in sets.items():
-        at = np.searchsorted(shared, own)
-        at = at[(at < len(shared)) & (shared[np.minimum(at, max(len(shared) - 1, 0))] == own)] if len(shared) else at[:0]
-        flags = np.zeros(len(shared), np.uint8)
-        flags[at] = 1
-        out[name] = (name, int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little"), len(own))
-    return out
+def candidates(left: list[tuple[int, bytes, int]], right: list[tuple[int, bytes, int]]) -> Iterator[tuple[int, int]]:
+    """The pairs of sets (name, sketch, size) that can link, by one tree for each width of sketch; left given twice compares it with itself."""
+    small = 8 * SKETCH_BITS[0] // 64
+    sides = []
+    for sets in (left,) if right is left else (left, right):
+        ints = [(name, int.from_bytes(bits, "little"), n, len(bits)) for name, bits, n in sets]
+        narrow = [(a, b, n) for a, b, n, size in ints if size <= small]
+        wide = [(a, b, n) for a, b, n, size in ints if size > small]
+        # only sets near the border of the widths meet those of the other width
+        edge = [(a, folded(b, SKETCH_BITS[0]), n) for a, b, n in wide if PARTS * n <= WHOLE * (SKETCH_BITS[0] // 2)]
+        sides.append((Tree(narrow), Tree(wide), Tree(edge)))
+    one, two = sides[0], sides[-1]
+    yield from walk(one[0], two[0])
+    yield from walk(one[1], two[1])
+    yield from walk(one[0], two[2])
+    if right is not left:
+        yield from walk(one[2], two[0])
 
 
 def _classes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
+        hashes = Words()
         for batch in batches:
             n, names = [], []
             for text in batch.column(1):
@@ -166,7 +217,7 @@ def _classes(docs: DataFrame) -> DataFrame:
 
 def _often(docs: DataFrame, total: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
+        hashes = Words()
         for batch in batches:
             parts = [shingles(t.as_py(), hashes) for t in batch.column(0)]
             if parts:
@@ -203,7 +254,7 @@ def _prefixes(docs: DataFrame, often: np.ndarray, buckets: int) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, often = word_hashes(), broadcast.value
+        hashes, often = Words(), broadcast.value
         items: list[np.ndarray] = []
         names: list[int] = []
         sizes: list[int] = []
@@ -269,61 +320,89 @@ def _groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInPandas(run, "kind long, a long, b long, n long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link, by trees over batches of candidates."""
+def _known(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, n, sketch, text) of wanted(class, doc_id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Words()
+        for batch in batches:
+            sets = [shingles(t.as_py(), hashes) for t in batch.column(1)]
+            mine = pa.array([set_id(s) == name for s, name in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())  # an id may have other texts
+            out = {"class": batch.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array([sketch(s) for s in sets], pa.binary()), "text": batch.column(1)}
+            yield pa.RecordBatch.from_pydict(out).filter(mine)
+
+    rows = docs.join(wanted, "doc_id").select("class", "text")
+    return rows.mapInArrow(run, "class long, n long, sketch binary, text string").dropDuplicates(["class"])
+
+
+def _possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their sketches don't rule out, by trees over batches of pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                piece = batch.slice(at, 200)
-                sets: dict[int, np.ndarray] = {}
-                for names, column in ((piece.column(0), piece.column(2)), (piece.column(1), piece.column(3))):
-                    for name, text in zip(names.to_pylist(), column, strict=True):
-                        if name not in sets:
-                            sets[name] = shingles(text.as_py(), hashes)
-                bits = bitmaps(sets)
-                left = Tree([bits[n] for n in sorted(set(piece.column(0).to_pylist()))])
-                right = Tree([bits[n] for n in sorted(set(piece.column(1).to_pylist()))])
-                found = sorted({(min(p), max(p)) for p in walk(left, right) if p[0] != p[1]})
+            for at in range(0, batch.num_rows, 500):
+                columns = [batch.column(k).slice(at, 500).to_pylist() for k in range(6)]
+                asked = set(zip(columns[0], columns[1], strict=True))
+                left = list({a: (a, s, n) for a, s, n in zip(columns[0], columns[2], columns[3], strict=True)}.values())
+                right = list({b: (b, s, n) for b, s, n in zip(columns[1], columns[4], columns[5], strict=True)}.values())
+                found = sorted(asked & set(candidates(left, right)))
                 yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
-    one, two = texts.select(F.col("class").alias("a"), F.col("text").alias("a_text")), texts.select(F.col("class").alias("b"), F.col("text").alias("b_text"))
+    one = known.select(F.col("class").alias("a"), F.col("sketch").alias("a_sketch"), F.col("n").alias("a_n"))
+    two = known.select(F.col("class").alias("b"), F.col("sketch").alias("b_sketch"), F.col("n").alias("b_n"))
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "a_sketch", "a_n", "b_sketch", "b_n")
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Words()
+        for batch in batches:
+            a_out, b_out = [], []
+            sets: dict[int, np.ndarray] = {}
+            for a, b, x, y in zip(*(batch.column(k) for k in range(4)), strict=True):
+                a, b = a.as_py(), b.as_py()
+                if len(sets) > 2000:
+                    sets.clear()
+                for name, text in ((a, x), (b, y)):
+                    if name not in sets:
+                        sets[name] = shingles(text.as_py(), hashes)
+                one, two = sets[a], sets[b]
+                both = np.concatenate([one, two])
+                both.sort()
+                if links(int((both[1:] == both[:-1]).sum()), len(one), len(two)):
+                    a_out.append(a)
+                    b_out.append(b)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+    one, two = known.select(F.col("class").alias("a"), F.col("text").alias("a_text")), known.select(F.col("class").alias("b"), F.col("text").alias("b_text"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "a_text", "b_text")
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    return joined.mapInArrow(run, "a long, b long")
 
 
-def _walked(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between members of one group and different components: members(item, class, comp, n_members)."""
+def _walked(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Possible links (a, b) between members of one group and different components: members(item, class, comp, n_members)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = word_hashes()
         comp = dict(zip(pdf["class"], pdf["comp"], strict=True))
-        bits = bitmaps({n: shingles(t, hashes) for n, t in zip(pdf["class"], pdf["text"], strict=True)})
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left = Tree([bits[n] for n in pdf.loc[pdf["part"] == i, "class"].unique()])
-        right = left if i == j else Tree([bits[n] for n in pdf.loc[pdf["part"] == j, "class"].unique()])
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (up := root.get(x, x)) != x:
-                root[x] = root.get(up, up)
-                x = up
-            return x
-
-        found = []
-        for p, q in walk(left, right):
-            x, y = find(comp[p]), find(comp[q])
-            if x != y:  # links within what is connected already aren't needed
-                root[x] = y
-                found.append((min(p, q), max(p, q)))
+
+        def sets(part: int) -> list[tuple[int, bytes, int]]:
+            rows = pdf[pdf["part"] == part].drop_duplicates("class")
+            return list(zip(rows["class"], rows["sketch"], rows["n"], strict=True))
+
+        left = sets(i)
+        right = left if i == j else sets(j)
+        found = [(min(p, q), max(p, q)) for p, q in candidates(left, right) if comp[p] != comp[q]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     k = F.ceil(F.col("n_members") / CHUNK).cast("int")
     dealt = members.withColumn("k", k).withColumn("part", F.pmod(F.xxhash64("class"), F.col("k").cast("long")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    full = dealt.join(texts, "class").select("item", "i", "j", "part", "class", "comp", "text")
+    full = dealt.join(known.select("class", "n", "sketch"), "class").select("item", "i", "j", "part", "class", "comp", "n", "sketch")
     return full.groupBy("item", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
@@ -351,13 +430,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spokes = large.join(hubs, "item").select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).filter("a <> b").distinct()
     pairs = pairs.unionByName(spokes).distinct()
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes, "class").select("class", "doc_id")
-    slim.join(wanted, "doc_id").dropDuplicates(["class"]).select("class", "text").write.parquet(f"{folder}/texts")
-    texts = spark.read.parquet(f"{folder}/texts")
-    edges = cut(_verified(pairs, texts))
+    _known(slim, wanted).write.parquet(f"{folder}/known")
+    known = spark.read.parquet(f"{folder}/known")
+    edges = cut(_verified(_possible(pairs, known), known))
     comp = components(edges)
     members = large.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    apart = members.groupBy("item").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n_members")).filter("x <> y")
-    more = cut(_walked(members.join(apart.select("item", "n_members"), "item"), texts))
+    split = members.groupBy("item").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n_members")).filter("x <> y")
+    more = cut(_verified(_walked(members.join(split.select("item", "n_members"), "item"), known), known))
     if not more.isEmpty():
         comp = components(edges.unionByName(more))
     named = found.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
