@@ -4,7 +4,8 @@
    with one anchor follow each other; they and the bytes that they cover are a context. Equal windows have equal anchors at equal places in
    them, so only contexts whose anchor occurs again can hold a repeat.
 2. Contexts that are equal as a whole repeat in all their windows. Of each different context with a repeated anchor one stands for all.
-3. These contexts are dealt out by anchor. A task cuts what it gets into shards, builds each shard's Burrows-Wheeler transform
+3. These contexts are dealt out by anchor. Those that agree with no other one on either side of the anchor far enough for a
+   window are left out. A task cuts the others into shards, builds each shard's Burrows-Wheeler transform
    and merges the transforms by refining their interleave: one round takes the current order of all rows, reads each row's symbol
    and moves it, in that order, to its symbol's bucket. After h rounds rows are ordered by h symbols; a boundary that appears in a
    round gives a common prefix's length, and rows alone between boundaries are left out of later rounds. What is left after 200 rounds
@@ -89,21 +90,45 @@ class Anchors:
 
 
 def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The suffixes of strings laid end to end, each closed by a mark of its own; ends are the marks' places."""
-    rank = text.astype(np.int64) + len(ends)
-    rank[ends] = np.arange(len(ends))
-    n, step = len(text), 1
-    order = np.argsort(rank, kind="stable")
+    """The suffixes of strings laid end to end, each closed by a mark of its own; ends are the marks' places.
+
+    They are sorted by seven symbols at once; then those that are still equal by twice as many as before each time.
+    """
+    n, step = len(text), 7
+    wide = np.zeros(n + step, np.int64)
+    wide[:n] = text
+    key = np.zeros(n, np.int64)
+    for k in range(step):
+        key = key << 9 | wide[k : k + n]
+    # what lies behind a mark doesn't count: marks differ by their places
+    to_mark = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
+    short = np.maximum(step - to_mark, 0) * 9
+    key = key >> short << short
+    order = np.argsort(key, kind="stable")
+    near = to_mark[order] < step
+    new = np.ones(n, bool)
+    ranked = key[order]
+    new[1:] = (ranked[1:] != ranked[:-1]) | near[1:]  # equal keys that reach a mark stay in order of place
+    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank = np.empty(n, np.int64)
+    rank[order] = head
     while True:
-        sorted_rank = rank[order]
-        fresh = np.empty(n, np.int64)
-        fresh[order] = np.cumsum(np.diff(sorted_rank, prepend=sorted_rank[:1]) != 0)
-        if fresh.max() == n - 1:
+        first = np.append(np.flatnonzero(new), n)
+        alone = np.zeros(n, bool)
+        alone[first[:-1][np.diff(first) == 1]] = True
+        open_ = np.flatnonzero(~alone)
+        if not len(open_):
             return order
-        after = np.zeros(n, np.int64)
-        after[: n - step] = fresh[step:] + 1
-        rank = fresh * (n + 1) + after
-        order = np.argsort(rank, kind="stable")
+        at = order[open_]
+        after = rank[np.minimum(at + step, n - 1)]  # an equal run of step symbols holds no mark, so there is a suffix behind it
+        sub = np.argsort(rank[at] * (n + 1) + after, kind="stable")
+        order[open_] = at[sub]
+        now = (rank[at] * (n + 1) + after)[sub]
+        fresh = np.ones(len(now), bool)
+        fresh[1:] = now[1:] != now[:-1]
+        new[open_[fresh]] = True
+        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        rank[order[open_]] = head[open_]
         step *= 2
 
 
@@ -154,6 +179,24 @@ def merged_repeats(shards: list[list[bytes]], length: int) -> list[list[np.ndarr
     return out
 
 
+def likely(rows: list[tuple], length: int, anchor: int) -> list[tuple]:
+    """Of the contexts (anchor, ..., place of the anchor, bytes) of one anchor, those that can share a window with another one.
+
+    Of a window's bytes beside its anchor at least half lie on one side of it, so two equal windows agree in so many there.
+    """
+    side = (length - anchor) // 2
+    left, right = {}, {}
+    for row in rows:
+        off, context = row[-2], row[-1]
+        if off >= side:
+            k = context[off - side : off]
+            left[k] = left.get(k, 0) + 1
+        if len(context) - off - anchor >= side:
+            k = context[off + anchor : off + anchor + side]
+            right[k] = right.get(k, 0) + 1
+    return [r for r in rows if left.get(r[-1][r[-2] - side : r[-2]] if r[-2] >= side else None, 0) > 1 or right.get(r[-1][r[-2] + anchor : r[-2] + anchor + side], 0) > 1]
+
+
 def _contexts(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length)
@@ -206,8 +249,8 @@ def _merged(contexts: DataFrame, length: int) -> DataFrame:
             if held >= SHARD_BYTES:
                 shards.append([])
                 held = 0
-            shards[-1].append(row[4])
-            held += len(row[4])
+            shards[-1].append(row[5])
+            held += len(row[5])
         flat = [x for shard in merged_repeats(shards, length) for x in shard]
         uid, lo, hi = [], [], []
         for row, starts in zip(rows, flat, strict=True):
@@ -222,18 +265,24 @@ def _merged(contexts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        group: list[tuple] = []
         held = 0
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if held >= MERGE_BYTES and rows[-1][0] != row[0]:  # whole anchors only
-                    yield from repeats(rows)
-                    rows, held = [], 0
-                rows.append(row)
-                held += len(row[4])
+            for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if group and group[0][0] != row[0]:  # whole anchors only
+                    kept = likely(group, length, min(ANCHOR, length))
+                    rows += kept
+                    held += sum(len(r[5]) for r in kept)
+                    group = []
+                    if held >= MERGE_BYTES:
+                        yield from repeats(rows)
+                        rows, held = [], 0
+                group.append(row)
+        rows += likely(group, length, min(ANCHOR, length))
         if rows:
             yield from repeats(rows)
 
-    dealt = contexts.filter("not many").select("anchor", "uid", "lo", "alone", "context").repartition("anchor").sortWithinPartitions("anchor")
+    dealt = contexts.filter("not many").select("anchor", "uid", "lo", "alone", "off", "context").repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(run, "uid long, lo long, hi long")
 
 
