@@ -11,7 +11,6 @@ of a shard and the documents of a chunk.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from array import array
@@ -31,7 +30,7 @@ BLOCK_IDS = 16384
 #: A chunk ends with the document that brings it to this many ids.
 CHUNK_IDS = 131072
 #: Stretches kept per worker, twice as in bpe.Halves; one that has gone is encoded again.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
 INDEX = "shard int, chunk int, doc_ids array<long>, lengths array<long>, n_tokens long, n_blocks int, n_bytes long, crc32 long"
 
 
@@ -46,7 +45,8 @@ class Pieces:
         self.tokenizer.no_padding()
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: What makes cutting at spaces unsafe: other white space, or white space beside white space or at an end.
-        self.odd = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z" + "".join("|" + re.escape(s) for s in special))
+        self.odd_ascii = ("  ", " \n", "\n ", "\n\n", *(chr(c) for c in range(128) if chr(c).isspace() and chr(c) not in " \n"), *special)
+        self.odd_other = tuple(chr(c) for c in range(128, 0x3001) if chr(c).isspace())
         self.chunks = Halves(self._chunk, CACHE_PIECES)
         self.marks = {m: self.whole(m) for m in ",.;:!?"}
 
@@ -59,6 +59,11 @@ class Pieces:
             return self.chunks[chunk[:-1]] + mark
         return self.whole(" " + chunk)
 
+    def odd(self, text: str) -> bool:
+        if text[0].isspace() or text[-1].isspace() or any(s in text for s in self.odd_ascii):
+            return True
+        return not text.isascii() and any(s in text for s in self.odd_other)
+
     def learn(self, texts: list[list[str]]) -> None:
         """Encodes the words that these split texts bring up anew, in one call of the library."""
         known, old = self.chunks, self.chunks.old
@@ -70,7 +75,7 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Texts are cut at single spaces between two other characters, where the library's own cuts always lie."""
-        plain = {k: t.split(" ") for k, t in enumerate(texts) if t and not self.odd.search(t)}
+        plain = {k: t.split(" ") for k, t in enumerate(texts) if t and not self.odd(t)}
         self.learn([p[1:] for p in plain.values()])
         chunks = self.chunks
         return [self.whole(p[0]) + b"".join([chunks[c] for c in p[1:]]) if (p := plain.get(k)) else self.whole(t) for k, t in enumerate(texts)]
