@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import Halves
-from quillon.llm.common import WORD, text_of
+from quillon.llm.common import WORD, cut, text_of
 
 VOCABULARY = 65535
 #: Bigram slots, a power of two, and the slices that they travel in.
@@ -52,7 +52,18 @@ def vocabulary(docs: DataFrame, text_col: str = "text", most: int = VOCABULARY)
             yield pa.RecordBatch.from_pydict({"word": list(counted), "n": list(counted.values())})
 
     counts = docs.select(text_of(text_col)).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = cut(counts)
+    # The count that the last of them has, from how many words have each count; then only those words are fetched.
+    spectrum = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    upto = spectrum.withColumn("upto", F.sum("words").over(Window.orderBy(F.desc("n"))))  # one row for each different count
+    bound = upto.filter(F.col("upto") <= most).agg(F.min("n").alias("least"), F.max("upto").alias("taken")).first()
+    sure = counts.filter(F.col("n") >= (bound["least"] or 2**62))
+    edge = upto.filter(F.col("upto") > most).agg(F.max("n").alias("n")).first()["n"]
+    words = [(-r["n"], r["word"]) for r in sure.collect()]
+    if edge is not None and len(words) < most:
+        room = most - len(words)
+        words += [(-edge, r["word"]) for r in counts.filter(F.col("n") == edge).orderBy("word").limit(room).collect()]
+    return [w for _, w in sorted(words)]
 
 
 def tokens(text: str) -> list[str]:
@@ -144,7 +155,8 @@ def count(docs: DataFrame, target_ids: DataFrame, words: list[str], n_slots: int
 
     wanted = target_ids.select(F.col("doc_id").cast("long").alias("__target")).dropna().distinct()
     slim = docs.select(F.col("doc_id").cast("long").alias("__id"), text_of("text").alias("text"))
-    marked = slim.join(wanted, F.col("__id") == F.col("__target"), "left").select("text", F.col("__target").isNotNull().alias("target"))
+    # the targets grow with the corpus, so neither side is broadcast at any size
+    marked = slim.join(wanted.hint("merge"), F.col("__id") == F.col("__target"), "left").select("text", F.col("__target").isNotNull().alias("target"))
     rows = marked.mapInArrow(run, "which long, kind long, slice long, places binary, counts binary")
     # a group has one row for each task that counted
     sums = rows.groupBy("which", "kind", "slice").applyInPandas(total, "which long, kind long, slice long, counts binary").collect()
