@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import alike, collapsed, content_hash, name_of, names_alike, normalized_name
+from quillon.lineage import cut
 from quillon.operators.graph import EDGES, NODES, Graph, shaped
 
 CHUNKS = "doc_id string, chunk_id long, text string, embedding array<float>"
@@ -262,16 +263,16 @@ def resolve_in_order(names: Sequence[tuple[str, str]], known: Sequence[tuple[int
     return ids, made, aliases
 
 
-def rejected(edges: DataFrame, rules: DataFrame) -> DataFrame:
+def rejected(edges: DataFrame, rules: DataFrame, passed: bool = False) -> DataFrame:
     """edges(source_doc, source_chunk_id, edge_type, source_name, target_name, ...) that match a rule: the type exactly, document and
-    chunk if the rule has them, names if it has them, in any case of ASCII letters."""
+    chunk if the rule has them, names if it has them, in any case of ASCII letters. With passed, the edges that match none."""
     e, r = edges.alias("e"), rules.alias("r")
     fit = F.col("e.edge_type") == F.col("r.edge_type")
     for c in ("source_doc", "source_chunk_id"):
         fit = fit & (F.col(f"r.{c}").isNull() | (F.col(f"e.{c}") == F.col(f"r.{c}")))
     for c in ("source_name", "target_name"):
         fit = fit & (F.col(f"r.{c}").isNull() | (F.lower(f"e.{c}") == F.lower(f"r.{c}")))
-    return e.join(r, fit, "left_semi")
+    return e.join(r, fit, "left_anti" if passed else "left_semi")
 
 
 def process_chunks(graph: Graph, found: DataFrame, ontology: Ontology, vectors: DataFrame | None = None) -> Graph:
@@ -289,7 +290,8 @@ def process_chunks(graph: Graph, found: DataFrame, ontology: Ontology, vectors:
     distinct = entities.groupBy("label", "norm").agg(F.min("name").alias("name"), F.min("properties").alias("props")).withColumn("name_id", F.concat_ws("\0", "label", "norm"))
     match = fuzzy_matches if ontology.resolution == "fuzzy" else exact_matches
     hits = match(distinct.select("name_id", "label", "name"), graph.nodes)
-    new = distinct.join(hits, "name_id", "left_anti")
+    hits = cut(hits)
+    new = cut(distinct.join(hits, "name_id", "left_anti"))
     if ontology.resolution == "fuzzy":
         new, hits = _merge_new(new, hits)
     base = graph.next_id(vectors)
@@ -305,8 +307,7 @@ def process_chunks(graph: Graph, found: DataFrame, ontology: Ontology, vectors:
     links = good.select("doc_id", "chunk_id", F.explode("edges").alias("e")).select("doc_id", "chunk_id", "e.*").filter(F.col("edge_type").isin(ontology.type_names()))
     ends = links.join(refs.select("doc_id", "chunk_id", F.col("ref").alias("source"), F.col("node").alias("s"), F.col("name").alias("source_name")), ["doc_id", "chunk_id", "source"])
     ends = ends.join(refs.select("doc_id", "chunk_id", F.col("ref").alias("target"), F.col("node").alias("t"), F.col("name").alias("target_name")), ["doc_id", "chunk_id", "target"])
-    ends = ends.withColumnsRenamed({"doc_id": "source_doc", "chunk_id": "source_chunk_id"}).withColumn("k", F.monotonically_increasing_id())
-    ends = ends.join(rejected(ends, graph.rejects).select("k"), "k", "left_anti")
+    ends = rejected(ends.withColumnsRenamed({"doc_id": "source_doc", "chunk_id": "source_chunk_id"}), graph.rejects, passed=True)
     kept = graph.edges.filter(F.col("is_manual") | F.col("verified")).select(F.col("source").alias("s"), F.col("target").alias("t"), "edge_type")
     ends = ends.join(kept, ["s", "t", "edge_type"], "left_anti").dropDuplicates(["s", "t", "edge_type", "source_doc", "source_chunk_id"])
     count = made.count()
@@ -316,7 +317,8 @@ def process_chunks(graph: Graph, found: DataFrame, ontology: Ontology, vectors:
         (F.row_number().over(order) + base + count - 1).alias("id"), F.col("s").alias("source"), F.col("t").alias("target"), "edge_type", "properties", provenance.alias("provenance"),
         F.when(F.col("confidence") > 0, F.col("confidence")).otherwise(F.lit(1.0)).alias("confidence"), F.lit(False).alias("verified"), F.lit(False).alias("is_manual"), F.lit(graph.now_ms).alias("created_at"), history.alias("history"),
     )
-    return Graph(graph.nodes.unionByName(shaped(node_rows, NODES)), edges.unionByName(shaped(edge_rows, EDGES)), graph.rejects, graph.now_ms)
+    # later jobs start from these tables, not from the extraction
+    return Graph(cut(graph.nodes.unionByName(shaped(node_rows, NODES))), cut(edges.unionByName(shaped(edge_rows, EDGES))), graph.rejects, graph.now_ms)
 
 
 def _merge_new(new: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -368,10 +370,11 @@ def run_job(graph: Graph, chunks: DataFrame, stored: DataFrame, adapter: Adapter
         found = extracted(chunks, adapter, ontology, prompt_version)
     else:
         found, fresh = cached(chunks, cache, adapter, ontology, prompt_version)
-    found = found.persist()
+    found = cut(found)
     made = process_chunks(graph, found, ontology)
     good = found.filter("error is null").select("doc_id", "chunk_id")
     hashes = stored.join(good, ["doc_id", "chunk_id"], "left_anti").unionByName(chunk_hashes(chunks).join(good, ["doc_id", "chunk_id"], "left_semi"))
+    hashes = cut(hashes)
     return made, hashes, cache.unionByName(fresh) if fresh is not None else None, job_status(found)
 
 
@@ -390,7 +393,7 @@ def without_chunks(graph: Graph, gone: DataFrame) -> Graph:
 
 def re_extract(graph: Graph, chunks: DataFrame, stored: DataFrame, adapter: Adapter, ontology: Ontology) -> tuple[Graph, DataFrame, dict[str, int], JobStatus]:
     """(graph, hashes, counts by status, job): deleted chunks are pruned, new and changed ones extracted again."""
-    diff = document_diff(chunks, stored).persist()
+    diff = cut(document_diff(chunks, stored))
     counts = {s: 0 for s in ("new", "changed", "unchanged", "deleted")} | {r["status"]: r["count"] for r in diff.groupBy("status").count().collect()}
     gone = diff.filter("status = 'deleted'").select("doc_id", "chunk_id")
     kept = stored.join(gone, ["doc_id", "chunk_id"], "left_anti")
