@@ -37,7 +37,10 @@ SMALL = 6
 CHUNK = 4000
 BUCKET_ITEMS = 400_000
 LEAF, FAN = 8, 4
-SKETCH_BITS = (1024, 8192)
+#: The widths of bitmaps, each of which the smaller ones divide; a set has the smallest with PER_ITEM bits for each of its items.
+WIDTHS, PER_ITEM = (256, 1024, 4096, 16384, 65536), 8
+#: Classes whose names and ids (16 bytes each) are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 1 << 20
 BASE = 0x5851F42D4C957F2D
 WHITE_BYTE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -91,9 +94,13 @@ def shingles(text: str, words: Words) -> np.ndarray:
     return np.unique(out)
 
 
+def width(n: int) -> int:
+    return next((w for w in WIDTHS if PER_ITEM * n <= w), WIDTHS[-1])
+
+
 def sketch(items: np.ndarray) -> bytes:
-    """A bitmap of a set: each item's bit, of 1024 for small sets and 8192 for others; the small one is the large one folded."""
-    bits = SKETCH_BITS[0] if len(items) <= SKETCH_BITS[0] // 2 else SKETCH_BITS[1]
+    """A bitmap of a set: each item's bit; a narrow one is a wide one folded."""
+    bits = width(len(items))
     flags = np.zeros(bits, np.uint8)
     flags[(items % np.uint64(bits)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").tobytes()
@@ -184,35 +191,40 @@ def walk(left: Tree, right: Tree) -> Iterator[tuple[int, int]]:
 
 def candidates(left: list[tuple[int, bytes, int]], right: list[tuple[int, bytes, int]]) -> Iterator[tuple[int, int]]:
     """The pairs of sets (name, sketch, size) that can link, by one tree for each width of sketch; left given twice compares it with itself."""
-    small = 8 * SKETCH_BITS[0] // 64
-    sides = []
-    for sets in (left,) if right is left else (left, right):
-        ints = [(name, int.from_bytes(bits, "little"), n, len(bits)) for name, bits, n in sets]
-        narrow = [(a, b, n) for a, b, n, size in ints if size <= small]
-        wide = [(a, b, n) for a, b, n, size in ints if size > small]
-        # only sets near the border of the widths meet those of the other width
-        edge = [(a, folded(b, SKETCH_BITS[0]), n) for a, b, n in wide if PARTS * n <= WHOLE * (SKETCH_BITS[0] // 2)]
-        sides.append((Tree(narrow), Tree(wide), Tree(edge)))
-    one, two = sides[0], sides[-1]
-    yield from walk(one[0], two[0])
-    yield from walk(one[1], two[1])
-    yield from walk(one[0], two[2])
-    if right is not left:
-        yield from walk(one[2], two[0])
+
+    def trees(sets: list[tuple[int, bytes, int]]) -> list[tuple[Tree, Tree]]:
+        """For each width, a tree of its sets and one of those wider sets, folded, that are small enough to link with them."""
+        ints = [(name, int.from_bytes(bits, "little"), n, 8 * len(bits)) for name, bits, n in sets]
+        out = []
+        for w, wider in zip(WIDTHS, (*WIDTHS[1:], 0), strict=True):
+            edge = [(a, folded(b, w), n) for a, b, n, size in ints if size == wider and PARTS * n <= WHOLE * (w // PER_ITEM)]
+            out.append((Tree([(a, b, n) for a, b, n, size in ints if size == w]), Tree(edge)))
+        return out
+
+    one = trees(left)
+    two = one if right is left else trees(right)
+    for (own, edge), (other, other_edge) in zip(one, two, strict=True):
+        yield from walk(own, other)
+        yield from walk(own, other_edge)
+        if right is not left:
+            yield from walk(edge, other)
 
 
 def _classes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Words()
         for batch in batches:
-            n, names = [], []
-            for text in batch.column(1):
-                items = shingles(text.as_py(), hashes)
-                n.append(len(items))
-                names.append(set_id(items))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "class": pa.array(names, pa.int64())})
+            sets = [shingles(text.as_py(), hashes) for text in batch.column(1)]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": batch.column(0),
+                    "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                    "class": pa.array([set_id(s) for s in sets], pa.int64()),
+                    "sketch": pa.array([sketch(s) for s in sets], pa.binary()),
+                }
+            )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, sketch binary")
 
 
 def _often(docs: DataFrame, total: int) -> np.ndarray:
@@ -284,7 +296,10 @@ def _prefixes(docs: DataFrame, often: np.ndarray, buckets: int) -> DataFrame:
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """From packed prefixes: kind 0, candidate pairs (a, b); kind 1, members b of the large group of item a."""
+    """From packed prefixes: kind 0, candidate pairs (a, b); kind 1, members b of a large group, which a names by its members.
+
+    Items that the same classes share, as those of one passage are, give one group.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         item = np.frombuffer(b"".join(pdf["items"]), np.uint64)
@@ -308,10 +323,13 @@ def _groups(rows: DataFrame) -> DataFrame:
                     b_out.append(name[at + j][fit])
         pairs = np.unique(np.stack([np.concatenate(a_out), np.concatenate(b_out)], 1), axis=0) if a_out else np.zeros((0, 2), np.int64)
         large = np.repeat(counts > SMALL, counts)
+        ends = starts + counts
+        digests = [xxhash.xxh3_64_intdigest(name[a:b].tobytes()) for a, b in zip(starts[counts > SMALL].tolist(), ends[counts > SMALL].tolist(), strict=True)]
+        group = np.repeat(np.array(digests, np.uint64), counts[counts > SMALL])
         return pd.DataFrame(
             {
                 "kind": np.repeat([0, 1], [len(pairs), int(large.sum())]),
-                "a": np.concatenate([pairs[:, 0], item[large].view(np.int64)]),
+                "a": np.concatenate([pairs[:, 0], group.view(np.int64)]),
                 "b": np.concatenate([pairs[:, 1], name[large]]),
                 "n": np.concatenate([np.zeros(len(pairs), np.int64), size[large].astype(np.int64)]),
             }
@@ -320,19 +338,22 @@ def _groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInPandas(run, "kind long, a long, b long, n long")
 
 
-def _known(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, n, sketch, text) of wanted(class, doc_id)."""
+def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(class, text) of the classes that pairs name, each from the document that classes(class, doc_id) gives it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Words()
+        hashes, met = Words(), set()
         for batch in batches:
-            sets = [shingles(t.as_py(), hashes) for t in batch.column(1)]
-            mine = pa.array([set_id(s) == name for s, name in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())  # an id may have other texts
-            out = {"class": batch.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array([sketch(s) for s in sets], pa.binary()), "text": batch.column(1)}
-            yield pa.RecordBatch.from_pydict(out).filter(mine)
+            mine = []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                mine.append(name not in met and set_id(shingles(text.as_py(), hashes)) == name)  # an id may have other texts
+                if mine[-1]:
+                    met.add(name)
+            yield batch.filter(pa.array(mine, pa.bool_()))
 
-    rows = docs.join(wanted, "doc_id").select("class", "text")
-    return rows.mapInArrow(run, "class long, n long, sketch binary, text string").dropDuplicates(["class"])
+    wanted = cut(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes.select("class", "doc_id"), "class"))
+    wanted = wanted.hint("broadcast" if wanted.count() <= MOST_BROADCAST else "merge")
+    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("class", "text").mapInArrow(run, "class long, text string").dropDuplicates(["class"])
 
 
 def _possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -354,8 +375,8 @@ def _possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets link, from texts(class, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Words()
@@ -377,7 +398,7 @@ def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
                     b_out.append(b)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
-    one, two = known.select(F.col("class").alias("a"), F.col("text").alias("a_text")), known.select(F.col("class").alias("b"), F.col("text").alias("b_text"))
+    one, two = texts.select(F.col("class").alias("a"), F.col("text").alias("a_text")), texts.select(F.col("class").alias("b"), F.col("text").alias("b_text"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "a_text", "b_text")
     return joined.mapInArrow(run, "a long, b long")
 
@@ -416,27 +437,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    found = cut(_classes(slim))
-    classes = found.filter("class <> 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
-    rows, items = found.select(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     folder = f"{shared_dir(spark).rstrip('/')}/jaccard-{uuid.uuid4().hex}"
+
+    def kept(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    sketched = kept("classes", _classes(slim))
+    found = sketched.drop("sketch")
+    classes = found.filter("class <> 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    rows, items = found.select(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), items // 4 // BUCKET_ITEMS)
-    _groups(_prefixes(slim, _often(slim, rows), buckets)).write.parquet(f"{folder}/groups")
-    groups = spark.read.parquet(f"{folder}/groups")
+    groups = kept("groups", _groups(_prefixes(slim, _often(slim, rows), buckets)))
     pairs = groups.filter("kind = 0").select("a", "b").distinct()
-    large = groups.filter("kind = 1").select(F.col("a").alias("item"), F.col("b").alias("class"))
+    large = kept("large", groups.filter("kind = 1").select(F.col("a").alias("item"), F.col("b").alias("class")).distinct())
     shares = large.groupBy("class").agg(F.count(F.lit(1)).alias("shares"))
     hubs = large.join(shares, "class").groupBy("item").agg(F.max(F.struct("shares", "class")).alias("hub"), F.count(F.lit(1)).alias("n_members"))
     spokes = large.join(hubs, "item").select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).filter("a <> b").distinct()
-    pairs = pairs.unionByName(spokes).distinct()
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes, "class").select("class", "doc_id")
-    _known(slim, wanted).write.parquet(f"{folder}/known")
-    known = spark.read.parquet(f"{folder}/known")
-    edges = cut(_verified(_possible(pairs, known), known))
+    pairs = kept("pairs", pairs.unionByName(spokes).distinct())
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(large.select("class")).distinct()
+    known = kept("known", sketched.join(wanted, "class").groupBy("class").agg(F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")))
+    possible = kept("possible", _possible(pairs, known))
+    edges = kept("edges", _verified(possible, _texts(slim, classes, possible)))
     comp = components(edges)
     members = large.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     split = members.groupBy("item").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n_members")).filter("x <> y")
-    more = cut(_verified(_walked(members.join(split.select("item", "n_members"), "item"), known), known))
+    walked = kept("walked", _walked(members.join(split.select("item", "n_members"), "item"), known))
+    more = kept("more", _verified(walked, _texts(slim, classes, walked)))
     if not more.isEmpty():
         comp = components(edges.unionByName(more))
     named = found.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
