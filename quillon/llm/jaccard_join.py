@@ -38,7 +38,9 @@ CHUNK = 4000
 BUCKET_ITEMS = 400_000
 LEAF, FAN = 8, 4
 #: The widths of bitmaps, each of which the smaller ones divide; a set has the smallest with PER_ITEM bits for each of its items.
-WIDTHS, PER_ITEM = (256, 1024, 4096, 16384, 65536), 8
+WIDTHS, PER_ITEM = (256, 512, 1024, 2048, 4096, 8192, 16384, 32768, 65536), 6
+#: Sets that link have sizes in one or two neighbouring steps of this ratio, which is a little over WHOLE / PARTS.
+STEP = 1.34
 #: Classes whose names and ids (16 bytes each) are broadcast at most; more are joined by a shuffle.
 MOST_BROADCAST = 1 << 20
 BASE = 0x5851F42D4C957F2D
@@ -369,8 +371,8 @@ def _possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
                 found = sorted(asked & set(candidates(left, right)))
                 yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
-    one = known.select(F.col("class").alias("a"), F.col("sketch").alias("a_sketch"), F.col("n").alias("a_n"))
-    two = known.select(F.col("class").alias("b"), F.col("sketch").alias("b_sketch"), F.col("n").alias("b_n"))
+    one = known.select(F.col("class").alias("a"), F.col("sketch").alias("a_sketch"), F.col("n").alias("a_n")).hint("merge")  # sketches grow with the corpus
+    two = known.select(F.col("class").alias("b"), F.col("sketch").alias("b_sketch"), F.col("n").alias("b_n")).hint("merge")
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "a_sketch", "a_n", "b_sketch", "b_n")
     return joined.mapInArrow(run, "a long, b long")
 
@@ -403,6 +405,16 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """Of members(item, class, n, comp), those with one of another component and of a size that can link in their group; n_members counts them."""
+    stepped = members.withColumn("step", F.floor(F.log("n") / F.log(F.lit(STEP))))
+    steps = stepped.groupBy("item", "step").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+    around = steps.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    mixed = around.groupBy("item", "step").agg(F.min("x").alias("x"), F.max("y").alias("y")).filter("x <> y").select("item", "step")
+    left = stepped.join(mixed, ["item", "step"]).select("item", "class", "comp")
+    return left.join(left.groupBy("item").agg(F.count(F.lit(1)).alias("n_members")), "item")
+
+
 def _walked(members: DataFrame, known: DataFrame) -> DataFrame:
     """Possible links (a, b) between members of one group and different components: members(item, class, comp, n_members)."""
 
@@ -423,7 +435,7 @@ def _walked(members: DataFrame, known: DataFrame) -> DataFrame:
     dealt = members.withColumn("k", k).withColumn("part", F.pmod(F.xxhash64("class"), F.col("k").cast("long")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    full = dealt.join(known.select("class", "n", "sketch"), "class").select("item", "i", "j", "part", "class", "comp", "n", "sketch")
+    full = dealt.join(known.select("class", "n", "sketch").hint("merge"), "class").select("item", "i", "j", "part", "class", "comp", "n", "sketch")
     return full.groupBy("item", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
@@ -450,19 +462,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), items // 4 // BUCKET_ITEMS)
     groups = kept("groups", _groups(_prefixes(slim, _often(slim, rows), buckets)))
     pairs = groups.filter("kind = 0").select("a", "b").distinct()
-    large = kept("large", groups.filter("kind = 1").select(F.col("a").alias("item"), F.col("b").alias("class")).distinct())
+    large = kept("large", groups.filter("kind = 1").select(F.col("a").alias("item"), F.col("b").alias("class"), "n").distinct())
     shares = large.groupBy("class").agg(F.count(F.lit(1)).alias("shares"))
-    hubs = large.join(shares, "class").groupBy("item").agg(F.max(F.struct("shares", "class")).alias("hub"), F.count(F.lit(1)).alias("n_members"))
-    spokes = large.join(hubs, "item").select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).filter("a <> b").distinct()
+    hubs = large.join(shares, "class").groupBy("item").agg(F.max(F.struct("shares", "class", "n")).alias("hub"))
+    near = F.lit(WHOLE) * F.least("n", "hub.n") >= F.lit(PARTS) * F.greatest("n", "hub.n")
+    spokes = large.join(hubs, "item").filter(near).select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).filter("a <> b").distinct()
     pairs = kept("pairs", pairs.unionByName(spokes).distinct())
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(large.select("class")).distinct()
-    known = kept("known", sketched.join(wanted, "class").groupBy("class").agg(F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")))
+    known = kept("known", sketched.join(wanted.hint("merge"), "class").groupBy("class").agg(F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")))
     possible = kept("possible", _possible(pairs, known))
     edges = kept("edges", _verified(possible, _texts(slim, classes, possible)))
     comp = components(edges)
     members = large.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    split = members.groupBy("item").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n_members")).filter("x <> y")
-    walked = kept("walked", _walked(members.join(split.select("item", "n_members"), "item"), known))
+    walked = kept("walked", _walked(_open(members), known))
     more = kept("more", _verified(walked, _texts(slim, classes, walked)))
     if not more.isEmpty():
         comp = components(edges.unionByName(more))
