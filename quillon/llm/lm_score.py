@@ -1,21 +1,27 @@
 """Cross-entropy difference of two matched bigram models.
 
-The target model counts the target documents, the background model all documents. Both share one vocabulary (the
-most frequent words of all documents; others are one unknown word), one order, one smoothing and one table size.
-A document's score is the mean over its tokens of the target model's loss less the background model's.
+The target model counts the target documents, the background model all documents. Both share one vocabulary (every word
+that occurs), one order and one smoothing. A document's score is the mean over its tokens of the target model's loss less
+the background model's.
 
-Bigram counts are kept in a table of fixed size that is indexed by a hash of the pair, so that what is broadcast does not
-grow with the corpus, while every document's every token is counted.
+Counts of words and of pairs are exact and grow with the corpus, so they stay distributed. Each task reads its documents
+as blocks, and asks for the counts of a block's different words and pairs, by 64-bit hash, in slots; a slot adds up what
+all blocks have of its words and pairs and answers each block with the totals. The answers meet the block's documents
+again by its number, and nothing goes through the driver.
+
+vocabulary, count and difference are the form with tables of fixed size, which lm_scores doesn't use.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,6 +196,188 @@ def difference(docs: DataFrame, models: Models) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
+#: Tokens after which a block ends, and the slots at least that its words and pairs are asked for in.
+BLOCK = 4_000_000
+LEAST_SLOTS = 1024
+PARTS = "slot long, block long, parts array<binary>"
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Integers by byte planes, compressed."""
+    if not len(x):
+        return b""
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(x: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    if not x:
+        return np.zeros(0, kind)
+    n = int.from_bytes(x[:8], "little")
+    planes = np.frombuffer(pa.decompress(x[8:], n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+
+
+def shortened(keys: np.ndarray) -> bytes:
+    """Keys less their lowest byte. For a word the slot tells the rest; for a pair it adds 10 bits of its own."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:].tobytes()
+
+
+def lengthened(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // 7, 8), np.uint8)
+    out[:, 1:] = np.frombuffer(x, np.uint8).reshape(-1, 7)
+    return out.view("<u8").ravel()
+
+
+def word_keys(words) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.blake2b(w.encode(), digest_size=8).digest() for w in words), "<u8")
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    key = (first ^ first >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    key = (key ^ key >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return (key ^ key >> np.uint64(31)) + second
+
+
+class Block:
+    """Documents as numbers of words, with the block's different pairs. Words and pairs are ordered by slot, which follows from
+    the low 16 bits of the words' keys."""
+
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, codes: np.ndarray, n_slots: int):
+        self.words, self.lengths = words, lengths
+        starts = np.cumsum(lengths) - lengths
+        self.later = np.ones(len(words), bool)  # tokens with a history
+        self.later[starts[lengths > 0]] = False
+        at = np.flatnonzero(self.later)
+        self.pairs, self.pair = np.unique(words[at - 1].astype(np.int64) << 32 | words[at].astype(np.int64), return_inverse=True)
+        self.first, self.second = self.pairs >> 32, self.pairs & 0xFFFFFFFF
+        codes = codes.astype(np.uint64)
+        of_word = (codes % np.uint64(n_slots)).astype(np.int64)
+        of_pair = ((codes[self.first] << np.uint64(16) | codes[self.second]) * MIXER >> np.uint64(32)).astype(np.int64) % n_slots
+        self.word_order, self.pair_order = np.argsort(of_word, kind="stable"), np.argsort(of_pair, kind="stable")
+        self.word_ends, self.pair_ends = np.cumsum(np.bincount(of_word, minlength=n_slots)), np.cumsum(np.bincount(of_pair, minlength=n_slots))
+
+
+def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) with the text compressed, which halves what the join with the targets moves."""
+    for batch in batches:
+        bodies = [packed(np.frombuffer(x.as_buffer(), np.uint8)) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], ["doc_id", "body"])
+
+
+def asked(batches: Iterator[pa.RecordBatch], n_slots: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, body, target) to rows of PARTS: for each block its documents, under a negative slot, and a question to every slot."""
+    task, serial = TaskContext.get().partitionId(), 0
+    numbers: defaultdict[str, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    lines, docs, targets, held = [], [], [], 0
+
+    def ended() -> Iterator[pa.RecordBatch]:
+        block = task << 24 | serial
+        lengths = np.array([len(x) for x in lines], np.int64)
+        words = np.concatenate([np.zeros(0, np.int32), *lines])
+        of_target = np.repeat(np.array(targets, bool), lengths)
+        # the more frequent a word, the smaller its number, which compresses better
+        order = np.argsort(-np.bincount(words, minlength=len(numbers)), kind="stable")
+        renamed = np.empty(len(order), np.int32)
+        renamed[order] = np.arange(len(order))
+        words, keys = renamed[words], word_keys(numbers)[order]
+        codes = (keys & np.uint64(0xFFFF)).astype("<u2")
+        b = Block(words, lengths, codes, n_slots)
+        there = np.array([d is not None for d in docs], "<u1")
+        ids = np.array([d or 0 for d in docs], "<i8")
+        yield pa.RecordBatch.from_pydict(
+            {"slot": [-1 - block], "block": [block], "parts": [[packed(there), packed(ids), packed(lengths), packed(words.astype("<i4")), packed(codes)]]}, pa.schema(SCHEMA)
+        )
+        n, t = (np.bincount(x, minlength=len(keys))[b.word_order] for x in (words, words[of_target]))
+        pn, pt = (np.bincount(x, minlength=len(b.pairs))[b.pair_order] for x in (b.pair, b.pair[of_target[b.later]]))
+        pairs = pair_keys(keys[b.first], keys[b.second])[b.pair_order]
+        keys = keys[b.word_order]
+        rows, w, p = [], 0, 0
+        for k in range(n_slots):
+            w, was, p, were = int(b.word_ends[k]), w, int(b.pair_ends[k]), p
+            rows.append([shortened(keys[was:w]), packed(n[was:w]), packed(t[was:w]), shortened(pairs[were:p]), packed(pn[were:p]), packed(pt[were:p])])
+            if len(rows) == 128 or k == n_slots - 1:
+                slot = np.arange(k + 1 - len(rows), k + 1)
+                yield pa.RecordBatch.from_pydict({"slot": slot, "block": np.full(len(rows), block), "parts": rows}, pa.schema(SCHEMA))
+                rows = []
+
+    for batch in batches:
+        for doc, body, target in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            found = tokens(unpacked(body.as_py(), "<u1").tobytes().decode())
+            lines.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+            docs.append(doc)
+            targets.append(target)
+            held += len(found)
+            if held >= BLOCK or len(docs) >= BLOCK:
+                yield from ended()
+                serial, held = serial + 1, 0
+                for x in (lines, docs, targets, numbers):
+                    x.clear()
+    if docs:
+        yield from ended()
+
+
+SCHEMA = [("slot", pa.int64()), ("block", pa.int64()), ("parts", pa.list_(pa.binary()))]
+
+
+def answered(key: tuple, table: pa.Table) -> pa.Table:
+    """All questions to one slot, each answered by the totals of its words and pairs and by what the slot adds to the corpus'
+    different words and tokens. Documents pass."""
+    if key[0].as_py() < 0:
+        return table
+    rows = table["parts"].to_pylist()
+    answers: list[list[bytes]] = [[] for _ in rows]
+    sums = []
+    for at in (0, 3):
+        keys = [lengthened(r[at]) for r in rows]
+        different, place = np.unique(np.concatenate(keys), return_inverse=True)
+        ends = np.cumsum([len(x) for x in keys])[:-1]
+        for kind in (1, 2):
+            total = np.bincount(place, np.concatenate([unpacked(r[at + kind], "<i8") for r in rows]), len(different)).astype("<i8")  # exact below 2^53
+            for answer, part in zip(answers, np.split(total[place], ends), strict=True):
+                answer.append(packed(part))
+            if not at:
+                sums.append(int(total.sum()))
+        if not at:
+            sums.insert(0, len(different))
+    corpus = packed(np.array(sums, "<i8"))
+    return pa.Table.from_pydict({"slot": table["slot"], "block": table["block"], "parts": [[*x, corpus] for x in answers]}, pa.schema(SCHEMA))
+
+
+def judged(table: pa.Table, n_slots: int) -> pa.Table:
+    """One block's documents and answers to (doc_id, n_tokens, target_loss, background_loss, score)."""
+    rows = [r["parts"] for r in sorted(table.to_pylist(), key=lambda r: r["slot"])]
+    there, ids, lengths, words, codes = (unpacked(x, kind) for x, kind in zip(rows[0], ("<u1", "<i8", "<i8", "<i4", "<u2"), strict=True))
+    answers = rows[1:]
+    if len(answers) != n_slots:
+        raise RuntimeError(f"{len(answers)} answers of {n_slots}")
+    corpus = sum(unpacked(r[4], "<i8") for r in answers)
+    b = Block(words, lengths, codes, n_slots)
+    of_doc = np.repeat(np.arange(len(lengths)), lengths)
+    out = []
+    for which in (1, 0):
+        of_word, of_pair = np.zeros(len(codes), np.int64), np.zeros(len(b.pairs), np.int64)
+        of_word[b.word_order] = np.concatenate([unpacked(r[which], "<i8") for r in answers])
+        of_pair[b.pair_order] = np.concatenate([unpacked(r[2 + which], "<i8") for r in answers])
+        p = ((of_word + GAIN) / (corpus[1 + which] + GAIN * corpus[0]))[words] if len(words) else np.zeros(0)
+        seen, pair = of_word[b.first], of_pair
+        mixed = np.where(seen > 0, MIX * pair / np.maximum(seen, 1), 0.0)[b.pair]
+        p[b.later] = np.where((seen > 0)[b.pair], mixed + (1 - MIX) * p[b.later], p[b.later])
+        out.append(np.bincount(of_doc, -np.log2(p), len(lengths)) / np.maximum(lengths, 1))
+    return pa.table({"doc_id": pa.array(ids, mask=there == 0), "n_tokens": lengths, "target_loss": out[0], "background_loss": out[1], "score": out[0] - out[1]})
+
+
 def lm_scores(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """Builds both models over docs and scores docs with them."""
-    return difference(docs, count(docs, target_ids, vocabulary(docs)))
+    """Counts both models over docs and scores docs with them; a row as difference gives it.
+
+    A word or pair is told apart by 64 bits of hash or more. A word that the target lacks has GAIN there, as every word has.
+    """
+    n_slots = min(1 << 16, max(LEAST_SLOTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    wanted = target_ids.select(F.col("doc_id").cast("long").alias("__target")).dropna().distinct()
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(squeezed, "doc_id long, body binary")
+    # the targets grow with the corpus, so neither side is broadcast at any size
+    marked = slim.join(wanted.hint("merge"), F.col("doc_id") == F.col("__target"), "left").select("doc_id", "body", F.col("__target").isNotNull().alias("target"))
+    answers = marked.mapInArrow(lambda batches: asked(batches, n_slots), PARTS).groupBy("slot").applyInArrow(answered, PARTS)
+    return answers.groupBy("block").applyInArrow(lambda table: judged(table, n_slots), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

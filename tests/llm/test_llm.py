@@ -499,6 +499,39 @@ def test_language_models(spark):
         assert g[:2] == w[:2] and np.allclose(g[2:], w[2:])
 
 
+def test_language_models_count_exactly_at_any_size(spark):
+    """More words than a vocabulary of 65,535 and more pairs than 2^20 slots: none share a count."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(10**7) if rng.random() < 0.8 else rng.randrange(40)}" for _ in range(20_000)), "z") for i in range(70)]
+    rows += [(70 + i, " ".join(rng.choice("abcd") for _ in range(30)), "z") for i in range(20)] + [(None, None, "z"), (75, "a", "z"), (None, " \n", "z"), (76, "a b", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(3)
+    target = spark.createDataFrame([(i,) for i in (0, 3, 72, 75, 75, None, 999)], "doc_id long")
+    uni, bi = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    for doc, text, _ in rows:
+        line = (text or "").split()
+        for which in (0, 1) if doc in (0, 3, 72, 75) else (0,):
+            uni[which].update(line)
+            bi[which].update(zip(line, line[1:]))
+    assert len(uni[0]) > 65_535 and len(bi[0]) > 1 << 20
+    size, total = len(uni[0]), [sum(u.values()) for u in uni]
+    want = []
+    for doc, text, _ in rows:
+        line = (text or "").split()
+        loss = []
+        for which in (1, 0):
+            bits = 0.0
+            for k, w in enumerate(line):
+                p = (uni[which][w] + 0.5) / (total[which] + 0.5 * size)
+                if k and (seen := uni[which][line[k - 1]]):
+                    p = 0.7 * bi[which][line[k - 1], w] / seen + 0.3 * p
+                bits -= np.log2(p)
+            loss.append(bits / len(line) if line else 0.0)
+        want.append((doc, len(line), loss[0], loss[1], loss[0] - loss[1]))
+    got = sorted((tuple(r) for r in lm_score.lm_scores(df, target).collect()), key=lambda r: (str(r[0]), r[1]))
+    for g, w in zip(got, sorted(want, key=lambda r: (str(r[0]), r[1])), strict=True):
+        assert g[:2] == w[:2] and np.allclose(g[2:], w[2:])
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
