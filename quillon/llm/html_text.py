@@ -1,7 +1,7 @@
 """Main text of web pages by composite text density.
 
 A page is parsed into a tree; menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments are cut
-off by element, role and class. For every node that is left, the composite density is its characters per tag, adjusted
+off by element and role, and by class and id where these don't name what is around the article. For every node that is left, the composite density is its characters per tag, adjusted
 by how much of it is links. The node whose children's densities have the largest sum holds the article. The lowest density on
 its path from the body is the threshold by which pieces outside it still count as content.
 """
@@ -40,6 +40,8 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search al
 DROPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu sidebar footer breadcrumb breadcrumbs comment comments disqus respond replies cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription share sharing social related recommended recommendations widget masthead toolbar pagination pager login signup copyright disclaimer hidden overlay alert paywall".split()
 )
+#: What follows these in a class or id is something that the node has or lacks, not what it is.
+MODIFIERS = frozenset("has no with without".split())
 CLOSED_BY = {  # a start tag ends the nearest open element of these, unless one of the barriers stands between
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}),
@@ -114,8 +116,17 @@ def attributes(node: Node) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(node.attributes)} if node.attributes else {}
 
 
+def names_of(node: Node) -> set[str]:
+    of = attributes(node)
+    names = set()
+    for token in f"{of.get('class', '')} {of.get('id', '')}".split():
+        parts = [x.lower() for x in PARTS.findall(token)]
+        names.update(parts[: next((k for k, x in enumerate(parts) if x in MODIFIERS), len(parts))])
+    return names
+
+
 def dropped(node: Node, in_article: bool) -> bool:
-    """Whether a node is something around the article."""
+    """Whether a node is, by its element, role or style, something around the article."""
     if node.tag in DROPPED or node.tag == "header" and not in_article:
         return True
     if not node.attributes or node.tag == "body":
@@ -123,9 +134,14 @@ def dropped(node: Node, in_article: bool) -> bool:
     of = attributes(node)
     if "hidden" in of or of.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", of.get("style", "")):
         return True
-    if of.get("role", "").lower() in DROPPED_ROLES:
-        return True
-    names = {x.lower() for x in PARTS.findall(f"{of.get('class', '')} {of.get('id', '')}")}
+    return of.get("role", "").lower() in DROPPED_ROLES
+
+
+def doubtful(node: Node, in_article: bool) -> bool:
+    """Whether a node is named like something around the article."""
+    if not node.attributes or node.tag == "body":
+        return False
+    names = names_of(node)
     if node.tag in HEADINGS or node.tag == "main":
         return False
     if node.tag == "article" and not names & {"comment", "comments", "ad", "ads", "advert", "related", "sponsored", "promo", "hidden"}:
@@ -142,19 +158,9 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, body_share:
     return chars / tags * math.log(1 + chars / max(link_chars, 1) * tags / max(link_tags, 1)) / max(scale, 1.0)
 
 
-def extract(page: str) -> str:
-    """The article of a page: its blocks, white space made single, joined by line feeds; empty if there is none."""
-    nodes = parse(page)
-    at = {id(n): k for k, n in enumerate(nodes)}
-    parent = [at[id(n.parent)] if n.parent is not None else -1 for n in nodes]
+def weighed(nodes: list[Node], parent: list[int], gone: list[bool], link: list[bool]) -> tuple[list[int], list[float], list[float]]:
+    """For each node its characters, its density and the sum of its children's densities."""
     n_nodes = len(nodes)
-    gone, article, link = [False] * n_nodes, [False] * n_nodes, [False] * n_nodes
-    for k, node in enumerate(nodes):
-        p = parent[k]
-        inside = p >= 0 and article[p]
-        gone[k] = p >= 0 and gone[p] or dropped(node, inside)
-        article[k] = inside or node.tag in ("article", "main")
-        link[k] = p >= 0 and link[p] or node.tag == "a"
     chars, tags, link_chars, link_tags = [0] * n_nodes, [0] * n_nodes, [0] * n_nodes, [0] * n_nodes
     for k in range(n_nodes - 1, -1, -1):
         if gone[k]:
@@ -167,13 +173,71 @@ def extract(page: str) -> str:
             tags[p] += tags[k] + 1
             link_chars[p] += link_chars[k]
             link_tags[p] += link_tags[k] + (nodes[k].tag == "a")
-    if not chars[0]:
-        return ""
-    share = link_chars[0] / chars[0]
+    share = link_chars[0] / max(chars[0], 1)
     dense = [0.0 if gone[k] else density(chars[k], tags[k], link_chars[k], link_tags[k], share) for k in range(n_nodes)]
     total = [0.0] * n_nodes
     for k in range(1, n_nodes):
         total[parent[k]] += dense[k]
+    return chars, dense, total
+
+
+def unnamed(nodes: list[Node], parent: list[int], gone: list[bool], article: list[bool], link: list[bool]) -> list[bool]:
+    """gone, with what goes by name.
+
+    A name removes a node unless it holds the article. Where the page has signs of one (article, main or h1, not named
+    themselves), nodes without a sign go first, if they leave text besides links and headings. Of the others those go that don't hold
+    the node of the largest density sum.
+    """
+    n_nodes = len(nodes)
+    named = [not gone[k] and doubtful(nodes[k], parent[k] >= 0 and article[parent[k]]) for k in range(n_nodes)]
+    if not any(named):
+        return gone
+    sign = [False] * n_nodes
+    for k in range(n_nodes - 1, 0, -1):
+        sign[k] = not gone[k] and not named[k] and nodes[k].tag in ("article", "main", "h1") or sign[k]
+        sign[parent[k]] = sign[parent[k]] or sign[k]
+
+    def without(removed: list[bool]) -> list[bool]:
+        out = gone.copy()
+        for k in range(1, n_nodes):
+            out[k] = gone[k] or removed[k] or out[parent[k]]
+        return out
+
+    left = gone
+    if sign[0]:
+        left = without([n and not s for n, s in zip(named, sign, strict=True)])
+        heading = [False] * n_nodes
+        for k, node in enumerate(nodes):
+            heading[k] = node.tag in HEADINGS or k > 0 and heading[parent[k]]
+        if not any(isinstance(x, str) and not x.isspace() for k, node in enumerate(nodes) if not (left[k] or link[k] or heading[k]) for x in node.items):
+            left = gone
+    if not any(n and not g for n, g in zip(named, left, strict=True)):
+        return left
+    total = weighed(nodes, parent, left, link)[2]
+    k = max(range(n_nodes), key=lambda k: (total[k], -k))
+    while k >= 0:
+        named[k] = False
+        k = parent[k]
+    return without(named)
+
+
+def extract(page: str) -> str:
+    """The article of a page: its blocks, white space made single, joined by line feeds; empty if there is none."""
+    nodes = parse(page)
+    at = {id(n): k for k, n in enumerate(nodes)}
+    parent = [at[id(n.parent)] if n.parent is not None else -1 for n in nodes]
+    n_nodes = len(nodes)
+    gone, article, link = [False] * n_nodes, [False] * n_nodes, [False] * n_nodes
+    for k, node in enumerate(nodes):
+        p = parent[k]
+        inside = p >= 0 and article[p]
+        gone[k] = p >= 0 and gone[p] or dropped(node, inside)
+        article[k] = inside or node.tag in ("article", "main")
+        link[k] = p >= 0 and link[p] or node.tag == "a"
+    gone = unnamed(nodes, parent, gone, article, link)
+    chars, dense, total = weighed(nodes, parent, gone, link)
+    if not chars[0]:
+        return ""
     best = max(range(n_nodes), key=lambda k: (total[k], -k))
     path = [best]
     while parent[path[-1]] >= 0:

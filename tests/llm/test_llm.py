@@ -397,6 +397,23 @@ def test_html(spark):
     assert [(r["text"], r["n_chars"]) for r in rows] == [("", 0), (want, len(want)), ("plain", 5)]
 
 
+def test_html_keeps_an_article_in_a_node_of_any_name():
+    text = "<h2>Title</h2>" + "".join(f"<p>Sentence {i} of the article, with enough words to count as its text.</p>" for i in range(6))
+    want = html_text.extract(f"<body><div>{text}</div></body>")
+    assert want.startswith("Title\nSentence 0")
+    around = "<div class='sidebar'><p>Other things to read.</p></div><div id='cookie-notice'>We use cookies</div>"
+    for names in ("class='content has-sidebar'", "class='no-sidebar'", "class='with-banner'", "id='page-widget-area'", "class='pageWidgetArea'", "class='social post'"):
+        assert html_text.extract(f"<body><div {names}>{text}</div>{around}</body>") == want, names
+        assert html_text.extract(f"<body><div {names}><article>{text}</article></div>{around}</body>") == want, names
+        assert html_text.extract(f"<body><h1>Site</h1><div {names}><main>{text}</main></div>{around}</body>") == want, names
+    # names still remove what isn't the article, however long, inside such a wrapper too
+    talk = "<div id='comments'>" + "<p>A comment that is longer than any sentence of the article itself, by quite a few words.</p>" * 20 + "</div>"
+    cards = "<div class='related'><article class='card'><p>A teaser of something else.</p></article></div>"
+    for names in ("", "id='page-widget-area'"):
+        assert html_text.extract(f"<body><div {names}><article>{text}{cards}</article>{talk}</div>{around}</body>") == want
+        assert html_text.extract(f"<body><div {names}>{text.replace('h2', 'h1')}</div>{talk}{around}</body>") == want
+
+
 def test_mixing(spark):
     rng = random.Random(9)
     rows = [(i, " ".join("w" for _ in range(rng.randint(0, 30))), rng.choice(["en", "de", None]), f"src{rng.choice([0, 0, 0, 1, 2, 5])}", "z") for i in range(600)]
