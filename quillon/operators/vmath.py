@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.distance import cosine_distance, distance, dot, known, norm, normalized, pairwise, vector
+from quillon.lineage import cut
 from quillon.operators.knn import matrix
 
 
@@ -189,16 +190,31 @@ def _sums(vectors: DataFrame, centroids: np.ndarray, metric: str) -> tuple[np.nd
     return sums, counts
 
 
-def kmeans(vectors: DataFrame, k: int, metric: str | None = None, most: int = 100, tolerance: float = 1e-4, seed: int = 0) -> Clusters:
-    """Lloyd's algorithm from seeded k-means++ starts. An empty cluster keeps its centroid; it stops when no centroid moves by the
-    tolerance. k is cut to the number of vectors; k = 0 gives no cluster. Starts are drawn from at most 10,000 vectors."""
-    metric = metric_or_euclidean(metric)
-    spark = vectors.sparkSession
-    rows = vectors.filter(F.col("embedding").isNotNull())
-    pool = rows.select("id", "embedding").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(10_000).toArrow()
+def _starts(rows: DataFrame, k: int, metric: str, seed: int) -> np.ndarray:
+    """k vectors, or all if there are fewer, each drawn by its squared distance to the nearest drawn before."""
+    pool = rows.select("id", "embedding").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(FEW + 1).toArrow()
+    if k <= 0 or not pool.num_rows:
+        return np.zeros((0, 0))
+    if pool.num_rows > FEW:
+        passes = _Passes(rows.select("id", "embedding"), "id", lambda near, x, picked: np.minimum(near, pairwise(picked[None], x, metric)[0] ** 2), math.inf)
+        out: list = []
+        while len(out) < k:
+            # the least of exponential variables whose rates are the weights falls on each row by its weight; rows of no weight come last
+            def drawn(x: np.ndarray, near: np.ndarray, o: np.ndarray, n: int = len(out)) -> np.ndarray:
+                weight = near if n else np.ones(len(near))
+                mixed = (o.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(seed % 2**32 << 32 | n)
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    mixed = (mixed ^ mixed >> np.uint64(shift)) * np.uint64(factor)
+                u = ((mixed ^ mixed >> np.uint64(31)) >> np.uint64(11)).astype(float) + 0.5
+                return np.where(weight > 0, np.log(u / 2**53) / np.where(weight > 0, weight, 1), -1e308)
+
+            row = passes.best(drawn)
+            if row is None:
+                break
+            out.append(row["embedding"])
+            passes.take(row)
+        return np.array(out, float)
     k = min(k, pool.num_rows)
-    if k == 0:
-        return Clusters([], spark.createDataFrame([], "id long, cluster int, distance double"), 0, True)
     x = matrix(pool.column(1), len(pool.column(1)[0]))
     rng = np.random.default_rng(seed)
     starts = [int(rng.integers(len(x)))]
@@ -208,7 +224,21 @@ def kmeans(vectors: DataFrame, k: int, metric: str | None = None, most: int = 10
         pick = int(rng.choice(len(x), p=near / total)) if total > 0 else next(i for i in range(len(x)) if i not in starts)
         starts.append(pick)
         near = np.minimum(near, pairwise(x[[pick]], x, metric)[0] ** 2)
-    centers, converged, step = x[starts].copy(), False, 0
+    return x[starts].copy()
+
+
+def kmeans(vectors: DataFrame, k: int, metric: str | None = None, most: int = 100, tolerance: float = 1e-4, seed: int = 0) -> Clusters:
+    """Lloyd's algorithm from seeded k-means++ starts. An empty cluster keeps its centroid; it stops when no centroid moves by the
+    tolerance. k is cut to the number of vectors; k = 0 gives no cluster. Starts are drawn from all vectors: in the driver up to FEW, else by
+    one pass for each."""
+    metric = metric_or_euclidean(metric)
+    spark = vectors.sparkSession
+    rows = vectors.filter(F.col("embedding").isNotNull())
+    centers = _starts(rows, k, metric, seed)
+    if not len(centers):
+        return Clusters([], spark.createDataFrame([], "id long, cluster int, distance double"), 0, True)
+    k = len(centers)
+    converged, step = False, 0
     rows.persist()
     for step in range(1, most + 1):
         sums, counts = _sums(rows, centers, metric)
@@ -298,32 +328,153 @@ def unit(vectors: DataFrame) -> DataFrame:
     return vectors.select("id", normalized(F.col("embedding")).alias("embedding"))
 
 
-#: The most candidates that one greedy selection takes; it is sequential.
-MOST_CANDIDATES = 100_000
+#: Up to so many candidates a greedy selection runs in the driver; of more, each pick is one pass over all.
+FEW = 10_000
+#: Picks after which the passes carry on from stored likenesses, and rows of a block in the search of the farthest pair.
+STORED_EVERY, BLOCK_ROWS = 32, 2048
+STATE = "o long, id long, embedding array<double>, near double, r long"
 
 
 def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    scale = np.linalg.norm(x, axis=1) * np.linalg.norm(y)
-    return np.where(scale > 0, x @ y / np.where(scale > 0, scale, 1), 0.0)
+    """Of each row of x with y, or with the same row of y; the same for equal rows wherever they stand."""
+    scale = np.linalg.norm(x, axis=1) * np.linalg.norm(np.atleast_2d(y), axis=1)
+    return np.where(scale > 0, (x * y).sum(1) / np.where(scale > 0, scale, 1), 0.0)
 
 
-def _candidates(vectors: DataFrame, order_col: str) -> tuple[np.ndarray, np.ndarray]:
-    rows = vectors.select(F.col(order_col).alias("o"), F.col("id").cast("long"), "embedding").limit(MOST_CANDIDATES + 1).toArrow()
-    if rows.num_rows > MOST_CANDIDATES:
-        raise ValueError(f"a greedy selection takes at most {MOST_CANDIDATES} candidates")
+def _few(vectors: DataFrame, order_col: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids and vectors in order of order_col, or None for more than FEW."""
+    rows = vectors.select(F.col(order_col).alias("o"), F.col("id").cast("long"), "embedding").limit(FEW + 1).toArrow()
+    if rows.num_rows > FEW:
+        return None
     if not rows.num_rows:
         return np.zeros(0, np.int64), np.zeros((0, 0))
     rows = rows.sort_by("o")
     return rows.column(1).to_numpy(), matrix(rows.column(2), len(rows.column(2)[0]))
 
 
+class _Passes:
+    """Greedy picks from any number of rows: a pass folds what was picked into each row's near and takes the row of the largest score; ties go to
+    the smaller o, which holds whole numbers."""
+
+    def __init__(self, vectors: DataFrame, order_col: str, fold, start: float):
+        """fold(near, x, picked) is the new near of the rows x."""
+        o = F.coalesce(F.col(order_col).cast("long"), F.lit(2**63 - 1))
+        rows = vectors.select(o.alias("o"), F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit(start).alias("near"))
+        # stored, as row numbers must not change between passes
+        self.rows, self.fold, self.recent = cut(rows.withColumn("r", F.monotonically_increasing_id())), fold, []
+
+    def take(self, row) -> None:
+        self.recent.append((row["r"], np.asarray(row["embedding"], float)))
+
+    def _folded(self):
+        fold, recent = self.fold, self.recent
+
+        def of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            x = matrix(batch.column(2), len(batch.column(2)[0]))
+            near = batch.column(3).to_numpy()
+            for _, picked in recent:
+                near = fold(near, x, picked)
+            return x, near
+
+        return of
+
+    def best(self, score):
+        """The row of the largest score(x, near, o) with that score, or None; a score that is no number is never taken."""
+        if len(self.recent) >= STORED_EVERY:
+            of = self._folded()
+
+            def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    if batch.num_rows:
+                        yield batch.set_column(3, "near", pa.array(of(batch)[1], pa.float64()))
+
+            rows = self.rows.filter(~F.col("r").isin([r for r, _ in self.recent])).mapInArrow(stored, STATE)
+            self.rows, self.recent = cut(rows), []
+        of, taken = self._folded(), np.array([r for r, _ in self.recent], np.int64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    r = batch.column(4).to_numpy()
+                    got = score(*of(batch), batch.column(0).to_numpy())
+                    got = np.where(np.isnan(got) | np.isin(r, taken), -np.inf, got)
+                    if (top := got.max()) > -np.inf:
+                        k = np.flatnonzero(got == top)
+                        o = batch.column(0).to_numpy()[k]
+                        k = k[np.lexsort((r[k], o))[0]]
+                        yield batch.slice(int(k), 1).append_column("score", pa.array([float(top)]))
+
+        return self.rows.mapInArrow(run, f"{STATE}, score double").orderBy(F.desc("score"), "o", "r").first()
+
+
+def _most_alike(near: np.ndarray, x: np.ndarray, picked: np.ndarray) -> np.ndarray:
+    return np.fmax(near, _cosines(x, picked))
+
+
+def _farthest_pair(rows: DataFrame):
+    """The two rows of STATE least alike, the earlier first; ties go to the earlier. Blocks of rows meet each other once."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                x = matrix(part.column(2), len(part.column(2)[0]))
+                held = [np.ascontiguousarray(y).tobytes() for y in (part.column(0).to_numpy(), part.column(4).to_numpy(), x)]
+                yield pa.RecordBatch.from_pydict({"block": [int(part.column(4)[0].as_py())], "o": [held[0]], "r": [held[1]], "x": [held[2]]})
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in batch.to_pylist():
+                o, r, x = ([np.frombuffer(one[f"{n}{side}"], kind) for side in "ab"] for n, kind in (("o", np.int64), ("r", np.int64), ("x", float)))
+                x = [y.reshape(len(k), -1) for y, k in zip(x, r, strict=True)]
+                size = [np.linalg.norm(y, axis=1) for y in x]
+                scale = size[0][:, None] * size[1][None, :]
+                c = np.where(scale > 0, x[0] @ x[1].T / np.where(scale > 0, scale, 1), 0.0)
+                c[np.isnan(c)] = np.inf
+                if one["blocka"] == one["blockb"]:
+                    c[np.arange(len(c))[:, None] >= np.arange(len(c))[None, :]] = np.nan  # each pair once
+                    if len(c) < 2:
+                        continue
+                least, found = np.nanmin(c), None
+                i, j = np.nonzero(c <= least + 1e-12)
+                for at in range(0, len(i), 65_536):  # once more, so that equal pairs are equal whatever the block
+                    a, b = i[at : at + 65_536], j[at : at + 65_536]
+                    cosine = _cosines(x[0][a], x[1][b])
+                    cosine[np.isnan(cosine)] = np.inf
+                    oa, ob, ra, rb = o[0][a], o[1][b], r[0][a], r[1][b]
+                    later = (oa > ob) | (oa == ob) & (ra > rb)
+                    keys = np.where(later, ob, oa), np.where(later, rb, ra), np.where(later, oa, ob), np.where(later, ra, rb)
+                    k = np.lexsort((*keys[::-1], cosine))[0]
+                    this = (float(cosine[k]), *(int(y[k]) for y in keys))
+                    found = this if found is None else min(found, this)
+                yield pa.RecordBatch.from_pydict({n: [v] for n, v in zip(("c", "o1", "r1", "o2", "r2"), found, strict=True)})
+
+    packed = cut(rows.mapInArrow(blocks, "block long, o binary, r binary, x binary"))
+    a, b = (packed.select(*(F.col(n).alias(n + side) for n in packed.columns)) for side in "ab")
+    pair = a.join(b.hint("shuffle_replicate_nl"), F.col("blocka") <= F.col("blockb")).mapInArrow(met, "c double, o1 long, r1 long, o2 long, r2 long").orderBy("c", "o1", "r1", "o2", "r2").first()
+    both = {row["r"]: row for row in rows.filter(F.col("r").isin([pair["r1"], pair["r2"]])).collect()}
+    return both[pair["r1"]], both[pair["r2"]]
+
+
 def diverse(vectors: DataFrame, query: Sequence[float], k: int, balance: float, order_col: str = "id") -> DataFrame:
     """(pos, id, score): maximal marginal relevance, balance * relevance - (1 - balance) * likeness to what is chosen, by cosine; ties go to the
-    earlier candidate."""
-    balance = min(max(balance, 0.0), 1.0)
-    ids, x = _candidates(vectors, order_col)
-    relevance = _cosines(x, np.asarray(query, float)) if len(x) else np.zeros(0)
-    likeness, left, out = np.full(len(ids), -np.inf), np.ones(len(ids), bool), []
+    earlier candidate. Takes any number of candidates."""
+    balance, query = min(max(balance, 0.0), 1.0), np.asarray(query, float)
+    out: list[tuple[int, int, float]] = []
+    few = _few(vectors, order_col)
+    if few is None:
+        passes = _Passes(vectors, order_col, _most_alike, -math.inf)
+        while len(out) < k:
+            first = not out
+            row = passes.best(lambda x, near, _: balance * _cosines(x, query) - (1 - balance) * (0.0 if first else near))  # noqa: B023
+            if row is None:
+                break
+            out.append((len(out), row["id"], row["score"]))
+            passes.take(row)
+        return vectors.sparkSession.createDataFrame(out, "pos int, id long, score double")
+    ids, x = few
+    relevance = _cosines(x, query) if len(x) else np.zeros(0)
+    likeness, left = np.full(len(ids), -np.inf), np.ones(len(ids), bool)
     while left.any() and len(out) < k:
         score = np.where(left, balance * relevance - (1 - balance) * (likeness if out else 0.0), -np.inf)
         i = int(score.argmax())
@@ -334,8 +485,24 @@ def diverse(vectors: DataFrame, query: Sequence[float], k: int, balance: float,
 
 
 def spread_out(vectors: DataFrame, k: int, order_col: str = "id") -> DataFrame:
-    """(pos, id): the two least alike, then always the one least like its nearest chosen; k = 1 gives the first."""
-    ids, x = _candidates(vectors, order_col)
+    """(pos, id): the two least alike, then always the one least like its nearest chosen; k = 1 gives the first. Takes any number of
+    candidates; the two are searched among all pairs."""
+    few = _few(vectors, order_col)
+    if few is None:
+        found = []
+        if k > 0:
+            passes = _Passes(vectors, order_col, _most_alike, -math.inf)
+            if k == 1:
+                found = [passes.rows.orderBy("o", "r").first()]
+            else:
+                found = list(_farthest_pair(passes.rows))
+                for row in found:
+                    passes.take(row)
+            while len(found) < k and (row := passes.best(lambda x, near, _: -near)) is not None:
+                found.append(row)
+                passes.take(row)
+        return vectors.sparkSession.createDataFrame([(n, row["id"]) for n, row in enumerate(found)], "pos int, id long")
+    ids, x = few
     picks: list[int] = []
     if k == 1 and len(ids):
         picks = [0]

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +161,33 @@ def test_diversity_is_greedy(spark, points):
     assert vmath.spread_out(df, 1).first()["id"] == 1 and vmath.spread_out(df, 5).count() == 5
 
 
+def test_greedy_selections_take_any_number_of_candidates(spark, monkeypatch):
+    """100,001 candidates, and the passes against the driver's greedy selection, with ties."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(100_001, 3)).round(2)
+    x[77], x[90_000] = [30.0, 30.0, 0.1], [-30.0, -30.0, -0.1]
+    df = spark.createDataFrame(pa.table({"id": np.arange(100_001), "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))})).repartition(6)
+    many = [r["id"] for r in vmath.diverse(df, [1.0, 0.0, 0.0], 3, 0.7).orderBy("pos").collect()]
+    assert len(set(many)) == 3
+    c = vmath._cosines(x.astype(np.float32).astype(float), np.array([1.0, 0.0, 0.0]))
+    assert many[0] == int(c.argmax())
+    small = df.filter("id % 61 = 0").union(df.filter("id % 610 = 0").selectExpr("id + 1000000 AS id", "embedding")).repartition(5)
+    got = {}
+    for few in (10_000, 0):
+        monkeypatch.setattr(vmath, "FEW", few)
+        monkeypatch.setattr(vmath, "STORED_EVERY", 4)
+        monkeypatch.setattr(vmath, "BLOCK_ROWS", 100)
+        got[few] = [
+            [r["id"] for r in vmath.diverse(small, [1.0, 2.0, 0.0], 9, 0.4).orderBy("pos").collect()],
+            [r["id"] for r in vmath.spread_out(small, 9).orderBy("pos").collect()],
+            [r["id"] for r in vmath.spread_out(small, 1).collect()],
+            [r["id"] for r in vmath.diverse(small.limit(3), [1.0, 2.0, 0.0], 9, 0.4).collect()].__len__(),
+        ]
+    assert got[0] == got[10_000]
+    starts = vmath._starts(small, 12, "euclidean", 1)
+    assert len(np.unique(starts, axis=0)) == 12 and len(vmath._starts(small.limit(5), 8, "euclidean", 1)) == 5
+
+
 def test_codes(spark, points):
     x, df = points
     codes = quant.train_scalar(df)
