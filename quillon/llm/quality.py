@@ -33,12 +33,42 @@ THRESHOLD = 0.3
 
 LOWER, UPPER, DIGIT = re.compile("[^\\W\\d_A-ZÀ-ÖØ-Þ]+"), re.compile("[A-ZÀ-ÖØ-Þ]+"), re.compile("\\d+")
 MARK_RUN = re.compile(r"([^aA0])\1+")
+#: The most signs of a shape, and characters, that a word has before it is cut.
+SIGNS, LONGEST = 8, 64
+RUN = re.compile(f"{LOWER.pattern}|{UPPER.pattern}|{DIGIT.pattern}|(.)\\1*", re.S)
 
 
 def shape(word: str) -> str:
-    """A word's pattern, such as 'Aa.' or 'a###', in which every run is one sign."""
-    word = MARK_RUN.sub(r"\1\1", DIGIT.sub("0", UPPER.sub("A", LOWER.sub("a", word[:64]))))
-    return "\0" + word[:8]
+    """A word's pattern, such as 'Aa.' or 'a##', in which every run is one sign and one of marks two."""
+    return "\0" + MARK_RUN.sub(r"\1\1", DIGIT.sub("0", UPPER.sub("A", LOWER.sub("a", word))))
+
+
+def pieces(word: str) -> tuple[str, ...]:
+    """The word in pieces of at most SIGNS signs and LONGEST characters."""
+    out, start, signs = [], 0, 0
+    for run in RUN.finditer(word):
+        for at in range(run.start(), run.end(), LONGEST):
+            end = min(at + LONGEST, run.end())
+            more = 1 if run[1] is None else min(end - at, 2)
+            if at > start and (signs + more > SIGNS or end - start > LONGEST):
+                out.append(word[start:at])
+                start, signs = at, 0
+            signs += more
+    return (*out, word[start:])
+
+
+CUT = Halves(pieces)
+
+
+def words_of(text: str) -> list[str]:
+    """The words, long ones in pieces, so that every character bears on some word."""
+    out: list[str] = []
+    for word in text.split():
+        if len(word) <= SIGNS:
+            out.append(word)
+        else:
+            out.extend(CUT[word])
+    return out
 
 
 def index_vector(item: str) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +101,7 @@ class Model:
         return Halves(lambda word: items[word] if word in items else items.get(shape(word), other))
 
     def inputs(self, text: str, rows: Halves) -> np.ndarray:
-        words = text.split()
+        words = words_of(text)
         if not words:
             return np.zeros(WIDTH + 4)
         n = len(words)
@@ -89,7 +119,7 @@ class Model:
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = 0) -> Model:
     """A model of label 1 against label 0; with one class or no row, it gives every text that class's share."""
-    counted = Counter(w for t in texts for w in t.split())
+    counted = Counter(w for t in texts for w in words_of(t))
     known = [w for w, n in sorted(counted.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY] if n >= 5]
     inside = set(known)
     items = known + sorted({shape(w) for w in counted if w not in inside}) + ["\0other"]
@@ -98,7 +128,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 0) -> Model:
     rows = model.reader()
     places, signs = zip(*(index_vector(i) for i in items), strict=True)
     places, signs = np.array(places), np.array(signs)
-    stream = np.concatenate([np.array([rows[w] for w in t.split()] + [-1] * SPAN, np.int64) for t in texts] or [np.zeros(0, np.int64)])
+    stream = np.concatenate([np.array([rows[w] for w in words_of(t)] + [-1] * SPAN, np.int64) for t in texts] or [np.zeros(0, np.int64)])
     vectors = np.zeros(len(items) * WIDTH)
     for step in range(1, SPAN + 1):
         a, b = stream[:-step], stream[step:]

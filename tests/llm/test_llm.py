@@ -466,6 +466,18 @@ def test_quality():
         assert 0 < alone.scores(alone.inputs("a b", alone.reader())[None])[0] < 1
 
 
+def test_quality_reads_long_words_whole():
+    good, bad = "abc,def;" * 40, "abc,def;" * 10 + "#1!" * 80
+    for word in (good, bad, "字" * 1000, "a" * 64 + "B", "####" * 50, "http://www.Some-where.org/a/b?c=1"):
+        cut = quality.pieces(word)
+        assert "".join(cut) == word and all(len(x) <= 64 and len(quality.shape(x)) <= 9 for x in cut)
+    assert quality.pieces("Plain.") == ("Plain.",)
+    model = quality.fit([good, bad] * 20, np.array([1, 0] * 20))
+    rows = model.reader()
+    scores = [model.scores(model.inputs(x, rows)[None])[0] for x in (good, bad)]
+    assert scores[0] > 0.8 and scores[1] < 0.2
+
+
 def test_quality_over_tables(spark):
     rows = [(i, "fine words here " * 5 if i % 3 else "BAD!! " * 20, "z") for i in range(90)] + [(None, None, "z"), (1, "", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
