@@ -50,7 +50,14 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def _row_key(doc_id: Column, digest: Column) -> Column:
+    return F.concat_ws(" ", digest, doc_id.cast("string"))  # a null id adds nothing
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """The rows of docs, with all their columns, that duplicate_groups keeps."""
-    kept = duplicate_groups(docs, id_col, text_col, support).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+    """One row of docs, with all its columns, for each group: that with the most code points under the winner's id."""
+    kept = duplicate_groups(docs, id_col, text_col, support).filter("kept").select(_row_key(F.col("doc_id"), F.col("text_sha256")).alias("__key")).distinct()
+    text = text_of(text_col)
+    keyed = docs.select(F.struct("*").alias("__row"), F.char_length(text).alias("__n"), _row_key(F.col(id_col), F.sha2(normalized(text), 256)).alias("__key"))
+    # the join leaves the rows dealt by key, so that choosing one doesn't shuffle them again
+    return keyed.join(kept, "__key", "left_semi").groupBy("__key").agg(F.max_by("__row", "__n").alias("__row")).select("__row.*")

@@ -380,6 +380,14 @@ def test_webp_colour_transforms_palette_cache_and_references():
         webp.decode_vp8l(s.done()[:20])
 
 
+def test_exact_dedup_keeps_one_row_of_each_group(spark):
+    rows = [(1, "a b", "x"), (1, "a b", "x"), (2, "ab", "y"), (1, "other", "z"), (3, "other  ", "z"), (None, "n", "u"), (None, "n", "u"), (1, "ab", "w"), (4, "only", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    left = exact_dedup.deduplicate(df)
+    assert left.columns == df.columns
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(1, "a b", "x"), (3, "other  ", "z"), (None, "n", "u"), (4, "only", None)], key=str)
+
+
 def test_html(spark):
     page = """<html><head><title>no</title><style>p{}</style><script>var a="</p>";</script></head><body class="page"><nav><a href=/>Home</a></nav>
     <div class="cookie-notice">We use cookies</div><header><h2>Site</h2></header><div class="ad">Buy</div>
