@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +42,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 def text_of(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts have up to that many bytes, or one row."""
+    upto = np.cumsum(pc.binary_length(batch.column(column)).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        held = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, held + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end

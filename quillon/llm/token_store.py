@@ -11,6 +11,8 @@ of a shard and the documents of a chunk.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
 from array import array
@@ -18,24 +20,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.bpe import CACHE_LONGEST, Halves
-from quillon.llm.common import shared_dir, text_of
+from quillon.llm.bpe import Halves
+from quillon.llm.common import by_bytes, shared_dir, text_of
 
 MAGIC, VERSION = 0x51425031, 1
 BLOCK_IDS = 16384
 #: A chunk ends with the document that brings it to this many ids.
 CHUNK_IDS = 131072
-#: Stretches kept per worker, twice as in bpe.Halves; one that has gone is encoded again.
-CACHE_PIECES = 600_000
+#: Bytes of texts encoded at a time; a longer text goes alone.
+CALL_BYTES = 1 << 24
+#: Stretches kept per worker from one call to the next; one that has gone is encoded again.
+CACHE_PIECES = 1_000_000
+MARKS = ",.;:!?"
+#: Letters of scripts that any version of the library knows for letters, and one mark.
+LETTERS_AND_MARK = rf"\A[A-Za-z\x{{c0}}-\x{{d6}}\x{{d8}}-\x{{f6}}\x{{f8}}-\x{{17f}}\x{{391}}-\x{{3a1}}\x{{3b1}}-\x{{3c9}}\x{{410}}-\x{{44f}}]+[{MARKS}]\z"
 INDEX = "shard int, chunk int, doc_ids array<long>, lengths array<long>, n_tokens long, n_blocks int, n_bytes long, crc32 long"
 
 
 class Pieces:
-    """The ids of texts, as little-endian bytes; each stretch is encoded once by the tokenizers library."""
+    """The ids of texts, as little-endian bytes; each different stretch is encoded once by the tokenizers library.
+
+    Cutting at single spaces is right only for a byte-level pre-tokenizer that splits by its own pattern and has no normalizer
+    before it; for any other tokenizer file every text is encoded whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -43,42 +55,120 @@ class Pieces:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        before = spec.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        other = r"\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
         #: What makes cutting at spaces unsafe: other white space, or white space beside white space or at an end.
-        self.odd_ascii = ("  ", " \n", "\n ", "\n\n", *(chr(c) for c in range(128) if chr(c).isspace() and chr(c) not in " \n"), *special)
-        self.odd_other = tuple(chr(c) for c in range(128, 0x3001) if chr(c).isspace())
-        self.chunks = Halves(self._chunk, CACHE_PIECES)
-        self.marks = {m: self.whole(m) for m in ",.;:!?"}
+        self.odd = "|".join([f"[{other}]", r"[ \n][ \n]", r"\A[ \n]", r"[ \n]\z", *special]) if plain else "(?s)."
+        #: Known stretches without their leading space, and where the ids of each stand in table; the oldest go first.
+        self.words = pa.array([], pa.string())
+        self.table, self.lengths = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        self.heads = Halves(self.whole, CACHE_PIECES // 8)
+        self.marks = pa.array(list(MARKS))
+        self.mark_ids = [np.frombuffer(self.whole(m), "<u4") for m in MARKS]
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        # A run of letters with one mark behind it is two words to the library, whatever they are.
-        if (mark := self.marks.get(chunk[-1:])) is not None and chunk[:-1].isalpha():
-            return self.chunks[chunk[:-1]] + mark
-        return self.whole(" " + chunk)
-
-    def odd(self, text: str) -> bool:
-        if text[0].isspace() or text[-1].isspace() or any(s in text for s in self.odd_ascii):
-            return True
-        return not text.isascii() and any(s in text for s in self.odd_other)
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encodes the words that these split texts bring up anew, in one call of the library."""
-        known, old = self.chunks, self.chunks.old
-        new = {c for t in texts for c in t if c not in known and len(c) <= CACHE_LONGEST}
-        new = {c[:-1] if c[-1:] in self.marks and c[:-1].isalpha() else c for c in new}
-        words = sorted(c for c in new if c not in known and c not in old)
-        for word, found in zip(words, self.tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False), strict=True):
-            known.put(word, array("I", found.ids).tobytes())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Texts are cut at single spaces between two other characters, where the library's own cuts always lie."""
-        plain = {k: t.split(" ") for k, t in enumerate(texts) if t and not self.odd(t)}
-        self.learn([p[1:] for p in plain.values()])
-        chunks = self.chunks
-        return [self.whole(p[0]) + b"".join([chunks[c] for c in p[1:]]) if (p := plain.get(k)) else self.whole(t) for k, t in enumerate(texts)]
+    def learn(self, words: list[str]) -> None:
+        """Encodes stretches that come up anew, those of letters alone as one text with a space before each."""
+        letters, rest = [], []
+        for word in words:
+            (letters if word.isalpha() else rest).append(word)
+        names, tables, lengths = [], [self.table], [self.lengths]
+        for at in range(0, len(letters), 20_000):
+            part = letters[at : at + 20_000]
+            found = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
+            of = np.array(found.word_ids, np.int64)
+            if len(of) and of[-1] + 1 == len(part) and (np.diff(of) >= 0).all():
+                names += part
+                tables.append(np.array(found.ids, "<u4"))
+                lengths.append(np.bincount(of, minlength=len(part)))
+            else:  # the library takes some of these characters for no letters
+                rest += part
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([" " + w for w in rest], add_special_tokens=False)]
+        tables += [np.array(x, "<u4") for x in found]
+        lengths.append(np.array([len(x) for x in found], np.int64))
+        self.words = pa.concat_arrays([self.words, pa.array(names + rest, pa.string())])
+        self.table, self.lengths = np.concatenate(tables), np.concatenate(lengths)
+
+    def forget(self) -> None:
+        if (gone := len(self.words) - CACHE_PIECES) > 0:
+            self.table = self.table[int(self.lengths[:gone].sum()) :].copy()
+            self.words, self.lengths = pa.concat_arrays([self.words.slice(gone)]), self.lengths[gone:].copy()
+
+    def pieces_of(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of stretches behind a space, end to end, and how many each has.
+
+        A run of letters with one mark behind it is two words to the library, whatever they are.
+        """
+        marked = pc.match_substring_regex(words, LETTERS_AND_MARK)
+        stems = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, stop=-1), words)
+        mark = pc.if_else(marked, pc.index_in(pc.utf8_slice_codeunits(words, -1), value_set=self.marks), -1).to_numpy(zero_copy_only=False)
+        self.forget()
+        found = pc.index_in(stems, value_set=self.words)
+        at = found.fill_null(0).to_numpy().astype(np.int64)
+        if found.null_count:
+            n, new = len(self.words), stems.filter(pc.is_null(found))
+            self.learn(new.unique().to_pylist())
+            at[pc.is_null(found).to_numpy(zero_copy_only=False)] = n + pc.index_in(new, value_set=self.words.slice(n)).to_numpy()
+        base = self.lengths[at]
+        out_lengths = base + np.array([len(x) for x in self.mark_ids] + [0])[mark]
+        starts = np.cumsum(out_lengths) - out_lengths
+        out = np.empty(int(out_lengths.sum()), "<u4")
+        ids = laid_out(self.table, (np.cumsum(self.lengths) - self.lengths)[at], base)
+        inner = np.ones(len(out), bool)
+        for k, own in enumerate(self.mark_ids):
+            where = (starts + base)[mark == k]
+            for j, i in enumerate(own):
+                out[where + j] = i
+                inner[where + j] = False
+        out[inner] = ids
+        return out, out_lengths
+
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
+        """Texts are cut at single spaces between two other characters, where the library's own cuts always lie.
+
+        Arrow splits them, numbers the different stretches and finds those known; numpy lays out their ids. Python sees new ones only.
+        """
+        odd = pc.or_(pc.match_substring_regex(texts, self.odd), pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
+        plain = np.flatnonzero(~odd)
+        out: list[bytes] = [b""] * len(texts)
+        for k in np.flatnonzero(odd).tolist():
+            out[k] = self.whole(texts[k].as_py())
+        if not len(plain):
+            return out
+        parts = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        ends = np.cumsum(pc.list_value_length(parts).to_numpy().astype(np.int64))
+        starts = np.concatenate([[0], ends[:-1]])
+        flat = parts.flatten()
+        first = np.zeros(len(flat), bool)
+        first[starts] = True
+        rest = flat.filter(pa.array(~first)).dictionary_encode()
+        heads = flat.take(pa.array(starts)).dictionary_encode()
+        table, lengths = self.pieces_of(rest.dictionary)
+        openings = [np.frombuffer(self.heads[w], "<u4") for w in heads.dictionary.to_pylist()]
+        table = np.concatenate([table, *openings])
+        lengths = np.concatenate([lengths, np.array([len(x) for x in openings], np.int64)])
+        code = np.empty(len(flat), np.int32)
+        code[~first] = rest.indices.to_numpy()
+        code[first] = heads.indices.to_numpy() + len(rest.dictionary)
+        own = lengths[code]
+        ids = laid_out(table, (np.cumsum(lengths) - lengths)[code], own).tobytes()
+        cuts = np.concatenate([[0], np.cumsum(own)])
+        for k, a, b in zip(plain.tolist(), (4 * cuts[starts]).tolist(), (4 * cuts[ends]).tolist(), strict=True):
+            out[k] = ids[a:b]
+        return out
+
+
+def laid_out(table: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs table[start : start + length], end to end."""
+    at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    at += np.arange(len(at))
+    return table[at]
 
 
 _LOADED: dict[str, Pieces] = {}
@@ -170,9 +260,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                piece = batch.slice(at, 200)
-                for doc_id, encoded in zip(piece.column(0).to_pylist(), pieces.encode(piece.column(1).to_pylist()), strict=True):
+            for piece in by_bytes(batch, 1, CALL_BYTES):
+                for doc_id, encoded in zip(piece.column(0).to_pylist(), pieces.encode(piece.column(1)), strict=True):
                     raw = encoded + end
                     ids.append(doc_id)
                     lengths.append(len(raw) // 4)
