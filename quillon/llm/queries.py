@@ -8,11 +8,11 @@ from quillon.llm.exact_dedup import duplicate_groups
 from quillon.llm.html_text import main_text
 from quillon.llm.jaccard_join import near_duplicates
 from quillon.llm.lm_score import lm_scores
+from quillon.llm.media import media
 from quillon.llm.mixing import mixture
 from quillon.llm.quality import scored, train
 from quillon.llm.suffix_dedup import without_repeats
 from quillon.llm.token_store import stored_tokens
-from quillon.llm.webp import media
 
 MIX = {
     "weights": {"domain": {"dom0": 4, "dom1": 3, "dom2": 2, "dom3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}},

@@ -1,29 +1,12 @@
-"""Lossless WebP: a full decoder of the VP8L bit stream, a plain writer, and the column operator over them.
+"""Lossless WebP: a full decoder of the VP8L bit stream.
 
-The decoder reads prefix codes (simple, normal and code-length coded), back-references with the short-distance
-map, the colour cache and meta prefix codes, and inverts the predictor, cross-colour, subtract-green and palette
-transforms. Where every prefix code of an image has one length and nothing but literals is possible, all pixels
-are unpacked at once instead of one by one; the bits read are the same.
-
-The writer stores pixels as literals under fixed-length 8-bit prefix codes, so any payload costs about its own size.
+It reads prefix codes (simple, normal and code-length coded), back-references with the short-distance map, the colour
+cache and meta prefix codes, and inverts the predictor, cross-colour, subtract-green and palette transforms.
 """
 
 from __future__ import annotations
 
-import hashlib
-import struct
-import zlib
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from quillon.llm.common import text_of
-
-ROW_BYTES = 192
-MAX_ROWS = 16384
 
 # Fixed values of the lossless WebP format.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -39,7 +22,6 @@ NEAR = (
     (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 CACHE_FACTOR = 0x1E35A7BD
-REVERSED = np.array([int(f"{b:08b}"[::-1], 2) for b in range(256)], np.uint8)
 
 
 class Bits:
@@ -77,10 +59,6 @@ class Prefix:
             self.table[n, code] = s
             code, last = code + 1, n
 
-    def uniform(self) -> bool:
-        """256 literals of 8 bits each and nothing else."""
-        return self.lengths[:256] == [8] * 256 and not any(self.lengths[256:])
-
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
@@ -162,17 +140,6 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     cache_size = 1 << cache_bits if cache_bits else 0
     codes = [[_read_prefix(bits, n) for n in (256 + 24 + cache_size, 256, 256, 256, 40)] for _ in range(groups)]
     count = width * height
-    if groups == 1 and not cache_size and all(c.uniform() for c in codes[0][:3]) and codes[0][3].only is not None:
-        first, off = bits.at >> 3, bits.at & 7
-        if bits.at + 24 * count > 8 * len(bits.data):
-            raise ValueError("the bit stream ends early")
-        raw = np.frombuffer(bits.data, np.uint8, count=min(len(bits.data) - first, 3 * count + 1), offset=first)
-        if len(raw) == 3 * count:
-            raw = np.append(raw, np.uint8(0))
-        whole = raw[:-1] >> off | (raw[1:].astype(np.uint16) << (8 - off)).astype(np.uint8) if off else raw[:-1]
-        bits.at += 24 * count
-        green, red, blue = REVERSED[whole].reshape(-1, 3).astype(np.uint32).T
-        return (np.uint32(codes[0][3].only << 24) | red << 16 | green << 8 | blue).reshape(height, width)
     out = [0] * count
     cache = [0] * cache_size
     at = kept = 0  # kept: pixels before it are in the cache
@@ -345,121 +312,3 @@ def decode_webp(data: bytes) -> np.ndarray:
             return decode_vp8l(data[at + 8 : at + 8 + size])
         at += 8 + size + (size & 1)
     raise ValueError("no lossless image in this file")
-
-
-class Writer:
-    """Collects bits, the least significant first."""
-
-    def __init__(self) -> None:
-        self.value = self.n = 0
-
-    def put(self, value: int, n: int) -> None:
-        self.value |= value << self.n
-        self.n += n
-
-
-def riff(vp8l: bytes) -> bytes:
-    pad = b"\0" * (len(vp8l) & 1)
-    return b"RIFF" + struct.pack("<I", 4 + 8 + len(vp8l) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(vp8l)) + vp8l + pad
-
-
-def _header(width: int, height: int) -> Writer:
-    w = Writer()
-    w.put(0x2F, 8)
-    w.put(width - 1, 14)
-    w.put(height - 1, 14)
-    w.put(0, 1 + 3 + 1)  # no alpha, version 0, no transform
-    w.put(0, 1 + 1)  # no colour cache, one group of prefix codes
-    for size in (280, 256, 256):  # green with lengths and cache, red, blue: 8 bits for each of 256 literals
-        w.put(0, 1)
-        own = {8: 1, 0: 1} if size > 256 else {8: 1}
-        upto = max(CODE_LENGTH_ORDER.index(s) for s in own) + 1
-        w.put(upto - 4, 4)
-        for s in CODE_LENGTH_ORDER[:upto]:
-            w.put(own.get(s, 0), 3)
-        w.put(0, 1)
-        if size > 256:  # canonical: 0 has code 0, 8 has code 1
-            w.put((1 << 256) - 1, 256)
-            w.put(0, size - 256)
-    w.put(1, 1)
-    w.put(0, 1)
-    w.put(1, 1)
-    w.put(255, 8)  # alpha: the one symbol 255
-    w.put(1, 1)
-    w.put(0, 1)
-    w.put(0, 1)
-    w.put(0, 1)  # distance: the one symbol 0
-    return w
-
-
-def encode_image(rgb: np.ndarray) -> bytes:
-    """A lossless WebP file of height x width x 3 bytes in the order R, G, B; at most 16384 of each."""
-    height, width, _ = rgb.shape
-    head = _header(width, height)
-    off, whole = head.n & 7, head.n >> 3
-    body = REVERSED[rgb[..., (1, 0, 2)].reshape(-1)]
-    stream = np.zeros(len(body) + 1, np.uint8)
-    stream[:-1] = body << off if off else body
-    if off:
-        stream[1:] |= body >> (8 - off)
-        stream[0] |= head.value >> (8 * whole)
-    else:
-        stream = stream[:-1]
-    return riff((head.value & ((1 << (8 * whole)) - 1)).to_bytes(whole, "little") + stream.tobytes())
-
-
-def store(payload: bytes) -> bytes:
-    """A payload whose length is a multiple of 192 as WebP files of 64 pixels a row, one after the other."""
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW_BYTES // 3, 3)
-    return b"".join(encode_image(rows[k : k + MAX_ROWS]) for k in range(0, len(rows), MAX_ROWS))
-
-
-def load(stored: bytes) -> bytes:
-    """The payload that store was given."""
-    out, at = [], 0
-    while at < len(stored):
-        size = 8 + int.from_bytes(stored[at + 4 : at + 8], "little")
-        out.append(decode_webp(stored[at : at + size])[..., 1:].tobytes())
-        at += size
-    return b"".join(out)
-
-
-def features(payload: bytes) -> str:
-    """Rows, mean, variance and the counts of eight equal ranges of the samples."""
-    x = np.frombuffer(payload, np.uint8)
-    counts = np.bincount(x >> 5, minlength=8)
-    mean = float(x.mean())
-    spread = float((counts_256 := np.bincount(x, minlength=256)) @ (np.arange(256) - mean) ** 2 / counts_256.sum())
-    return f"rows={len(x) // ROW_BYTES};mean={mean:.6f};var={spread:.6f};hist=" + ",".join(map(str, counts))
-
-
-def padded(text: str) -> tuple[int, bytes]:
-    raw = text.encode()
-    return len(raw), raw + b" " * (ROW_BYTES - len(raw) if not raw else -len(raw) % ROW_BYTES)
-
-
-def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
-    """One row per input row with the digests of its stored form; with full also media, the stored bytes.
-
-    The text's UTF-8 bytes, filled with spaces to a positive multiple of 192, are written as lossless WebP (several
-    files in a row beyond 16384 rows of pixels), read back and measured. Null text counts as empty; equal texts give
-    equal values; rows with the same or a null id are kept. Other columns play no part.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
-                rows = []
-                for text in piece.column(1):
-                    n, payload = padded(text.as_py())
-                    stored = store(payload)
-                    back = load(stored)
-                    row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), features(back))
-                    rows.append((*row, stored) if full else row)
-                names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
-                yield pa.RecordBatch.from_pydict({"doc_id": piece.column(0), **dict(zip(names, map(list, zip(*rows, strict=True)), strict=False))})
-
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return slim.mapInArrow(run, schema + (", media binary" if full else ""))

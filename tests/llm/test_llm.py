@@ -1,5 +1,6 @@
 """Each operator against plain Python, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import base64
 import collections
 import hashlib
 import random
@@ -9,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quillon.llm import bpe, exact_dedup, html_text, jaccard_join, lm_score, mixing, quality, suffix_dedup, token_store, webp
+from quillon.llm import bpe, exact_dedup, html_text, jaccard_join, lm_score, media, mixing, quality, suffix_dedup, token_store, webp, webp_lanes
 from quillon.llm.graph_components import components
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
@@ -215,26 +216,84 @@ def test_token_store(spark, tmp_path):
         token_store.unpack(token_store.pack(ids)[:-1])
 
 
+def files_of(stored):
+    out, at = [], 0
+    while at < len(stored):
+        size = 8 + int.from_bytes(stored[at + 4 : at + 8], "little")
+        out.append(stored[at : at + size])
+        at += size
+    return out
+
+
 def test_webp_round_trip(spark):
-    rng = np.random.default_rng(1)
-    for shape in ((1, 1, 3), (3, 7, 3), (65, 64, 3)):
-        rgb = rng.integers(0, 256, shape, dtype=np.uint8)
-        assert (webp.decode_webp(webp.encode_image(rgb))[..., 1:] == rgb).all()
-    texts = ["", "abc", "é" * 500, None, "abc", "y" * 4_000_000]
-    df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, media string")
-    rows = sorted(webp.media(df).collect())
-    for r, t in zip(rows, texts, strict=True):
+    texts = ["", "abc", "é" * 500, None, "abc", "y" * 1_000_000, "the cat sat on the mat. " * 700]
+    df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)] + [(None, "abc", "z")], "doc_id long, text string, media string")
+    rows = sorted(media.media(df, full=True).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
+    for r, t in zip(rows, [*texts, "abc"], strict=True):
         raw = (t or "").encode()
         full = raw + b" " * (192 if not raw else -len(raw) % 192)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
-    assert rows[1][1:] == rows[4][1:]
+        # the general decoder reads what the lanes wrote
+        assert b"".join(webp.decode_webp(f)[..., 1:].tobytes() for f in files_of(r["media"])) == full
+        assert (r["media_bytes"], r["media_sha256"]) == (len(r["media"]), hashlib.sha256(r["media"]).hexdigest())
+    assert rows[1][1:] == rows[4][1:] == rows[7][1:]
+    assert media.media(df.limit(0)).count() == 0
+
+
+def test_webp_lanes_use_what_the_format_offers():
+    rng = np.random.default_rng(1)
+    prose = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "the", "and", "run"], 900)).encode()
+    prose = prose[: len(prose) // 192 * 192]
+    grey = np.repeat(rng.integers(0, 256, 64 * 32, dtype=np.uint8), 3).tobytes()  # green explains red and blue
+    few = rng.integers(0, 12, 64 * 40).astype(np.uint8).repeat(3).tobytes()
+    noise = [rng.integers(0, 256, 192 * k, dtype=np.uint8).tobytes() for k in (1, 2, 31, 32, 33)]
+    skewed = (rng.geometric(0.5, 192 * 32) - 1).astype(np.uint8).tobytes()  # rare symbols get the longest codes
+    payloads = [prose, grey, few, skewed, *noise]
+    stored = media.store(payloads)
+    assert media.load(stored) == payloads
+    assert len(stored[0]) < len(prose) / 2 and len(stored[1]) < len(grey) / 2 and len(stored[2]) < len(few) / 4
+    streams = [f[20:] for x in stored for f in files_of(x)]
+    found = [b""] * len(streams)
+    plain = webp_lanes._decode_lanes(streams, found)
+    owners = [k for k, x in enumerate(stored) for _ in files_of(x)]
+    assert [bool(p) for p in plain] == [k != 2 for k in owners]  # palettes are for the general decoder
+    assert streams[owners.index(1)][5] & 7 == 0b101 and streams[owners.index(0)][5] & 1 == 0  # subtract green, none
+    seen = collections.Counter()
+    original = webp._extra
+    try:
+        webp._extra = lambda b, s: (seen.update(["copy"]), original(b, s))[1]
+        webp.decode_vp8l(streams[owners.index(0)])
+    finally:
+        webp._extra = original
+    assert seen["copy"] > 20
+    # any counts give complete codes
+    for _ in range(50):
+        counts = rng.integers(0, 2, (7, 300)) * rng.integers(0, 10 ** rng.integers(1, 7), (7, 300))
+        lengths = webp_lanes.code_lengths(counts)
+        assert webp_lanes.whole_code(lengths, webp_lanes.LONGEST).all() and ((lengths > 0) | (counts == 0)).all()
+
+
+def test_webp_of_another_encoder():
+    data = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")  # a public one-pixel file
+    assert webp.decode_webp(data).shape == (1, 1, 4) and webp_lanes.decoded([data]) == [webp.decode_webp(data)[..., 1:].tobytes()]
+
+
+class Writer:
+    """Collects bits, the least significant first."""
+
+    def __init__(self):
+        self.value = self.n = 0
+
+    def put(self, value, n):
+        self.value |= value << self.n
+        self.n += n
 
 
 class Lossless:
     """Writes a VP8L stream bit by bit, with simple prefix codes of one or two symbols."""
 
     def __init__(self, width, height):
-        self.w = webp.Writer()
+        self.w = Writer()
         self.w.put(0x2F, 8)
         self.w.put(width - 1, 14)
         self.w.put(height - 1, 14)
