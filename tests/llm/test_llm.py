@@ -3,8 +3,10 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -481,6 +483,91 @@ def test_html_keeps_an_article_in_a_node_of_any_name():
         assert html_text.extract(f"<body><div {names}>{text.replace('h2', 'h1')}</div>{talk}{around}</body>") == want
 
 
+def test_html_names_remove_nothing_from_an_article_without_links():
+    text = [f"Sentence {i} of the article, with enough words to count as its text." for i in range(6)]
+    for names in ("social-history", "related-work", "widget", "share", "banner", "notice", "disclaimer", "overlay"):
+        for tag in ("p", "div"):
+            for top in ("article", "div"):
+                page = f"<body><nav><a href=x>Home</a></nav><{top}><h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in text[:3]) + f"<{tag} class='{names}'>{text[3]}</{tag}><p>{text[4]}</p></{top}></body>"
+                assert html_text.extract(page) == "\n".join(["Title", *text[:5]]), (names, tag, top)
+    links = "<div class='related'>Read <a href=1>one more thing</a> <a href=2>and another</a></div><ul class='share'><li><a href=3>Post</a></ul>"
+    page = "<body><article><h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in text) + f"{links}</article></body>"
+    assert html_text.extract(page) == "\n".join(["Title", *text])
+
+
+def plain_density(page_nodes, body_share):
+    """The density sum of every node by direct recursion over the tree, for pages without named or removed nodes."""
+
+    def text_of(node):
+        return "".join("".join(x.split()) if isinstance(x, str) else text_of(x) for x in node.items)
+
+    def under(node):
+        return [y for x in node.items if not isinstance(x, str) for y in (x, *under(x))]
+
+    def linked(node, inside=False):
+        inside = inside or node.tag == "a"
+        return sum((len("".join(x.split())) if inside else 0) if isinstance(x, str) else linked(x, inside) for x in node.items)
+
+    def dense(node):
+        c, lc = len(text_of(node)), linked(node)
+        if not c:
+            return 0.0
+        t, lt = max(len(under(node)), 1), max(sum(x.tag == "a" for x in under(node)), 1)
+        scale = max(math.log(math.log(c / max(c - lc, 1) * lc + body_share * c + math.e)), 1.0)
+        return c / t * math.log(1 + c / max(lc, 1) * t / lt) / scale
+
+    return {id(n): sum(dense(x) for x in n.items if not isinstance(x, str)) for n in page_nodes}
+
+
+def test_html_density_against_brute_force(monkeypatch):
+    rng = random.Random(5)
+
+    def block(depth):
+        if depth == 0 or rng.random() < 0.3:
+            words = " ".join("word" * rng.randint(1, 2) for _ in range(rng.randint(1, 40)))
+            return f"<a href=x>{words}</a>" if rng.random() < 0.25 else f"<p>{words} <a href=y>link</a></p>" if rng.random() < 0.3 else f"<p>{words}</p>"
+        return "<div>" + "".join(block(depth - 1) for _ in range(rng.randint(1, 5))) + "</div>"
+
+    changed = 0
+    for _ in range(60):
+        page = "<body>" + "".join(block(3) for _ in range(3)) + "</body>"
+        tree = html_text.Weighed(html_text.parse(page))
+        share = tree.links[0]
+        want = plain_density(tree.nodes, share)
+        assert all(math.isclose(want[id(n)], t, rel_tol=1e-9, abs_tol=1e-12) for n, t in zip(tree.nodes, tree.total, strict=True))
+        # what is returned holds the node of the largest sum, with all its text
+        best = max(range(len(tree.nodes)), key=lambda k: (tree.total[k], -k))
+        got = html_text.extract(page)
+        assert "\n".join(html_text.blocks(tree.nodes[best], set())) in got
+        with monkeypatch.context() as without:
+            without.setattr(html_text, "density", lambda *_: 1.0)
+            changed += html_text.extract(page) != got
+    assert changed > 20  # densities decide
+
+
+def test_html_density_chooses_between_nodes_of_no_name():
+    menu = "<div>" + "".join(f"<div><a href={i}>Entry number {i}</a></div>" for i in range(30)) + "</div>"
+    teasers = "<div>" + "".join(f"<div><a href={i}>Teaser {i}</a><span>short</span></div>" for i in range(12)) + "</div>"
+    text = [f"Paragraph {i} runs on for a good while and says something, as paragraphs of an article do." for i in range(5)]
+    page = f"<body>{menu}<div><h2>The title</h2>" + "".join(f"<p>{x}</p>" for x in text) + f"</div>{teasers}</body>"
+    assert html_text.extract(page) == "\n".join(["The title", *text])
+
+
+def test_html_takes_linear_time():
+    for page in ("<b>" * 60_000 + "</i>" * 60_000, "<b>" * 30_000 + "<p></p>" * 30_000, "<i><div>" + "<b>" * 60_000 + "</i>" * 60_000):
+        start = time.process_time()
+        html_text.extract(page)
+        assert time.process_time() - start < 15
+    words = "many words " * 200_000
+    assert html_text.extract(f"<article><p>{words}</p></article>") == words.strip()
+
+
+def test_html_empty_table_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "u", "<p>x</p>", 1)] * 3, "page_id long, url string, html string, n_chars int")
+    assert [tuple(r) for r in html_text.main_text(df).collect()] == [(1, "u", "x", 1)] * 3
+    assert html_text.main_text(df.limit(0)).count() == 0
+
+
 def test_mixing(spark):
     rng = random.Random(9)
     rows = [(i, " ".join("w" for _ in range(rng.randint(0, 30))), rng.choice(["en", "de", None]), f"src{rng.choice([0, 0, 0, 1, 2, 5])}", "z") for i in range(600)]
