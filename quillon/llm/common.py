@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,16 +33,71 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-checkpoint-"))
     return context.getCheckpointDir()
 
 
+class Scratch:
+    """Tables written to a folder of their own in the shared one. Those not dropped before go when the driver's Python ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        atexit.register(self._clear)
+
+    def kept(self, name: str, df: DataFrame) -> DataFrame:
+        """df, written and read again, which cuts its lineage."""
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables that no result will read again."""
+        for name in names:
+            self._delete(f"{self.folder}/{name}")
+
+    def _delete(self, path: str) -> None:
+        java = self.spark._jvm
+        at = java.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+    def _clear(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended with its folders' file system
+            self._delete(self.folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut through reliable files, which outlive any executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+#: At most so many keys are broadcast, whatever the input; a key of fewer rows than LIGHT isn't worth it.
+HEAVY, LIGHT = 512, 2000
+
+
+def joined(rows: DataFrame, table: DataFrame, *keys: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """rows joined with table, which has one short row for each of its keys; how is inner or left.
+
+    Keys of more than 1 / HEAVY of all rows, of which there can't be more than HEAVY, are counted first (in counted, if that is cheaper to
+    read) and table's rows of them are broadcast, so that none of them meets in one task; the rest is shuffled.
+    """
+    counted = rows if counted is None else counted
+    known = F.lit(True)
+    for key in keys:
+        known &= F.col(key).isNotNull()
+    top = counted.filter(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > LIGHT).orderBy(F.desc("__n")).limit(HEAVY).collect()
+    least = counted.count() // HEAVY if top else 0
+    heavy = [r[: len(keys)] for r in top if r["__n"] > least]
+    if not heavy:
+        return rows.join(table.hint("merge"), list(keys), how)
+    named = F.broadcast(rows.sparkSession.createDataFrame(heavy, rows.select(*keys).schema))
+    hot = F.broadcast(table.join(named, list(keys), "left_semi"))
+    apart = rows.join(named, list(keys), "left_anti").join(table.hint("merge"), list(keys), how)
+    return rows.join(named, list(keys), "left_semi").join(hot, list(keys), how).unionByName(apart)
+
+
 def text_of(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

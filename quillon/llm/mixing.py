@@ -90,11 +90,18 @@ def mixture(
     its documents are taken 0 times beyond the prefix, into which a text without tokens always fits once its turn
     comes. Rows with the same id are counted as separate documents. An empty table gives an empty result.
     """
+    dealt = _dealt(docs, weights, percent, max_epochs, seed, id_col, text_col, domain)
+    return dealt.select("doc_id", *LEVELS, "n_tokens", F.col("supply").alias("leaf_supply"), F.col("budget").alias("leaf_budget"), "copies")
+
+
+def _dealt(docs: DataFrame, weights, percent, max_epochs, seed, id_col, text_col, domain, *more: Column) -> DataFrame:
+    """What mixture returns, with supply, budget and the columns ``more`` of each row."""
     slim = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("n_tokens"),
+        *more,
     )
     slim = cut(slim.withColumn("domain", source_domain() if domain is None else domain))
     leaves = cut(leaf_budgets(slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply")), weights, percent, max_epochs))
@@ -114,14 +121,22 @@ def mixture(
     order = Window.partitionBy(*LEVELS, "bin").orderBy("at", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     within = dealt.filter(edge).withColumn("more", (F.col("bin_before") + F.sum("n_tokens").over(order) <= F.col("left")).cast("long"))
     apart = dealt.filter(~edge).withColumn("more", (F.col("bin_before") + F.col("bin_tokens") <= F.col("left")).cast("long"))
-    return within.unionByName(apart).select(
-        "doc_id", *LEVELS, "n_tokens", F.col("supply").alias("leaf_supply"), F.col("budget").alias("leaf_budget"), (F.col("whole") + F.col("more")).alias("copies")
-    )
+    return within.unionByName(apart).withColumn("copies", F.col("whole") + F.col("more"))
+
+
+def _row_key(id_col: str, text_col: str) -> Column:
+    """Tells rows apart by id, language, source and text."""
+    return F.md5(F.concat_ws("\x00", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (id_col, "lang", "source", text_col))))
 
 
 def mix(docs: DataFrame, weights: Mapping[str, Mapping[str, int]], percent: int, max_epochs: int, seed: int = 0) -> DataFrame:
-    """The rows of docs, each repeated as often as mixture takes it, with the columns of docs."""
-    taken = mixture(docs, weights, percent, max_epochs, seed).filter("copies > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[joined[f"`{c}`"] for c in docs.columns])
+    """The rows of docs, each repeated as often as mixture takes it, with the columns of docs.
+
+    Rows that share an id are documents of their own; of rows that agree in id, language, source and text each gets one row's copies.
+    """
+    numbered = Window.partitionBy("__key")
+    taken = _dealt(docs, weights, percent, max_epochs, seed, "doc_id", "text", None, _row_key("doc_id", "text").alias("__key"))
+    taken = taken.select("__key", F.col("copies").alias("__copies")).withColumn("__nth", F.row_number().over(numbered.orderBy(F.desc("__copies"))))
+    rows = docs.select(F.struct("*").alias("__row"), _row_key("doc_id", "text").alias("__key")).withColumn("__nth", F.row_number().over(numbered.orderBy(F.lit(0))))
+    joined = rows.join(taken.filter("__copies > 0"), ["__key", "__nth"])
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__row.*")

@@ -3,20 +3,24 @@
 1. Every 200-byte window of a document is assigned to one 48-byte anchor in it: the one of smallest hash, the leftmost of equals. Windows
    with one anchor follow each other; they and the bytes that they cover are a context. Equal windows have equal anchors at equal places in
    them, so only contexts whose anchor occurs again can hold a repeat.
-2. Contexts that are equal as a whole repeat in all their windows. Of each different context with a repeated anchor one stands for all.
+2. Contexts that are equal as a whole (told by 128-bit digests) are one kind, whose windows all repeat if it occurs twice. Of each kind of
+   an anchor with several kinds one context stands for all.
 3. These contexts are dealt out by anchor. Those that agree with no other one on either side of the anchor far enough for a
    window are left out. A task cuts the others into shards, builds each shard's Burrows-Wheeler transform
-   and merges the transforms by refining their interleave: one round takes the current order of all rows, reads each row's symbol
-   and moves it, in that order, to its symbol's bucket. After h rounds rows are ordered by h symbols; a boundary that appears in a
-   round gives a common prefix's length, and rows alone between boundaries are left out of later rounds. What is left after 200 rounds
+   and merges the transforms by refining their interleave: a round takes the current order of all rows, reads the symbols before each row's
+   suffix and moves it, in that order, to their bucket. Symbols are read up to 24 at a time, along as many steps of the
+   transform at once. After rounds of h symbols in all, rows are ordered by h symbols; a boundary that appears in a
+   round bounds a common prefix, and rows alone between boundaries are left out of later rounds. What is left after 200 symbols
    are the intervals of repeated 200-byte strings; no suffix is sorted again after its shard's transform has been built.
-4. An anchor with very many different contexts is compared window by window instead, by a count over hashed windows.
+4. An anchor with more contexts than a task should merge is split: two contexts that share a window agree, of the bytes that the window has
+   beside the anchor, in at least half on one side of it. So each context goes to the group of those with its bytes to the right and to
+   that of those with its bytes to the left, and groups still too large are split again, by half of what a window then lacks. After at most
+   eight rounds nothing is lacking: then all of a group share that window. Groups of any size come through the merge this way.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +29,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import shared_dir, text_of
+from quillon.llm.common import Scratch, by_bytes, text_of
 
 LENGTH = 200
 ANCHOR = 48
 #: Bytes of one shard, and of the contexts that are merged at a time.
 SHARD_BYTES, MERGE_BYTES = 1 << 18, 1 << 20
-#: Different contexts of one anchor beyond which its windows are counted instead.
-MOST_CONTEXTS = 20_000
+#: Contexts of a group beyond which it is split by what lies beside the anchor.
+GROUP = 4000
+#: Contexts that a task of the merge should have.
+TASK_CONTEXTS = 16_000
+#: At most so many keys are broadcast, whatever the input.
+HEAVY = 512
+SPLIT = ("uid", "gid", "lo", "off", "alone", "context", "left", "right")
 #: Window starts handled at a time in a very long document; positions must fit in 24 bits.
 SEGMENT = 1 << 22
 BASE = 0x5851F42D4C957F2D
@@ -147,29 +156,72 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return symbols, leads, places
 
 
+def dense(key: np.ndarray) -> tuple[np.ndarray, int]:
+    """Each key's rank among the different keys, and how many there are."""
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    out = np.empty(len(key), np.uint64)
+    out[order] = np.cumsum(new) - 1
+    return out, int(new.sum())
+
+
 def merged_repeats(shards: list[list[bytes]], length: int) -> list[list[np.ndarray]]:
     """For each string of each shard, the starts at which its string of that length occurs elsewhere in them too."""
     parts = [transform(s) for s in shards]
     base = np.cumsum([0] + [len(p[0]) for p in parts])
     symbols = np.concatenate([p[0] for p in parts])
     leads = np.concatenate([p[1] + b for p, b in zip(parts, base, strict=False)])
+    places = np.concatenate([p[2] for p in parts])
+    depth = np.empty(len(symbols), np.int64)  # symbols of the string before each row's suffix
+    for k, strings in enumerate(shards):
+        sizes = np.array([len(s) + 1 for s in strings], np.int64)
+        depth[base[k] : base[k + 1]] = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))[parts[k][2]]
     rows = np.arange(len(symbols))  # the interleave: shard after shard, as no symbol has been read
     block = np.zeros(len(symbols), np.int64)
-    for _ in range(length):
-        read = symbols[rows]
-        inner = read > 0
-        rows, block, read = rows[inner], block[inner], read[inner]
-        order = np.argsort(read, kind="stable")
-        rows, block, read = leads[rows[order]], block[order], read[order]
+
+    def refined(rows: np.ndarray, block: np.ndarray, keys: np.ndarray, leads: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """The interleave by ``step`` symbols more; keys number what stands before each row, below 2**31."""
+        inner = depth[rows] >= step
+        rows, block = rows[inner], block[inner]
+        packed = keys[rows] << np.uint64(32) | np.arange(len(rows), dtype=np.uint64)
+        packed.sort()  # by key, and of equal keys in the order so far
+        order = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        read = packed >> np.uint64(32)
+        rows, block = leads[rows[order]], block[order]
         new = np.ones(len(rows), bool)
         new[1:] = (read[1:] != read[:-1]) | (block[1:] != block[:-1])
         last = np.ones(len(rows), bool)
         last[:-1] = new[1:]
         more = ~(new & last)
-        rows, block = rows[more], np.cumsum(new)[more]
-        if not len(rows):
-            break
-    places = np.concatenate([p[2] for p in parts])
+        return rows[more], np.cumsum(new)[more]
+
+    # steps of 1, 8 and 24 symbols: what is read along them, and where they lead
+    left = length
+    for _ in range(length % 8):
+        rows, block = refined(rows, block, symbols.astype(np.uint64), leads, 1)
+        left -= 1
+    if left and len(rows):
+        eight, keys = np.arange(len(symbols)), np.zeros(len(symbols), np.uint64)
+        for _ in range(8):
+            keys = keys << np.uint64(8) | (symbols[eight].astype(np.uint64) - np.uint64(1)) & np.uint64(255)
+            eight = leads[eight]
+        keys, kinds = dense(keys)
+        while left % 24 and len(rows):
+            rows, block = refined(rows, block, keys, eight, 8)
+            left -= 8
+        if left and len(rows):
+            two = eight[eight]
+            far = eight[two]
+            if kinds <= 1 << 21:
+                keys, _ = dense(keys << np.uint64(42) | keys[eight] << np.uint64(21) | keys[two])
+            else:
+                pairs, _ = dense(keys << np.uint64(32) | keys[eight])
+                keys, _ = dense(pairs << np.uint64(32) | keys[two])
+            while left and len(rows):
+                rows, block = refined(rows, block, keys, far, 24)
+                left -= 24
     out = []
     for k, strings in enumerate(shards):
         own = np.sort(places[rows[(rows >= base[k]) & (rows < base[k + 1])]])
@@ -198,49 +250,83 @@ def likely(rows: list[tuple], length: int, anchor: int) -> list[tuple]:
 
 
 def _contexts(docs: DataFrame, length: int) -> DataFrame:
+    """All contexts of docs(uid, text): the anchor's hash, two halves of the whole context's digest, the document, first and last window, anchor's place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length)
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                piece = batch.slice(at, 1000)
+            for piece in by_bytes(batch, 1, 1 << 22):
                 columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
-                for uid, text in zip(piece.column(0).to_pylist(), piece.column(1), strict=True):
+                for k, text in enumerate(piece.column(1)):
                     raw = text.as_py().encode("utf-8", "surrogatepass")
                     if len(raw) < length:
                         continue
                     h, place, lo, hi = anchors.contexts(np.frombuffer(raw, np.uint8))
                     off = place - lo
-                    digest = xxhash.xxh3_64_intdigest
                     cuts = zip(lo.tolist(), (hi + length).tolist(), off.tolist(), strict=True)
-                    whole = np.array([digest(raw[a:b], seed=o) for a, b, o in cuts], np.uint64)
-                    for column, x in zip(columns, (h.view(np.int64), whole.view(np.int64), np.full(len(h), uid), lo, hi, off), strict=True):
+                    whole = np.frombuffer(b"".join([digest(raw[a:b], seed=o) for a, b, o in cuts]), np.int64).reshape(-1, 2)
+                    for column, x in zip(columns, (h.view(np.int64), whole, np.full(len(h), k), lo, hi, off), strict=True):
                         column.append(x)
                 if columns[0]:
-                    flat = [np.concatenate(c) for c in columns]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in flat], ["anchor", "whole", "uid", "lo", "hi", "off"])
+                    h, whole, k, lo, hi, off = (np.concatenate(c) for c in columns)
+                    uids = piece.column(0).take(pa.array(k))
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), uids, *map(pa.array, (lo, hi, off))], ["anchor", "w0", "w1", "uid", "lo", "hi", "off"])
 
-    return docs.select("uid", "text").mapInArrow(run, "anchor long, whole long, uid long, lo long, hi long, off long")
+    return docs.select("uid", "text").mapInArrow(run, "anchor long, w0 long, w1 long, uid binary, lo long, hi long, off long")
+
+
+def _met(rows: DataFrame, found: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with found(*keys, n), whose n says how many rows each key has.
+
+    Keys of more than 1 / HEAVY of all rows, of which there can't be more than HEAVY, are broadcast; the rest is shuffled.
+    """
+    heavy = found.filter(F.col("n") >= max(2, total // HEAVY + 1))
+    rest = found.filter(F.col("n") < max(2, total // HEAVY + 1))
+    apart = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(rest.hint("merge"), keys)
+    return rows.join(F.broadcast(heavy), keys).unionByName(apart)
 
 
 def _texts_of(contexts: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """contexts with their bytes. A document's contexts are gathered; they are no more than its bytes."""
-    listed = contexts.groupBy("uid").agg(F.collect_list(F.struct("anchor", "many", "lo", "hi", "off", "alone")).alias("parts"))
+    names = ("gid", "n", "lo", "hi", "off", "alone")
+    listed = contexts.groupBy("uid").agg(F.collect_list(F.struct(*names)).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 uid, raw = batch.column(0)[row].as_py(), batch.column(1)[row].as_py().encode("utf-8", "surrogatepass")
                 parts = batch.column(2)[row].as_py()
-                out = {k: [p[k] for p in parts] for k in ("anchor", "many", "lo", "hi", "off", "alone")}
-                yield pa.RecordBatch.from_pydict({"uid": pa.array([uid] * len(parts), pa.int64()), **out, "context": [raw[p["lo"] : p["hi"] + length] for p in parts]})
+                out = {k: [p[k] for p in parts] for k in names if k != "hi"}
+                yield pa.RecordBatch.from_pydict({"uid": pa.array([uid] * len(parts), pa.binary()), **out, "context": [raw[p["lo"] : p["hi"] + length] for p in parts]})
 
     one = docs.select("uid", "text").dropDuplicates(["uid"])
-    schema = "uid long, anchor long, many boolean, lo long, hi long, off long, alone boolean, context binary"
-    return one.join(listed, "uid").mapInArrow(run, schema)
+    return one.join(listed, "uid").mapInArrow(run, "uid binary, gid binary, n long, lo long, off long, alone boolean, context binary")
 
 
-def _merged(contexts: DataFrame, length: int) -> DataFrame:
-    """Spans (uid, lo, hi) of repeated window starts, in contexts that no other equals."""
+def _split(contexts: DataFrame, length: int) -> DataFrame:
+    """The contexts of groups that are too large, each in up to two groups of those that agree in more bytes beside the anchor."""
+    anchor = min(ANCHOR, length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for uid, gid, lo, off, alone, context, left, right in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                half = -(-(length - anchor - left - right) // 2)
+                end = off + anchor + right
+                if end + half <= len(context):
+                    out.append((uid, xxhash.xxh3_128_digest(gid + b"R" + context[end : end + half]), lo, off, alone, context, left, right + half))
+                if left + half <= off:
+                    out.append((uid, xxhash.xxh3_128_digest(gid + b"L" + context[off - left - half : off - left]), lo, off, alone, context, left + half, right))
+            if out:
+                types = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], list(SPLIT))
+
+    return contexts.select(*SPLIT).mapInArrow(run, "uid binary, gid binary, lo long, off long, alone boolean, context binary, left long, right long")
+
+
+def _merged(contexts: DataFrame, tasks: int, length: int) -> DataFrame:
+    """Spans (uid, lo, hi) of repeated window starts, in contexts(gid, uid, lo, alone, off, context) that no other equals."""
 
     def repeats(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         shards: list[list[bytes]] = [[]]
@@ -261,7 +347,7 @@ def _merged(contexts: DataFrame, length: int) -> DataFrame:
                 lo += (starts[first] + row[2]).tolist()
                 hi += (starts[final] + row[2]).tolist()
         if uid:
-            yield pa.RecordBatch.from_pydict({"uid": uid, "lo": lo, "hi": hi})
+            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.binary()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["uid", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -269,7 +355,7 @@ def _merged(contexts: DataFrame, length: int) -> DataFrame:
         held = 0
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                if group and group[0][0] != row[0]:  # whole anchors only
+                if group and group[0][0] != row[0]:  # whole groups only
                     kept = likely(group, length, min(ANCHOR, length))
                     rows += kept
                     held += sum(len(r[5]) for r in kept)
@@ -282,25 +368,8 @@ def _merged(contexts: DataFrame, length: int) -> DataFrame:
         if rows:
             yield from repeats(rows)
 
-    dealt = contexts.filter("not many").select("anchor", "uid", "lo", "alone", "off", "context").repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "uid long, lo long, hi long")
-
-
-def _counted(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts, by counting their windows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                n = row["hi"] - row["lo"] + 1
-                digests = [xxhash.xxh3_128_digest(row["context"][k : k + length]) for k in range(n)]
-                yield pa.RecordBatch.from_pydict(
-                    {"uid": [row["uid"]] * n, "lo": list(range(row["lo"], row["hi"] + 1)), "alone": [row["alone"]] * n, "window": digests}
-                )
-
-    windows = contexts.filter("many").mapInArrow(run, "uid long, lo long, alone boolean, window binary")
-    twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
-    return windows.filter("alone").join(twice, "window").select("uid", "lo", F.col("lo").alias("hi"))
+    dealt = contexts.select("gid", "uid", "lo", "alone", "off", "context").repartition(tasks, "gid").sortWithinPartitions("gid")
+    return dealt.mapInArrow(run, "uid binary, lo long, hi long")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, full: bool = False) -> DataFrame:
@@ -312,21 +381,38 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    slim = slim.withColumn("uid", F.xxhash64("doc_id", "text"))
-    folder = f"{shared_dir(spark).rstrip('/')}/suffix-{uuid.uuid4().hex}"
-    found = _contexts(slim, length)
-    again = found.groupBy("anchor").agg(F.min("whole").alias("x"), F.max("whole").alias("y"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found.join(again.select("anchor", (F.col("x") == F.col("y")).alias("one")), "anchor").write.parquet(f"{folder}/again")
-    again = spark.read.parquet(f"{folder}/again")
-    mixed = again.filter("not one")
-    kinds = mixed.groupBy("anchor", "whole", "off").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "lo", "hi")).alias("at"))
-    sizes = kinds.groupBy("anchor").agg((F.count(F.lit(1)) > MOST_CONTEXTS).alias("many"))
-    stand = kinds.join(sizes, "anchor").select("anchor", "many", "off", F.col("at.uid").alias("uid"), F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), (F.col("n") == 1).alias("alone"))
-    _texts_of(stand, slim, length).write.parquet(f"{folder}/contexts")
-    contexts = spark.read.parquet(f"{folder}/contexts")
-    equal = mixed.join(kinds.filter("n > 1").select("anchor", "whole", "off"), ["anchor", "whole", "off"])
-    spans = again.filter("one").select("uid", "lo", "hi").unionByName(equal.select("uid", "lo", "hi"))
-    spans = spans.unionByName(_merged(contexts, length)).unionByName(_counted(contexts, length))
+    # rows with one id and text share a uid; that of any others differs, up to collisions of 128 bits
+    slim = slim.withColumn("uid", F.unhex(F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text")))))
+    scratch = Scratch(spark, "suffix")
+    kind = ["anchor", "w0", "w1", "off"]
+    found = scratch.kept("found", _contexts(slim, length))
+    total = found.count()
+    anchors = scratch.kept("anchors", found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    again = scratch.kept("again", _met(found, anchors, ["anchor"], total).drop("n"))
+    scratch.drop("found", "anchors")
+    kinds = scratch.kept("kinds", again.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "lo", "hi")).alias("at")))
+    spans = _met(again, kinds.filter("n > 1").select(*kind, "n"), kind, total).select("uid", "lo", "hi")
+    mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    reps = kinds.select("anchor", "off", F.col("at.uid").alias("uid"), F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), (F.col("n") == 1).alias("alone"))
+    stand = _met(reps, mixed, ["anchor"], total).withColumn("gid", F.encode(F.col("anchor").cast("string"), "utf-8"))
+    zero = F.lit(0).cast("long")
+    level = scratch.kept("contexts", _texts_of(stand, slim, length)).withColumn("left", zero).withColumn("right", zero)
+    depth = 0
+    while True:
+        depth += 1
+        rows = level.count()
+        small = level.filter((F.col("n") <= GROUP) & (F.col("left") + F.col("right") < length - min(ANCHOR, length)))
+        spans = spans.unionByName(scratch.kept(f"merged{depth}", _merged(small, max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // TASK_CONTEXTS), length)))
+        # a group that lacks no more bytes shares its window
+        at = F.col("lo") + F.col("off") - F.col("left")
+        spans = spans.unionByName(level.filter(F.col("alone") & (F.col("left") + F.col("right") >= length - min(ANCHOR, length))).select("uid", at.alias("lo"), at.alias("hi")))
+        large = level.filter((F.col("n") > GROUP) & (F.col("left") + F.col("right") < length - min(ANCHOR, length)))
+        if large.isEmpty():
+            break
+        parts = scratch.kept(f"split{depth}", _split(large, length))
+        sizes = parts.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        level = scratch.kept(f"level{depth}", _met(parts, sizes, ["gid"], parts.count()))
+        scratch.drop(f"split{depth}")
     listed = spans.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # no more than a text's bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

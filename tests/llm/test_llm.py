@@ -148,8 +148,9 @@ def test_suffix_dedup(docs, monkeypatch):
         want.append((r[0], len(t), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]), hashlib.sha256(kept).hexdigest()))
     assert any(w[2] for w in want)
     assert sorted((tuple(r) for r in suffix_dedup.without_repeats(df).collect()), key=str) == sorted(want, key=str)
-    monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", 1)  # the exact way for anchors with many contexts
-    assert sorted((tuple(r) for r in suffix_dedup.without_repeats(df).collect()), key=str) == sorted(want, key=str)
+    for group in (1, 3):  # groups that are split, down to windows that all members share
+        monkeypatch.setattr(suffix_dedup, "GROUP", group)
+        assert sorted((tuple(r) for r in suffix_dedup.without_repeats(df).collect()), key=str) == sorted(want, key=str)
     assert suffix_dedup.without_repeats(df.limit(0)).count() == 0
 
 
@@ -160,6 +161,12 @@ def test_merged_transforms():
     shards = [strings[:7], strings[7:8], strings[8:]]
     got = [x.tolist() for shard in suffix_dedup.merged_repeats(shards, 6) for x in shard]
     assert got == [[i for i in range(len(s) - 5) if places[s[i : i + 6]] > 1] for s in strings]
+    base = bytes(rng.randrange(256) for _ in range(700))
+    strings = [base[a : a + rng.randint(0, 300)] for a in (rng.randrange(600) for _ in range(25))] + [b"\0" * 90, b"\xff\0" * 40]
+    for length in (7, 8, 15, 24, 31, 50, 56, 72, 75):
+        places = collections.Counter(s[i : i + length] for s in strings for i in range(len(s) - length + 1))
+        got = [x.tolist() for shard in suffix_dedup.merged_repeats([strings[:9], strings[9:]], length) for x in shard]
+        assert got == [[i for i in range(len(s) - length + 1) if places[s[i : i + length]] > 1] for s in strings], length
     text = np.frombuffer(b"banana\0bandana\0", np.uint8).astype(np.uint16) + 1
     ends = np.array([6, 14])
     text[ends] = 0
@@ -600,6 +607,15 @@ def test_mixing(spark):
     assert mixing.mixture(df.limit(0), weights, 80, 2, 7).count() == 0
     assert mixing.mix(df, weights, 80, 2, 7).columns == df.columns
     assert mixing.mix(df, weights, 80, 2, 7).count() == sum(r["copies"] for r in got)
+    # rows with one id are documents of their own; repeated rows and null texts count one by one
+    rows = [(1, "a b c", "en", "src1"), (1, "a b c", "en", "src2"), (2, "d", "en", "src1"), (2, "d", "en", "src1"), (None, None, None, None), (3, None, "en", "src1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    half = {"source": {"src2": 0}}
+    got = collections.Counter()
+    for r in mixing.mixture(df, half, 100, 2, 3).collect():
+        got[r["doc_id"], r["source"]] += r["copies"]
+    assert got[1, "src2"] == 0 and got[1, "src1"] > 0
+    assert collections.Counter((r["doc_id"], r["source"] or "") for r in mixing.mix(df, half, 100, 2, 3).collect()) == +got
 
 
 def test_quality():
