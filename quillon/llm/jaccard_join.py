@@ -1,29 +1,31 @@
 """Exact near-duplicate join: word shingles with Jaccard similarity of at least 0.75, by signature trees.
 
-1. Every text becomes its set of hashed shingles. Equal sets form one class, and only classes go on.
+1. Every text becomes its set of hashed shingles. Equal sets form one class, named by a 128-bit digest, and only classes go on.
 2. Two sets that link share an item among the first n - ceil(0.75 n) + 1 of each, in any one order of all items. The order puts
    items that a sample finds frequent last, then goes by hash. Packed (item, class) pairs are shuffled by item, and
    classes that share an item of these prefixes are candidates: all pairs of a small group, and of a large one each member with the
    member that most large groups share.
 3. Candidates are joined by signature trees over bitmaps of whole sets: a leaf holds some sets, a node the OR of the bitmaps below it and
    the range of their sizes; two trees are walked together, and a pair of nodes is left when the items that they can share are too few for
-   the smallest sets in it. What is left is compared exactly, by whole sets.
-4. Large groups that the links found so far don't join into one component are walked in full, by trees over the whole group.
+   the smallest sets in it.
+4. What is left is compared exactly, by whole sets: first each class with one candidate, the one of most candidates, then the pairs that
+   these links don't join into one component yet. A text travels once for each pair, to the text that it is compared with.
+5. Large groups that the links found so far don't join into one component are walked in full, by trees over the whole group.
 """
 
 from __future__ import annotations
 
-import uuid
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, shared_dir, text_of
+from quillon.llm.common import WORD, Scratch, cut, joined, text_of
 from quillon.llm.graph_components import components
 
 WORDS = 5
@@ -41,8 +43,10 @@ LEAF, FAN = 8, 4
 WIDTHS, PER_ITEM = (256, 512, 1024, 2048, 4096, 8192, 16384, 32768, 65536), 6
 #: Sets that link have sizes in one or two neighbouring steps of this ratio, which is a little over WHOLE / PARTS.
 STEP = 1.34
-#: Classes whose names and ids (16 bytes each) are broadcast at most; more are joined by a shuffle.
-MOST_BROADCAST = 1 << 20
+#: Sizes travel with prefixes as steps of this ratio, of which sets that link lie at most FAR apart (one more than the ratio gives, for rounding).
+FINE, FAR = 1.08, 5
+#: Texts that are compared with one text in one task.
+SPOKES = 500
 BASE = 0x5851F42D4C957F2D
 WHITE_BYTE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -116,9 +120,13 @@ def folded(bitmap: int, bits: int) -> int:
     return out
 
 
-def set_id(items: np.ndarray) -> int:
-    """A class's 64-bit name; 0 is the empty set's alone."""
-    return (xxhash.xxh3_64_intdigest(items.tobytes()) | 1) - 2**63 if len(items) else 0
+def set_id(items: np.ndarray) -> bytes | None:
+    """A class's name of 16 bytes; the empty set has none."""
+    return xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None
+
+
+def fine_step(n: int) -> int:
+    return int(math.log(n) / math.log(FINE))
 
 
 def prefix_length(n: int) -> int:
@@ -216,17 +224,18 @@ def _classes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Words()
         for batch in batches:
-            sets = [shingles(text.as_py(), hashes) for text in batch.column(1)]
+            sets = [shingles(text.as_py(), hashes) for text in batch.column(2)]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column(0),
+                    "key": batch.column(1),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "class": pa.array([set_id(s) for s in sets], pa.int64()),
+                    "class": pa.array([set_id(s) for s in sets], pa.binary()),
                     "sketch": pa.array([sketch(s) for s in sets], pa.binary()),
                 }
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, sketch binary")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key binary, n_shingles long, class binary, sketch binary")
 
 
 def _often(docs: DataFrame, total: int) -> np.ndarray:
@@ -248,13 +257,13 @@ def _prefixes(docs: DataFrame, often: np.ndarray, buckets: int) -> DataFrame:
     """Packed prefixes: a row per batch of documents and bucket of items."""
     broadcast = docs.sparkSession.sparkContext.broadcast(often)  # at most MOST_OFTEN items
 
-    def pack(items: list[np.ndarray], names: list[int], sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    def pack(items: list[np.ndarray], names: list[bytes], steps: list[int]) -> Iterator[pa.RecordBatch]:
         item = np.concatenate(items)
-        lengths = [len(x) for x in items]
-        name, size = np.repeat(np.array(names, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths)
+        owner = np.repeat(np.arange(len(items)), [len(x) for x in items])
         bucket = (item * MIXERS[0] >> np.uint64(33)).astype(np.int64) % buckets
         order = np.argsort(bucket, kind="stable")
-        item, name, size, bucket = item[order], name[order], size[order], bucket[order]
+        item, owner, bucket = item[order], owner[order], bucket[order]
+        name, step = np.frombuffer(b"".join(names), np.uint64).reshape(-1, 2)[owner], np.array(steps, np.uint8)[owner]
         at = np.flatnonzero(np.diff(bucket, prepend=-1))
         ends = [*at[1:].tolist(), len(bucket)]
         cuts = list(zip(at.tolist(), ends, strict=True))
@@ -263,16 +272,16 @@ def _prefixes(docs: DataFrame, often: np.ndarray, buckets: int) -> DataFrame:
                 "bucket": pa.array(bucket[at], pa.int64()),
                 "items": [item[a:b].tobytes() for a, b in cuts],
                 "names": [name[a:b].tobytes() for a, b in cuts],
-                "sizes": [size[a:b].tobytes() for a, b in cuts],
+                "steps": [step[a:b].tobytes() for a, b in cuts],
             }
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, often = Words(), broadcast.value
         items: list[np.ndarray] = []
-        names: list[int] = []
-        sizes: list[int] = []
-        met: set[int] = set()
+        names: list[bytes] = []
+        steps: list[int] = []
+        met: set[bytes] = set()
         held = 0
         for batch in batches:
             for text in batch.column(0):
@@ -285,77 +294,58 @@ def _prefixes(docs: DataFrame, often: np.ndarray, buckets: int) -> DataFrame:
                     own = np.concatenate([own[~late], own[late]])
                 items.append(own[: prefix_length(len(own))])
                 names.append(name)
-                sizes.append(len(own))
+                steps.append(fine_step(len(own)))
                 held += len(items[-1])
                 if held >= 2_000_000:
-                    yield from pack(items, names, sizes)
-                    items, names, sizes, held = [], [], [], 0
+                    yield from pack(items, names, steps)
+                    items, names, steps, held = [], [], [], 0
                     met.clear()
         if items:
-            yield from pack(items, names, sizes)
+            yield from pack(items, names, steps)
 
-    return docs.select("text").mapInArrow(run, "bucket long, items binary, names binary, sizes binary")
+    return docs.select("text").mapInArrow(run, "bucket long, items binary, names binary, steps binary")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """From packed prefixes: kind 0, candidate pairs (a, b); kind 1, members b of a large group, which a names by its members.
+    """From packed prefixes: kind 0, candidate pairs of classes (a, b); kind 1, members b of a large group, which a names by its members.
 
     Items that the same classes share, as those of one passage are, give one group.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         item = np.frombuffer(b"".join(pdf["items"]), np.uint64)
-        name = np.frombuffer(b"".join(pdf["names"]), np.int64)
-        size = np.frombuffer(b"".join(pdf["sizes"]), np.int32)
-        order = np.lexsort((name, item))
-        item, name, size = item[order], name[order], size[order]
+        name = np.frombuffer(b"".join(pdf["names"]), np.uint64).reshape(-1, 2)
+        step = np.frombuffer(b"".join(pdf["steps"]), np.uint8)
+        order = np.lexsort((name[:, 1], name[:, 0], item))
+        item, name, step = item[order], name[order], step[order]
         first = np.ones(len(item), bool)
-        first[1:] = (item[1:] != item[:-1]) | (name[1:] != name[:-1])
-        item, name, size = item[first], name[first], size[first]
+        first[1:] = (item[1:] != item[:-1]) | (name[1:] != name[:-1]).any(1)
+        item, name, step = item[first], name[first], step[first].astype(np.int16)
         starts = np.flatnonzero(np.diff(item, prepend=item[:1] ^ np.uint64(1)))
         counts = np.diff(starts, append=len(item))
-        a_out, b_out = [], []
+        found = [np.zeros((0, 4), np.uint64)]
         for m in np.unique(counts[(counts > 1) & (counts <= SMALL)]).tolist():
             at = starts[counts == m]
             for i in range(m):
                 for j in range(i + 1, m):
-                    x, y = size[at + i].astype(np.int64), size[at + j].astype(np.int64)
-                    fit = WHOLE * np.minimum(x, y) >= PARTS * np.maximum(x, y)
-                    a_out.append(name[at + i][fit])
-                    b_out.append(name[at + j][fit])
-        pairs = np.unique(np.stack([np.concatenate(a_out), np.concatenate(b_out)], 1), axis=0) if a_out else np.zeros((0, 2), np.int64)
-        large = np.repeat(counts > SMALL, counts)
-        ends = starts + counts
-        digests = [xxhash.xxh3_64_intdigest(name[a:b].tobytes()) for a, b in zip(starts[counts > SMALL].tolist(), ends[counts > SMALL].tolist(), strict=True)]
-        group = np.repeat(np.array(digests, np.uint64), counts[counts > SMALL])
-        return pd.DataFrame(
-            {
-                "kind": np.repeat([0, 1], [len(pairs), int(large.sum())]),
-                "a": np.concatenate([pairs[:, 0], group.view(np.int64)]),
-                "b": np.concatenate([pairs[:, 1], name[large]]),
-                "n": np.concatenate([np.zeros(len(pairs), np.int64), size[large].astype(np.int64)]),
-            }
-        )
-
-    return rows.groupBy("bucket").applyInPandas(run, "kind long, a long, b long, n long")
-
-
-def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(class, text) of the classes that pairs name, each from the document that classes(class, doc_id) gives it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, met = Words(), set()
-        for batch in batches:
-            mine = []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                mine.append(name not in met and set_id(shingles(text.as_py(), hashes)) == name)  # an id may have other texts
-                if mine[-1]:
-                    met.add(name)
-            yield batch.filter(pa.array(mine, pa.bool_()))
-
-    wanted = cut(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes.select("class", "doc_id"), "class"))
-    wanted = wanted.hint("broadcast" if wanted.count() <= MOST_BROADCAST else "merge")
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("class", "text").mapInArrow(run, "class long, text string").dropDuplicates(["class"])
+                    fit = np.abs(step[at + i] - step[at + j]) <= FAR
+                    found.append(np.concatenate([name[at + i][fit], name[at + j][fit]], 1))
+        pairs = np.concatenate(found)
+        pairs = pairs[np.lexsort(pairs.T)]
+        new = np.ones(len(pairs), bool)
+        new[1:] = (pairs[1:] != pairs[:-1]).any(1)
+        raw = pairs[new].tobytes()
+        a_out, b_out = [raw[k : k + 16] for k in range(0, len(raw), 32)], [raw[k + 16 : k + 32] for k in range(0, len(raw), 32)]
+        kinds = [0] * len(a_out)
+        ends, members = starts + counts, name.tobytes()
+        for a, b in zip(starts[counts > SMALL].tolist(), ends[counts > SMALL].tolist(), strict=True):
+            own = members[16 * a : 16 * b]
+            a_out += [xxhash.xxh3_128_digest(own)] * (b - a)
+            b_out += [own[k : k + 16] for k in range(0, len(own), 16)]
+            kinds += [1] * (b - a)
+        return pd.DataFrame({"kind": kinds, "a": a_out, "b": b_out})
+
+    return rows.groupBy("bucket").applyInPandas(run, "kind long, a binary, b binary")
 
 
 def _possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -371,38 +361,84 @@ def _possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
                 found = sorted(asked & set(candidates(left, right)))
                 yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
-    one = known.select(F.col("class").alias("a"), F.col("sketch").alias("a_sketch"), F.col("n").alias("a_n")).hint("merge")  # sketches grow with the corpus
-    two = known.select(F.col("class").alias("b"), F.col("sketch").alias("b_sketch"), F.col("n").alias("b_n")).hint("merge")
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "a_sketch", "a_n", "b_sketch", "b_n")
-    return joined.mapInArrow(run, "a long, b long")
+    one = known.select(F.col("id").alias("a"), F.col("sketch").alias("a_sketch"), F.col("n").alias("a_n"))
+    two = known.select(F.col("id").alias("b"), F.col("sketch").alias("b_sketch"), F.col("n").alias("b_n"))
+    both = joined(joined(pairs, one, "a"), two, "b", counted=pairs).select("a", "b", "a_sketch", "a_n", "b_sketch", "b_n")
+    return both.mapInArrow(run, "a long, b long")
+
 
+def _texts(docs: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, text) of the classes of known(id, key) that pairs name, each from one document of that key."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(known.select("id", "key"), "id")
+    return docs.select("key", "text").join(wanted.hint("merge"), "key").select("id", "text").dropDuplicates(["id"])
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets link, from texts(class, text)."""
+
+def _verified(spokes: DataFrame, texts: DataFrame, tasks: int) -> DataFrame:
+    """The pairs (a, b) of spokes(hub, node) whose whole sets link, from texts(id, text).
+
+    The nodes' texts are sent to their hub's, SPOKES or so at a time, and read one after the other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Words()
+        at, hub = None, np.zeros(0, np.uint64)
         for batch in batches:
             a_out, b_out = [], []
-            sets: dict[int, np.ndarray] = {}
-            for a, b, x, y in zip(*(batch.column(k) for k in range(4)), strict=True):
-                a, b = a.as_py(), b.as_py()
-                if len(sets) > 2000:
-                    sets.clear()
-                for name, text in ((a, x), (b, y)):
-                    if name not in sets:
-                        sets[name] = shingles(text.as_py(), hashes)
-                one, two = sets[a], sets[b]
-                both = np.concatenate([one, two])
+            for name, part, node, text in zip(*(batch.column(k) for k in range(4)), strict=True):
+                name, part, node = name.as_py(), part.as_py(), node.as_py()
+                own = shingles(text.as_py(), hashes)
+                if node is None:
+                    at, hub = (name, part), own
+                    continue
+                if at != (name, part):
+                    raise ValueError("a text without the one that it is compared with")
+                both = np.concatenate([hub, own])
                 both.sort()
-                if links(int((both[1:] == both[:-1]).sum()), len(one), len(two)):
-                    a_out.append(a)
-                    b_out.append(b)
+                if links(int((both[1:] == both[:-1]).sum()), len(hub), len(own)):
+                    a_out.append(min(name, node))
+                    b_out.append(max(name, node))
             yield pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
-    one, two = texts.select(F.col("class").alias("a"), F.col("text").alias("a_text")), texts.select(F.col("class").alias("b"), F.col("text").alias("b_text"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "a_text", "b_text")
-    return joined.mapInArrow(run, "a long, b long")
+    parts = cut(spokes.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SPOKES).cast("long").alias("parts")))
+    heads = parts.select(F.col("hub").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(texts, "id")
+    dealt = joined(spokes, parts, "hub").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    # texts have no bound, so none is broadcast
+    sent = dealt.select("hub", "part", F.col("node").alias("id")).join(texts.hint("merge"), "id").select("hub", "part", F.col("id").alias("node"), "text")
+    rows = heads.select(F.col("id").alias("hub"), "part", F.lit(None).cast("long").alias("node"), "text").unionByName(sent)
+    return rows.repartition(tasks, "hub", "part").sortWithinPartitions("hub", "part", F.col("node").asc_nulls_first()).mapInArrow(run, "a long, b long")
+
+
+def _spokes(pairs: DataFrame) -> DataFrame:
+    """pairs as (hub, node); the hub is the one of more pairs, then the larger."""
+    degree = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("pairs")))
+    ranked = pairs
+    for side in ("a", "b"):
+        ranked = joined(ranked, degree.select(F.col("id").alias(side), F.col("pairs").alias(f"{side}_pairs")), side, counted=pairs)
+    one, two = (F.struct(F.col(f"{side}_pairs").alias("pairs"), F.col(side).alias("id")) for side in ("a", "b"))
+    return ranked.select(F.greatest(one, two).getField("id").alias("hub"), F.least(one, two).getField("id").alias("node"))
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """For each class its pair with the class of most pairs, as (hub, node)."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = cut(both.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")))
+    best = joined(both, degree.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.max(F.struct("pairs", "b")).alias("best"))
+    once = best.groupBy(F.least("a", "best.b").alias("x"), F.greatest("a", "best.b").alias("y")).agg(F.max("best").alias("best"))
+    hub = F.col("best.b")
+    return once.select(hub.alias("hub"), F.when(hub == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("node"))
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str, tasks: int, edges: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) among pairs, and those of edges, that join the same components as all links would."""
+    if edges is None:
+        edges = scratch.kept(f"{name}-links", _verified(scratch.kept(f"{name}-best", _best(pairs)), texts, tasks))
+    comp, apart = components(edges), pairs
+    for side in ("a", "b"):
+        apart = joined(apart, comp.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp")), side, how="left", counted=pairs)
+    rest = scratch.kept(f"{name}-rest", apart.filter(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("a", "b"))
+    if rest.isEmpty():
+        return edges
+    return edges.unionByName(scratch.kept(f"{name}-more", _verified(scratch.kept(f"{name}-spokes", _spokes(rest)), texts, tasks)))
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -411,8 +447,8 @@ def _open(members: DataFrame) -> DataFrame:
     steps = stepped.groupBy("item", "step").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
     around = steps.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
     mixed = around.groupBy("item", "step").agg(F.min("x").alias("x"), F.max("y").alias("y")).filter("x <> y").select("item", "step")
-    left = stepped.join(mixed, ["item", "step"]).select("item", "class", "comp")
-    return left.join(left.groupBy("item").agg(F.count(F.lit(1)).alias("n_members")), "item")
+    left = cut(joined(stepped, mixed, "item", "step").select("item", "class", "comp"))
+    return joined(left, left.groupBy("item").agg(F.count(F.lit(1)).alias("n_members")), "item")
 
 
 def _walked(members: DataFrame, known: DataFrame) -> DataFrame:
@@ -435,55 +471,83 @@ def _walked(members: DataFrame, known: DataFrame) -> DataFrame:
     dealt = members.withColumn("k", k).withColumn("part", F.pmod(F.xxhash64("class"), F.col("k").cast("long")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    full = dealt.join(known.select("class", "n", "sketch").hint("merge"), "class").select("item", "i", "j", "part", "class", "comp", "n", "sketch")
+    full = dealt.join(known.select(F.col("id").alias("class"), "n", "sketch").hint("merge"), "class").select("item", "i", "j", "part", "class", "comp", "n", "sketch")
     return full.groupBy("item", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """For each row: doc_id, key (of its id and text), n_shingles, comp (its component's name; null without words)."""
+    spark = docs.sparkSession
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
+    scratch = Scratch(spark, "jaccard")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = scratch.kept("classes", _classes(slim))
+    rows, items = found.select(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    buckets = max(tasks, items // 4 // BUCKET_ITEMS)
+    tasks = max(tasks, items // 4 // BUCKET_ITEMS)
+    groups = scratch.kept("groups", _groups(_prefixes(slim, _often(slim, rows), buckets)))
+    wanted = groups.filter("kind = 0").select(F.col("a").alias("class")).union(groups.select("b")).distinct()
+    classes = found.filter("class is not null").groupBy("class").agg(F.min(F.struct("key", F.col("n_shingles").alias("n"), "sketch")).alias("of"))
+    known = scratch.kept("known", classes.join(wanted.hint("merge"), "class").select(F.monotonically_increasing_id().alias("id"), "class", "of.*"))  # written once, so ids stay
+    name = known.select("id", "class")
+    listed = groups.filter("kind = 0").select("a", "b")
+    pairs = listed.distinct()
+    for side in ("a", "b"):
+        pairs = joined(pairs, name.select(F.col("class").alias(side), F.col("id").alias(f"{side}_id")), side, counted=listed).drop(side)
+    pairs = pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    members = groups.filter("kind = 1").select(F.col("a").alias("item"), F.col("b").alias("class"))
+    large = joined(members.distinct(), known.select("class", "id", "n"), "class", counted=members).select("item", F.col("id").alias("class"), "n")
+    large = scratch.kept("large", large)
+    shares = large.groupBy("class").agg(F.count(F.lit(1)).alias("shares"))
+    hubs = large.join(shares, "class").groupBy("item").agg(F.max(F.struct("shares", "class", "n")).alias("hub"))
+    near = F.lit(WHOLE) * F.least("n", "hub.n") >= F.lit(PARTS) * F.greatest("n", "hub.n")
+    spokes = joined(large, cut(hubs), "item").filter(near).select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).filter("a <> b")
+    pairs = scratch.kept("pairs", pairs.unionByName(spokes).distinct())
+    scratch.drop("groups")
+    possible = scratch.kept("possible", _possible(pairs, known))
+    scratch.drop("pairs")
+    texts = scratch.kept("texts", _texts(slim, known, possible))
+    edges = _linked(possible, texts, scratch, "possible", tasks)
+    scratch.drop("texts", "possible")
+    comp = components(edges)
+    members = large.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    walked = scratch.kept("walked", _walked(_open(cut(members)), known))
+    if not walked.isEmpty():
+        texts = scratch.kept("walked-texts", _texts(slim, known, walked))
+        comp = components(_linked(walked, texts, scratch, "walked", tasks, edges))
+    comp = cut(comp.withColumnRenamed("node", "id").join(name.hint("merge"), "id").select("class", "comp"))
+    rows = joined(found.filter("class is not null").drop("sketch"), comp, "class", how="left")
+    rows = rows.select("doc_id", "key", "n_shingles", F.coalesce(F.col("comp").cast("string").cast("binary"), F.col("class")).alias("comp"))
+    none = found.filter("class is null").select("doc_id", "key", "n_shingles", F.lit(None).cast("binary").alias("comp"))
+    return scratch.kept("named", rows.unionByName(none))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     A-Z are lower-cased and words are runs of characters outside [\\x20\\x09-\\x0D]. A set holds the distinct shingles of five
     words, or the whole sequence of fewer; a null, empty or blank text has no set and links with nothing, so its component
-    is itself. Two documents link when 100 * common >= 75 * all of their sets. Shingles and classes are told apart by
-    64-bit hashes. Rows with one id are compared like others; null ids are kept. Other columns play no part.
+    is itself. Two documents link when 100 * common >= 75 * all of their sets. Shingles are told apart by 64-bit hashes, sets by
+    128-bit ones. Rows with one id are compared like others; null ids are kept. Other columns play no part.
     """
-    spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    folder = f"{shared_dir(spark).rstrip('/')}/jaccard-{uuid.uuid4().hex}"
+    named = _named(docs, id_col, text_col)
+    linked = named.filter("comp is not null")
+    least = linked.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    alone = named.filter("comp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return joined(linked, least, "comp").select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
-    def kept(name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
 
-    sketched = kept("classes", _classes(slim))
-    found = sketched.drop("sketch")
-    classes = found.filter("class <> 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    rows, items = found.select(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), items // 4 // BUCKET_ITEMS)
-    groups = kept("groups", _groups(_prefixes(slim, _often(slim, rows), buckets)))
-    pairs = groups.filter("kind = 0").select("a", "b").distinct()
-    large = kept("large", groups.filter("kind = 1").select(F.col("a").alias("item"), F.col("b").alias("class"), "n").distinct())
-    shares = large.groupBy("class").agg(F.count(F.lit(1)).alias("shares"))
-    hubs = large.join(shares, "class").groupBy("item").agg(F.max(F.struct("shares", "class", "n")).alias("hub"))
-    near = F.lit(WHOLE) * F.least("n", "hub.n") >= F.lit(PARTS) * F.greatest("n", "hub.n")
-    spokes = large.join(hubs, "item").filter(near).select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).filter("a <> b").distinct()
-    pairs = kept("pairs", pairs.unionByName(spokes).distinct())
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(large.select("class")).distinct()
-    known = kept("known", sketched.join(wanted.hint("merge"), "class").groupBy("class").agg(F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")))
-    possible = kept("possible", _possible(pairs, known))
-    edges = kept("edges", _verified(possible, _texts(slim, classes, possible)))
-    comp = components(edges)
-    members = large.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    walked = kept("walked", _walked(_open(members), known))
-    more = kept("more", _verified(walked, _texts(slim, classes, walked)))
-    if not more.isEmpty():
-        comp = components(edges.unionByName(more))
-    named = found.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    least = named.filter("class <> 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("class") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+def row_key(id_col: str, text_col: str) -> Column:
+    """Tells rows apart by id and text."""
+    return F.unhex(F.md5(F.concat_ws(" ", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), text_of(text_col))))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest, with all columns of docs."""
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    """One row of docs, with all its columns, for each component: that of the smallest id, null ids last; rows without words all stay."""
+    named = _named(docs, "doc_id", "text").filter("comp is not null")
+    winner = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("won")
+    kept = named.groupBy("comp").agg(winner).select(F.col("won.key").alias("__key"))
+    keyed = docs.select(F.struct("*").alias("__row"), row_key("doc_id", "text").alias("__key"), text_of("text").rlike(WORD).alias("__words"))
+    # the join leaves rows dealt by key, so that choosing one of repeated rows doesn't shuffle them again
+    chosen = keyed.filter("__words").join(kept.hint("merge"), "__key").groupBy("__key").agg(F.first("__row").alias("__row"))
+    return chosen.select("__row.*").unionByName(keyed.filter("not __words").select("__row.*"))
