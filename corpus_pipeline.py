@@ -6,12 +6,10 @@ the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.bpe import encoded
-from quillon.llm.common import shared_dir, table
+from quillon.llm.common import Scratch, table
 from quillon.llm.exact_dedup import deduplicate
 from quillon.llm.jaccard_join import one_of_each
 from quillon.llm.mixing import mix
@@ -23,22 +21,27 @@ MIX = {"weights": {"lang": {"en": 3, "de": 2, "fr": 2, "es": 2}}, "percent": 100
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier accepts. Null and empty texts are scored like others; null ids are kept; labels may be empty."""
     return accepted(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts: the longest, then the smallest id; all null and empty texts are one group."""
     return deduplicate(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of near-duplicates, that of the smallest id; texts without words and rows of null ids stay."""
     return one_of_each(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that each source's budget takes, repeated as often as it takes them; null languages and sources are the empty name."""
     return mix(docs, **MIX)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every row; a null text is empty and has none."""
     return encoded(docs, tokenizer_text("word_bpe_49k.json"), full=True)
 
 
@@ -51,8 +54,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet in the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    scratch = Scratch(spark, "pipeline")
+    before = None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        docs = scratch.kept(name, stage(spark, docs, sf_dir))
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
