@@ -197,12 +197,12 @@ def parsed(node: Mapping[str, Any]) -> Filter:
     return Leaf(name, op, node["value"])
 
 
-# Fixed shares that a planner assumes without statistics.
-RANGE_SHARE, BETWEEN_SHARE, CONTAINS_SHARE = 0.33, 0.10, 0.10
+# Fixed shares that a planner assumes, whatever it knows of the field.
+FIXED_SHARES = {"gt": 0.33, "gte": 0.33, "lt": 0.33, "lte": 0.33, "between": 0.10, "contains": 0.10}
 
 
 def selectivity(expression: Filter, distinct: Mapping[str, int], filled: Mapping[str, int], total: int) -> float:
-    """The assumed share of rows that pass, from each field's distinct values and filled rows; 1 where nothing is known."""
+    """The assumed share of rows that pass, from each field's distinct values and filled rows; 1 for a leaf that needs them where nothing is known."""
     if total == 0:
         return 1.0
     if isinstance(expression, And):
@@ -216,11 +216,14 @@ def selectivity(expression: Filter, distinct: Mapping[str, int], filled: Mapping
             out = out + s - out * s
     elif isinstance(expression, Not):
         out = 1 - selectivity(expression.part, distinct, filled, total)
+    elif expression.op in FIXED_SHARES:
+        out = FIXED_SHARES[expression.op]
     elif expression.field not in distinct:
         return 1.0
+    elif expression.op == "exists":
+        out = filled.get(expression.field, total) / total
+    elif not (u := distinct[expression.field]):
+        return 1.0
     else:
-        u = max(distinct[expression.field], 1)
-        out = {"eq": 1 / u, "ne": 1 - 1 / u, "between": BETWEEN_SHARE, "contains": CONTAINS_SHARE, "exists": filled.get(expression.field, total) / total}.get(expression.op, RANGE_SHARE)
-        if expression.op == "in":
-            out = len(expression.value) / u
+        out = len(expression.value) / u if expression.op == "in" else 1 - 1 / u if expression.op == "ne" else 1 / u
     return min(max(out, 0.001), 1.0)

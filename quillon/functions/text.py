@@ -94,6 +94,42 @@ def alike(a: str, b: str) -> bool:
     return within(a, b, edits_allowed(min(len(a), len(b)))) or _contains(x, y)
 
 
+def block_keys(name: str | None, probe: bool) -> list[str]:
+    """Keys of which two names that are alike share one, if one name's are made with probe and the other's without.
+
+    One for each rule: a whole token at its place among as many tokens, the letters of an acronym, a part of the name that few edits leave
+    whole (a name cut into one part more than edits are allowed), two tokens that follow each other.
+    """
+    if not name:
+        return []
+    tokens, size = name.split(), len(name)
+    keys = {f"i{len(tokens)}/{k}/{t.rstrip('.')}" for k, t in enumerate(tokens) if len(t.rstrip(".")) > 1}
+    keys.add("a" + (re.sub("[^\\w]", "", tokens[0]) if len(tokens) == 1 else "".join(t[0] for t in tokens)))
+    keys |= {f"c{a} {b}" for a, b in zip(tokens[:-1], tokens[1:], strict=True)}
+    keys.add("=" + name)
+    for other in range(max(size - 2, 1), size + 3):
+        most = edits_allowed(min(size, other))
+        if not most or abs(size - other) > most:
+            continue
+        length = other if probe else size  # of the name that is cut
+        cuts = [k * length // (most + 1) for k in range(most + 2)]
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            for shift in range(-most, most + 1) if probe else (0,):
+                if a + shift >= 0 and b + shift <= size:
+                    keys.add(f"s{most}/{length}/{k}/{name[a + shift : b + shift]}")
+    return sorted(keys)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def keys_of(names: pd.Series) -> pd.Series:
+    return names.map(lambda x: block_keys(x, False))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def probes_of(names: pd.Series) -> pd.Series:
+    return names.map(lambda x: block_keys(x, True))
+
+
 @F.pandas_udf(T.BooleanType())
 def names_alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([bool(x) and bool(y) and alike(x, y) for x, y in zip(a, b, strict=True)])

@@ -38,7 +38,12 @@ class Temporal:
 
 def explicit_weight(name: str) -> Column:
     """A positive finite number, or a string that holds one, under a key of the properties; else 1."""
-    item = F.get_json_object("properties", f"$['{name}']").try_cast("double")
+    if set(name) & set("'\"\\[]"):  # which the plain path can't hold
+        path = '$["' + name.replace("\\", "\\\\").replace('"', '\\"') + '"]'
+        found = F.try_variant_get(F.try_parse_json("properties"), path, "string")
+    else:
+        found = F.get_json_object("properties", f"$['{name}']")
+    item = found.try_cast("double")
     return F.when((item > 0) & (item < float("inf")), item).otherwise(F.lit(1.0))
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -17,3 +18,15 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
     return df.checkpoint()
+
+
+def in_order(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """df with its rows numbered from 0 in an order, kept in spark.checkpoint.dir.
+
+    The sort is by ranges, over all tasks; each task's rows are counted and numbered from where the tasks before it end.
+    """
+    tagged = cut(df.orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()))
+    ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    before = tagged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).select("__p", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__b"))
+    within = F.shiftrightunsigned(F.shiftleft(F.col("__m"), 31), 31)
+    return tagged.join(F.broadcast(before), "__p").withColumn(name, F.col("__b") + within).drop("__p", "__m", "__b")

@@ -13,11 +13,12 @@ from dataclasses import dataclass, replace
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillon.functions.text import alike, collapsed, content_hash, name_of, names_alike, normalized_name
-from quillon.lineage import cut
+from quillon.functions.text import alike, collapsed, content_hash, keys_of, name_of, names_alike, normalized_name, probes_of
+from quillon.lineage import cut, in_order
 from quillon.operators.graph import EDGES, NODES, Graph, shaped
 
 CHUNKS = "doc_id string, chunk_id long, text string, embedding array<float>"
@@ -29,6 +30,8 @@ FOUND = (
     "edges array<struct<source:string,target:string,edge_type:string,properties:string,confidence:float,source_text:string>>, input_tokens long, output_tokens long, error string"
 )
 MENTIONS = "mentions"
+#: What an edge calls the passage that it comes from.
+CHUNK = "@chunk"
 #: Likeness of embeddings at which one could merge entities; resolution goes by names only.
 EMBEDDING_LIKENESS = 0.92
 ERRORS_KEPT = 100
@@ -87,16 +90,58 @@ def merged(base: Ontology, extension: Ontology, approved: Sequence[tuple[str, st
     return replace(extension, labels=tuple(labels.values()), edge_types=tuple(types.values()))
 
 
-def _ontology(labels: str, types: dict[str, tuple[str, str]]) -> Ontology:
-    return Ontology(tuple(EntityLabel(x) for x in labels.split()), tuple(EdgeType(t, "", tuple(a.split()), tuple(b.split())) for t, (a, b) in types.items()))
+def _ontology(labels: dict[str, str], types: dict[str, tuple[str, str, str]]) -> Ontology:
+    return Ontology(tuple(EntityLabel(x, d) for x, d in labels.items()), tuple(EdgeType(t, d, tuple(a.split()), tuple(b.split())) for t, (d, a, b) in types.items()))
 
 
+# The five templates by name, with their labels, edge types and the labels that these may join.
 TEMPLATES = {
-    "research-papers": _ontology("Paper Author Institution Method Dataset Concept", {"AUTHORED": ("Author", "Paper"), "AFFILIATED_WITH": ("Author", "Institution"), "CITES": ("Paper", "Paper"), "USES": ("Paper", "Method Dataset"), "DISCUSSES": ("Paper", "Concept")}),
-    "legal-contracts": _ontology("Contract Party Clause Obligation Date Jurisdiction", {"SIGNED_BY": ("Contract", "Party"), "CONTAINS": ("Contract", "Clause"), "OBLIGES": ("Clause", "Party"), "EFFECTIVE_ON": ("Contract", "Date"), "GOVERNED_BY": ("Contract", "Jurisdiction")}),
-    "ecommerce-catalog": _ontology("Product Brand Category Feature Material", {"MADE_BY": ("Product", "Brand"), "IN_CATEGORY": ("Product", "Category"), "HAS_FEATURE": ("Product", "Feature"), "MADE_OF": ("Product", "Material"), "SIMILAR_TO": ("Product", "Product")}),
-    "support-tickets": _ontology("Ticket Customer Product Issue Resolution Agent", {"REPORTED_BY": ("Ticket", "Customer"), "ABOUT": ("Ticket", "Product"), "DESCRIBES": ("Ticket", "Issue"), "RESOLVED_BY": ("Issue", "Resolution"), "HANDLED_BY": ("Ticket", "Agent")}),
-    "internal-docs": _ontology("Document Person Team Project System Decision", {"WRITTEN_BY": ("Document", "Person"), "MEMBER_OF": ("Person", "Team"), "WORKS_ON": ("Person Team", "Project"), "DEPENDS_ON": ("System", "System"), "DECIDED": ("Team Person", "Decision")}),
+    "research-papers": _ontology(
+        {"Paper": "A research paper or article", "Author": "A person who authored a paper", "Institution": "A university, lab, or organization", "Date": "A calendar date such as a publication date", "Method": "A method, technique, or algorithm"},
+        {
+            "AUTHORED_BY": ("Links a paper to one of its authors", "Paper", "Author"),
+            "AFFILIATED_WITH": ("Links an author to an institution", "Author", "Institution"),
+            "CITES": ("Links a paper to another paper it cites", "Paper", "Paper"),
+            "USES_METHOD": ("Links a paper to a method it uses", "Paper", "Method"),
+            "FUNDED_BY": ("Links a paper to a funding institution", "Paper", "Institution"),
+        },
+    ),
+    "legal-contracts": _ontology(
+        {"Party": "A signatory or party to an agreement", "Document": "A contract, agreement, or legal document", "Jurisdiction": "A governing jurisdiction or venue", "Date": "A calendar date such as an effective date", "Provision": "A clause, term, or provision"},
+        {
+            "PARTY_TO": ("Links a party to a document it is a party to", "Party", "Document"),
+            "GOVERNED_BY": ("Links a document to its governing jurisdiction", "Document", "Jurisdiction"),
+            "REFERENCES": ("Links a document to another document it references", "Document", "Document"),
+            "AMENDS": ("Links a document to a document it amends", "Document", "Document"),
+            "EFFECTIVE_FROM": ("Links a document to its effective date", "Document", "Date"),
+        },
+    ),
+    "ecommerce-catalog": _ontology(
+        {"Product": "A purchasable product", "Brand": "A product brand or manufacturer", "Category": "A product category", "Customer": "A person who buys products"},
+        {
+            "MADE_BY": ("Links a product to the brand that makes it", "Product", "Brand"),
+            "BELONGS_TO": ("Links a product to a category it belongs to", "Product", "Category"),
+            "BOUGHT": ("Links a customer to a product they bought", "Customer", "Product"),
+        },
+    ),
+    "support-tickets": _ontology(
+        {"Ticket": "A support ticket or case", "Customer": "A customer who raised a ticket", "Product": "A product a ticket is about", "Issue": "A problem or issue category", "Agent": "A support agent who handled a ticket"},
+        {
+            "REPORTED_BY": ("Links a ticket to the customer who reported it", "Ticket", "Customer"),
+            "ABOUT_PRODUCT": ("Links a ticket to the product it is about", "Ticket", "Product"),
+            "HAS_ISSUE": ("Links a ticket to the issue it concerns", "Ticket", "Issue"),
+            "HANDLED_BY": ("Links a ticket to the agent who handled it", "Ticket", "Agent"),
+        },
+    ),
+    "internal-docs": _ontology(
+        {"Document": "An internal document or note", "Person": "A person mentioned or involved", "Project": "A project or initiative", "Decision": "A decision recorded in a document"},
+        {
+            "AUTHORED_BY": ("Links a document to its author", "Document", "Person"),
+            "MENTIONS": ("Links a document to a person or project it mentions", "Document", ""),
+            "DECIDED_ON": ("Links a document to a decision it records", "Document", "Decision"),
+            "REFERENCES": ("Links a document to another document it references", "Document", "Document"),
+        },
+    ),
 }
 
 
@@ -202,7 +247,7 @@ def cached(chunks: DataFrame, cache: DataFrame, adapter: Adapter, ontology: Onto
 
 
 # Fixed prices in dollars per million tokens: input, output.
-PRICES = {"gpt-4o": (2.5, 10.0), "gpt-4o-mini": (0.15, 0.6), "gpt-4.1": (2.0, 8.0), "gpt-4.1-mini": (0.4, 1.6)}
+PRICES = {"gpt-4o-mini": (0.15, 0.6), "gpt-4o": (2.5, 10.0), "gpt-4-turbo": (10.0, 30.0), "gpt-3.5-turbo": (0.5, 1.5)}
 CHARS_PER_TOKEN, PROMPT_TOKENS, OUTPUT_SHARE = 4, 400, 0.4
 
 
@@ -232,12 +277,43 @@ def exact_matches(names: DataFrame, nodes: DataFrame) -> DataFrame:
     return left.join(named(nodes), ["label", "norm"]).groupBy("name_id").agg(F.min("id").alias("id"))
 
 
+def alike_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l, r) of left(l, label, norm) and right(r, label, norm) of one label whose names are alike, told from few candidates by block keys."""
+    one = left.select("l", "label", F.col("norm").alias("x"), F.explode(probes_of("norm")).alias("key"))
+    two = right.select("r", "label", F.col("norm").alias("y"), F.explode(keys_of("norm")).alias("key"))
+    met = one.join(two, ["label", "key"]).select("l", "r", "x", "y").distinct()
+    return met.filter(names_alike("x", "y")).select("l", "r")
+
+
 def fuzzy_matches(names: DataFrame, nodes: DataFrame) -> DataFrame:
     """The same, and where no name is equal the smallest id of the label whose name is alike."""
     exact = exact_matches(names, nodes)
     rest = names.join(exact, "name_id", "left_anti").withColumn("norm", normalized_name("name")).filter("norm <> ''")
-    pairs = rest.join(named(nodes).withColumnRenamed("norm", "known"), "label").filter(names_alike("norm", "known"))
-    return exact.unionByName(pairs.groupBy("name_id").agg(F.min("id").alias("id")))
+    pairs = alike_pairs(rest.select(F.col("name_id").alias("l"), "label", "norm"), named(nodes).select(F.col("id").alias("r"), "label", "norm"))
+    return exact.unionByName(pairs.groupBy(F.col("l").alias("name_id")).agg(F.min("r").alias("id")))
+
+
+def first_of_alike(names: DataFrame) -> DataFrame:
+    """(name_id, first) for names(name_id, label, norm, at): each name takes the first one before it that stands for itself and is alike;
+    where there is none it stands for itself.
+
+    This is what taking the names one after the other by ``at`` gives. A name is settled once all alike names before it are, so the rounds
+    are as many as the longest chain of alike names.
+    """
+    slim = cut(names.filter("norm <> ''").select("name_id", "label", "norm", "at"))
+    pairs = alike_pairs(slim.select(F.struct("at", "name_id").alias("l"), "label", "norm"), slim.select(F.struct("at", "name_id").alias("r"), "label", "norm"))
+    # each pair is found from at least one side
+    both = F.array(F.struct(F.greatest("l", "r").alias("late"), F.least("l", "r").alias("early")))
+    before = cut(pairs.filter("l <> r").select(F.explode(both).alias("p")).select(F.col("p.late.name_id").alias("name_id"), F.col("p.early.name_id").alias("other"), F.col("p.early.at").alias("at")).distinct())
+    every = names.select("name_id")
+    settled = cut(every.join(before.select("name_id").distinct(), "name_id", "left_anti").select("name_id", F.col("name_id").alias("first")))
+    while True:
+        known = before.join(settled.withColumnsRenamed({"name_id": "other", "first": "of"}), "other", "left").join(settled.select("name_id"), "name_id", "left_anti")
+        ready = known.groupBy("name_id").agg(F.min(F.col("of").isNotNull()).alias("ok"), F.min(F.when(F.col("of") == F.col("other"), F.struct("at", "other"))).alias("lead")).filter("ok")
+        fresh = cut(ready.select("name_id", F.coalesce("lead.other", "name_id").alias("first")))
+        if fresh.isEmpty():
+            return settled
+        settled = cut(settled.unionByName(fresh))
 
 
 def resolve_in_order(names: Sequence[tuple[str, str]], known: Sequence[tuple[int, str, str]], next_id: int, fuzzy: bool = True) -> tuple[list[int], list[tuple[int, str, str]], dict[int, list[str]]]:
@@ -275,59 +351,88 @@ def rejected(edges: DataFrame, rules: DataFrame, passed: bool = False) -> DataFr
     return e.join(r, fit, "left_anti" if passed else "left_semi")
 
 
-def process_chunks(graph: Graph, found: DataFrame, ontology: Ontology, vectors: DataFrame | None = None) -> Graph:
-    """Writes adapters' results: edges made from these chunks before go (manual and verified ones stay), entities of known labels are
-    resolved or made, a content node stands for each chunk that has an entity, and edges of known types between resolved refs are added unless a
-    rule rejects them or a manual or verified edge of the same ends and type is there."""
+@F.pandas_udf(T.StringType())
+def _named_properties(properties: pd.Series, name: pd.Series, norm: pd.Series) -> pd.Series:
+    """An entity's JSON properties with its name and normalised name."""
+    return pd.Series([json.dumps((json.loads(p) if p else {}) | {"name": n, "name_norm": m}, ensure_ascii=False) for p, n, m in zip(properties, name, norm, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def _with_aliases(properties: pd.Series, more: pd.Series) -> pd.Series:
+    """JSON properties with the surface forms that aren't the name or an alias yet."""
+    out = []
+    for text, names in zip(properties, more, strict=True):
+        bag = json.loads(text) if text else {}
+        own = [x for x in bag["aliases"]] if isinstance(bag.get("aliases"), list) else []
+        for name in names:
+            if name != bag.get("name") and name not in own:
+                own.append(name)
+        out.append(json.dumps(bag | {"aliases": own} if own else bag, ensure_ascii=False))
+    return pd.Series(out, dtype=object)
+
+
+def process_chunks(graph: Graph, found: DataFrame, ontology: Ontology, vectors: DataFrame | None = None, chunks: DataFrame | None = None) -> Graph:
+    """Writes adapters' results.
+
+    Edges made from these chunks before go (manual and verified ones stay). Entities of known labels are resolved or made, in order of
+    document, chunk and place; with fuzzy resolution a name that is alike but not equal becomes an alias of the node that it is resolved to,
+    also where that node is made by the same call. A blank name makes a node of its own. A chunk with an edge to or from "@chunk" has a
+    content node of its chunk id, which is made unless it is there; its text comes from chunks(doc_id, chunk_id, text). Edges of known types
+    between resolved refs are added unless a rule rejects them or a manual or verified edge of the same ends and type is there.
+    """
     good = found.filter("error is null")
-    chunks = good.select("doc_id", "chunk_id").distinct()
     made_by = (F.col("provenance.source_doc") == F.col("d")) & (F.col("provenance.source_chunk_id") == F.col("c"))
     auto = ~F.coalesce("is_manual", F.lit(False)) & ~F.coalesce("verified", F.lit(False))
-    gone = graph.edges.filter(auto).join(chunks.select(F.col("doc_id").alias("d"), F.col("chunk_id").alias("c")), made_by, "left_semi").select("id")
-    edges = graph.edges.join(gone, "id", "left_anti")
-    entities = good.select("doc_id", "chunk_id", F.explode("entities").alias("e")).select("doc_id", "chunk_id", "e.ref", "e.label", "e.name", "e.properties")
-    entities = entities.filter(F.col("label").isin(ontology.label_names())).withColumn("norm", normalized_name("name")).filter("norm <> ''")
-    distinct = entities.groupBy("label", "norm").agg(F.min("name").alias("name"), F.min("properties").alias("props")).withColumn("name_id", F.concat_ws("\0", "label", "norm"))
-    match = fuzzy_matches if ontology.resolution == "fuzzy" else exact_matches
-    hits = match(distinct.select("name_id", "label", "name"), graph.nodes)
-    hits = cut(hits)
-    new = cut(distinct.join(hits, "name_id", "left_anti"))
-    if ontology.resolution == "fuzzy":
-        new, hits = _merge_new(new, hits)
+    done = good.select(F.col("doc_id").alias("d"), F.col("chunk_id").alias("c")).distinct()
+    edges = graph.edges.join(graph.edges.filter(auto).join(done, made_by, "left_semi").select("id"), "id", "left_anti")
+
+    entities = good.select("doc_id", "chunk_id", F.posexplode("entities").alias("place", "e")).filter(F.col("e.label").isin(ontology.label_names()))
+    entities = entities.select(F.struct("doc_id", "chunk_id", "place").alias("at"), "e.ref", "e.label", F.coalesce("e.name", F.lit("")).alias("name"), "e.properties").withColumn("norm", normalized_name("name"))
+    entities = entities.withColumn("name_id", F.when(F.col("norm") == "", F.to_json("at")).otherwise(F.concat_ws("\0", "label", "norm")))
+    entities = cut(entities)
+    names = cut(entities.groupBy("name_id", "label", "norm").agg(F.min("at").alias("at"), F.min_by("name", "at").alias("name"), F.min_by("properties", "at").alias("properties")))
+    asked, fuzzy = names.filter("norm <> ''").select("name_id", "label", "name"), ontology.resolution == "fuzzy"
+    hits = cut((fuzzy_matches if fuzzy else exact_matches)(asked, graph.nodes))
+    new = cut(names.join(hits, "name_id", "left_anti"))
+    first = first_of_alike(new) if fuzzy else new.select("name_id", F.col("name_id").alias("first"))
     base = graph.next_id(vectors)
-    order = Window.orderBy("label", "norm")
-    made = new.withColumn("id", F.row_number().over(order) + base - 1)
-    resolved = hits.select("name_id", "id").unionByName(made.select("name_id", F.col("id").cast("long")))
-    if ontology.resolution == "fuzzy":
-        resolved = resolved.unionByName(new.sparkSession.createDataFrame([], "name_id string, id long"))
-    props = F.to_json(F.struct("name", F.col("norm").alias("name_norm")))
-    history = F.array(F.struct(F.lit("created").alias("action"), F.lit(None).cast("string").alias("actor"), F.lit(graph.now_ms).cast("long").alias("at")))
-    node_rows = made.select("id", F.lit("entity").alias("kind"), "label", props.alias("properties"), F.lit("extracted").alias("source"), F.lit(graph.now_ms).alias("created_at"), history.alias("history"))
-    refs = entities.withColumn("name_id", F.concat_ws("\0", "label", "norm")).join(resolved, "name_id").select("doc_id", "chunk_id", "ref", F.col("id").alias("node"), "name").dropDuplicates(["doc_id", "chunk_id", "ref"])
-    links = good.select("doc_id", "chunk_id", F.explode("edges").alias("e")).select("doc_id", "chunk_id", "e.*").filter(F.col("edge_type").isin(ontology.type_names()))
-    ends = links.join(refs.select("doc_id", "chunk_id", F.col("ref").alias("source"), F.col("node").alias("s"), F.col("name").alias("source_name")), ["doc_id", "chunk_id", "source"])
-    ends = ends.join(refs.select("doc_id", "chunk_id", F.col("ref").alias("target"), F.col("node").alias("t"), F.col("name").alias("target_name")), ["doc_id", "chunk_id", "target"])
+    made = in_order(new.join(first.filter("first = name_id").select("name_id"), "name_id", "left_semi"), "id", "at").withColumn("id", F.col("id") + base)
+    resolved = cut(hits.select("name_id", "id").unionByName(first.join(made.select(F.col("name_id").alias("first"), "id"), "first").select("name_id", "id")))
+
+    history = lambda action: F.array(F.struct(F.lit(action).alias("action"), F.lit(None).cast("string").alias("actor"), F.lit(graph.now_ms).cast("long").alias("at")))
+    node_rows = made.select("id", F.lit("entity").alias("kind"), "label", _named_properties("properties", "name", "norm").alias("properties"), F.lit("extracted").alias("source"), F.lit(graph.now_ms).alias("created_at"), history("created").alias("history"))
+    nodes = graph.nodes.unionByName(shaped(node_rows, NODES))
+    if fuzzy:
+        other = resolved.join(exact_matches(asked, graph.nodes).select("name_id"), "name_id", "left_anti").join(made.select("name_id"), "name_id", "left_anti")
+        forms = entities.join(other, "name_id").groupBy("id", "name").agg(F.min("at").alias("at")).groupBy("id")
+        forms = forms.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("__more"))
+        nodes = nodes.join(forms, "id", "left").withColumn("properties", F.when(F.col("__more").isNull(), F.col("properties")).otherwise(_with_aliases("properties", F.coalesce("__more", F.array().cast("array<string>"))))).drop("__more")
+
+    links = good.select("doc_id", "chunk_id", F.posexplode("edges").alias("place", "e")).select("doc_id", "chunk_id", "place", "e.*")
+    at_chunk = links.filter((F.col("source") == CHUNK) | (F.col("target") == CHUNK)).select("doc_id", "chunk_id").distinct()
+    text = F.lit(None).cast("string").alias("text")
+    content = at_chunk.select("*", text) if chunks is None else at_chunk.join(chunks.select("doc_id", "chunk_id", "text"), ["doc_id", "chunk_id"], "left")
+    content = content.groupBy(F.col("chunk_id").alias("id")).agg(F.min_by(F.struct("text", "doc_id"), F.col("doc_id")).alias("p")).join(graph.nodes.select("id"), "id", "left_anti")
+    nodes = nodes.unionByName(shaped(content.select("id", F.lit("content").alias("kind"), F.to_json("p").alias("properties"), F.lit("extracted").alias("source"), F.lit(graph.now_ms).alias("created_at"), history("created").alias("history")), NODES))
+
+    refs = entities.join(resolved, "name_id").groupBy("at.doc_id", "at.chunk_id", "ref").agg(F.max_by(F.struct("id", "name"), "at").alias("r"))  # the last of equal refs
+    refs = refs.select("doc_id", "chunk_id", "ref", F.col("r.id").alias("node"), F.col("r.name").alias("name"))
+    refs = refs.unionByName(at_chunk.select("doc_id", "chunk_id", F.lit(CHUNK).alias("ref"), F.col("chunk_id").alias("node"), F.lit(None).cast("string").alias("name")))
+    ends = links.filter(F.col("edge_type").isin(ontology.type_names()))
+    for side, short in (("source", "s"), ("target", "t")):
+        of = refs.select("doc_id", "chunk_id", F.col("ref").alias(side), F.col("node").alias(short), F.col("name").alias(f"{side}_name"))
+        ends = ends.join(of, ["doc_id", "chunk_id", side])
     ends = rejected(ends.withColumnsRenamed({"doc_id": "source_doc", "chunk_id": "source_chunk_id"}), graph.rejects, passed=True)
     kept = graph.edges.filter(F.col("is_manual") | F.col("verified")).select(F.col("source").alias("s"), F.col("target").alias("t"), "edge_type")
-    ends = ends.join(kept, ["s", "t", "edge_type"], "left_anti").dropDuplicates(["s", "t", "edge_type", "source_doc", "source_chunk_id"])
-    count = made.count()
-    order = Window.orderBy("source_doc", "source_chunk_id", "s", "t", "edge_type")
+    ends = ends.join(kept, ["s", "t", "edge_type"], "left_anti")
+    first_edge = base + made.count()
     provenance = F.struct("source_doc", "source_chunk_id", "source_text", *[F.lit(None).cast(t).alias(c) for c, t in (("model", "string"), ("prompt_version", "string"), ("extracted_at", "long"), ("cache_hit_at", "long"))])
-    edge_rows = ends.select(
-        (F.row_number().over(order) + base + count - 1).alias("id"), F.col("s").alias("source"), F.col("t").alias("target"), "edge_type", "properties", provenance.alias("provenance"),
-        F.when(F.col("confidence") > 0, F.col("confidence")).otherwise(F.lit(1.0)).alias("confidence"), F.lit(False).alias("verified"), F.lit(False).alias("is_manual"), F.lit(graph.now_ms).alias("created_at"), history.alias("history"),
+    edge_rows = in_order(ends, "nth", "source_doc", "source_chunk_id", "place").select(
+        (F.col("nth") + first_edge).alias("id"), F.col("s").alias("source"), F.col("t").alias("target"), "edge_type", "properties", provenance.alias("provenance"),
+        F.when(F.col("confidence") > 0, F.col("confidence")).otherwise(F.lit(1.0)).alias("confidence"), F.lit(False).alias("verified"), F.lit(False).alias("is_manual"), F.lit(graph.now_ms).alias("created_at"), history("extracted").alias("history"),
     )
     # later jobs start from these tables, not from the extraction
-    return Graph(cut(graph.nodes.unionByName(shaped(node_rows, NODES))), cut(edges.unionByName(shaped(edge_rows, EDGES))), graph.rejects, graph.now_ms)
-
-
-def _merge_new(new: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of new names of one label that are alike, the first by name stands for those that match it directly."""
-    a = new.select("label", F.col("norm").alias("x"), F.col("name_id").alias("xid"))
-    b = new.select("label", F.col("norm").alias("y"), F.col("name_id").alias("yid"))
-    alike_pairs = a.join(b, "label").filter(F.col("x") < F.col("y")).filter(names_alike("x", "y"))
-    follower = alike_pairs.groupBy("yid").agg(F.min("xid").alias("to"))
-    return new.join(follower.select(F.col("yid").alias("name_id")), "name_id", "left_anti"), hits
+    return Graph(cut(shaped(nodes, NODES)), cut(edges.unionByName(shaped(edge_rows, EDGES))), graph.rejects, graph.now_ms)
 
 
 # --- documents over time ---
@@ -371,7 +476,7 @@ def run_job(graph: Graph, chunks: DataFrame, stored: DataFrame, adapter: Adapter
     else:
         found, fresh = cached(chunks, cache, adapter, ontology, prompt_version)
     found = cut(found)
-    made = process_chunks(graph, found, ontology)
+    made = process_chunks(graph, found, ontology, chunks=chunks)
     good = found.filter("error is null").select("doc_id", "chunk_id")
     hashes = stored.join(good, ["doc_id", "chunk_id"], "left_anti").unionByName(chunk_hashes(chunks).join(good, ["doc_id", "chunk_id"], "left_semi"))
     hashes = cut(hashes)

@@ -58,8 +58,13 @@ def node_edges(edges: DataFrame, direction: str = "both", edge_type: str | None
 def weighted_neighbours(edges: DataFrame, weight: Weight, now_ms: int, direction: str = "outgoing", edge_type: str | None = None, temporal: Temporal | None = None) -> DataFrame:
     """(node, neighbour, weight): the largest effective weight of the edges between them."""
     passed = edges.filter(valid(temporal, now_ms))
-    weights = passed.select(F.col("id").alias("edge_id"), effective_weight(weight, now_ms).alias("weight"))
-    return incident(passed, direction, edge_type).join(weights, "edge_id").groupBy("node", "neighbour").agg(F.max("weight").alias("weight"))
+    if edge_type is not None:
+        passed = passed.filter(F.col("edge_type") == edge_type)
+    weighed = passed.select("source", "target", effective_weight(weight, now_ms).alias("weight"))
+    out = weighed.select(F.col("source").alias("node"), F.col("target").alias("neighbour"), "weight")
+    back = weighed.select(F.col("target").alias("node"), F.col("source").alias("neighbour"), "weight")
+    ends = {"outgoing": out, "incoming": back}.get(direction, out.unionByName(back))
+    return ends.groupBy("node", "neighbour").agg(F.max("weight").alias("weight"))
 
 
 def degrees(edges: DataFrame, direction: str = "outgoing", edge_type: str | None = None) -> DataFrame:
@@ -244,13 +249,18 @@ def read_edge_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_edge_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """The same of a file with one JSON object a line; a confidence that is no number is none."""
+    """The same of a file with one JSON object a line; a confidence that is no number is none, and ids must be whole numbers, not text."""
     raw = spark.read.text(path).filter(F.trim("value") != "")
     item = F.try_parse_json("value")
-    columns = [F.get_json_object("value", f"$.{c}").alias(c) for c in IMPORT_FIELDS if c != "confidence"]
-    confidence = F.when(F.schema_of_variant(F.try_variant_get(item, "$.confidence", "variant")).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.get_json_object("value", "$.confidence"))
+
+    def number(name: str, kinds: str) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(item, f"$.{name}", "variant"))
+        return F.when(kind.rlike(f"^({kinds})"), F.get_json_object("value", f"$.{name}")).alias(name)
+
+    columns = [F.get_json_object("value", f"$.{c}").alias(c) for c in IMPORT_FIELDS if c not in ("source", "target", "confidence")]
+    columns += [number("source", "BIGINT"), number("target", "BIGINT"), number("confidence", "BIGINT|DOUBLE|DECIMAL")]
     broken = F.when(item.isNull(), F.lit("not a JSON object"))
-    return _numbered(raw.select(*columns, confidence.alias("confidence"), broken.alias("broken")))
+    return _numbered(raw.select(*columns, broken.alias("broken")))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions.text import alike, content_hash, few_edits, name_of, normalized_name
+from quillon.functions.text import alike, block_keys, content_hash, few_edits, name_of, normalized_name
 from quillon.operators import extract
 from quillon.operators.extract import EdgeType, EntityLabel, Ontology
 from quillon.operators.graph import EDGES, NODES, Graph
@@ -89,6 +89,70 @@ def test_reject_rules_and_fuzzy(spark, empty):
     assert {r["name_id"]: r["id"] for r in extract.exact_matches(names, g.nodes).collect()} == {"b": 1}
 
 
+class Given:
+    """Answers by chunk: the text is JSON."""
+
+    model, max_tokens = "gpt-4o", 100
+
+    def extract(self, text, ontology, prompt_version):
+        return json.loads(text)
+
+
+def test_new_names_that_are_alike_are_one_entity(spark, empty):
+    ontology = Ontology((EntityLabel("Person"), EntityLabel("Org")), (EdgeType("WORKS_FOR"), EdgeType("SAID_IN")), resolution="fuzzy")
+    one = {"entities": [{"ref": "a", "label": "Person", "name": "John Smith"}, {"ref": "b", "label": "Org", "name": "Acme Corp", "properties": {"size": 3}}, {"ref": "x", "label": "Planet", "name": "Mars"}], "edges": [{"source": "a", "target": "b", "edge_type": "WORKS_FOR"}]}
+    two = {"entities": [{"ref": "a", "label": "Person", "name": "J. Smith"}, {"ref": "c", "label": "Org", "name": "Acme Corp Ltd"}], "edges": [{"source": "a", "target": "c", "edge_type": "WORKS_FOR"}, {"source": "a", "target": "@chunk", "edge_type": "SAID_IN"}, {"source": "gone", "target": "a", "edge_type": "WORKS_FOR"}]}
+    chunks = spark.createDataFrame([("d", 71, json.dumps(one)), ("d", 72, json.dumps(two))], "doc_id string, chunk_id long, text string")
+    found = extract.extracted(chunks, Given(), ontology)
+    g = extract.process_chunks(empty, found, ontology, chunks=chunks)
+    nodes = {r["id"]: (r["kind"], r["label"], json.loads(r["properties"])) for r in g.nodes.collect()}
+    assert nodes == {
+        1: ("entity", "Person", {"name": "John Smith", "name_norm": "john smith", "aliases": ["J. Smith"]}),
+        2: ("entity", "Org", {"size": 3, "name": "Acme Corp", "name_norm": "acme corp", "aliases": ["Acme Corp Ltd"]}),
+        72: ("content", None, {"text": json.dumps(two), "doc_id": "d"}),
+    }
+    assert sorted((r["source"], r["target"], r["edge_type"]) for r in g.edges.collect()) == [(1, 2, "WORKS_FOR"), (1, 2, "WORKS_FOR"), (1, 72, "SAID_IN")]
+    # again: the same nodes, and the chunks' own edges are replaced
+    again = extract.process_chunks(g, found, ontology, chunks=chunks)
+    assert {r["id"]: json.loads(r["properties"]) for r in again.nodes.collect()} == {k: v[2] for k, v in nodes.items()} and again.edges.count() == 3
+    strict = extract.process_chunks(empty, found, Ontology(ontology.labels, ontology.edge_types), chunks=chunks)
+    assert strict.nodes.filter("kind = 'entity'").count() == 4
+
+
+def test_fuzzy_resolution_is_that_of_one_name_after_the_other(spark, empty):
+    rng = np.random.default_rng(4)
+    words = ["john", "smith", "jon", "j.", "s.", "ibm", "international", "business", "machines", "acme", "corp", "corporation", "york"]
+    names = [("P" if rng.random() < 0.7 else "Q", " ".join(rng.choice(words, rng.integers(1, 4)))) for _ in range(120)]
+    known = [(3, "P", "john smith"), (5, "Q", "acme corporation")]
+    ids, made, aliases = extract.resolve_in_order(names, known, 6)
+    g = empty
+    for i, label, name in known:
+        g = g.put_node(i, "entity", label, json.dumps({"name": name}))
+    entities = [{"ref": str(k), "label": label, "name": name} for k, (label, name) in enumerate(names)]
+    ontology = Ontology((EntityLabel("P"), EntityLabel("Q")), (EdgeType("IS"),), resolution="fuzzy")
+    answers = {k: {"entities": entities[k : k + 10], "edges": [{"source": e["ref"], "target": "@chunk", "edge_type": "IS", "source_text": e["ref"]} for e in entities[k : k + 10]]} for k in range(0, 120, 10)}
+    chunks = spark.createDataFrame([("d", 1000 + k, json.dumps(a)) for k, a in answers.items()], "doc_id string, chunk_id long, text string")
+    out = extract.process_chunks(g, extract.extracted(chunks, Given(), ontology), ontology, chunks=chunks)
+    assert {int(r["provenance"]["source_text"]): r["source"] for r in out.edges.collect()} == dict(enumerate(ids))
+    bags = {r["id"]: json.loads(r["properties"]) for r in out.nodes.filter("kind = 'entity'").collect()}
+    assert {i: bags[i]["name"] for i, _, _ in made} == {i: name for i, _, name in made}
+    assert {i: b["aliases"] for i, b in bags.items() if b.get("aliases")} == {i: list(dict.fromkeys(x)) for i, x in aliases.items()}
+
+
+def test_block_keys_lose_no_alike_names():
+    rng = np.random.default_rng(7)
+    words = ["john", "smith", "jon", "j.", "international", "business", "machines", "ibm", "acme", "corp", "new", "york", "university"]
+    names = set()
+    for _ in range(300):
+        name = list(" ".join(rng.choice(words, rng.integers(1, 5))))
+        for _ in range(rng.integers(0, 3)):
+            name[rng.integers(0, len(name))] = rng.choice(["", "x", "yz"])
+        names.add(" ".join("".join(name).split()))
+    names = sorted(names - {""})
+    probes, keys = {n: set(block_keys(n, True)) for n in names}, {n: set(block_keys(n, False)) for n in names}
+    assert all(probes[a] & keys[b] for a in names for b in names if alike(a, b))
+
+
 def test_collection(spark, tmp_path):
     catalog = Catalog(spark, str(tmp_path / "cat"))
     c = catalog.create(config("things", 2, quantization="sq8", mode="auto_similarity", threshold=0.5))
