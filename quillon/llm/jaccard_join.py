@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import WORD, Scratch, cut, joined, text_of
-from quillon.llm.graph_components import components
+from quillon.llm.graph_components import components, joined_components
 
 WORDS = 5
 #: The similarity is PARTS / WHOLE.
@@ -40,7 +40,7 @@ CHUNK = 4000
 BUCKET_ITEMS = 400_000
 LEAF, FAN = 8, 4
 #: The widths of bitmaps, each of which the smaller ones divide; a set has the smallest with PER_ITEM bits for each of its items.
-WIDTHS, PER_ITEM = (256, 512, 1024, 2048, 4096, 8192, 16384, 32768, 65536), 6
+WIDTHS, PER_ITEM = (256, 512, 1024, 2048, 4096, 8192, 16384, 32768, 65536), 2
 #: Sets that link have sizes in one or two neighbouring steps of this ratio, which is a little over WHOLE / PARTS.
 STEP = 1.34
 #: Sizes travel with prefixes as steps of this ratio, of which sets that link lie at most FAR apart (one more than the ratio gives, for rounding).
@@ -367,10 +367,14 @@ def _possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _texts(docs: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, text) of the classes of known(id, key) that pairs name, each from one document of that key."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(known.select("id", "key"), "id")
-    return docs.select("key", "text").join(wanted.hint("merge"), "key").select("id", "text").dropDuplicates(["id"])
+def _texts(docs: DataFrame, known: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(id, text) of the classes of known(id, key) that pairs name, each from one document of that key.
+
+    What is wanted is a table of its own, so that Spark knows its size, and broadcasts it if that is below its threshold.
+    """
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = scratch.kept(f"{name}-wanted", wanted.join(known.select("id", "key"), "id"))
+    return scratch.kept(f"{name}-texts", docs.select("key", "text").join(wanted, "key").select("id", "text").dropDuplicates(["id"]))
 
 
 def _verified(spokes: DataFrame, texts: DataFrame, tasks: int) -> DataFrame:
@@ -428,17 +432,16 @@ def _best(pairs: DataFrame) -> DataFrame:
     return once.select(hub.alias("hub"), F.when(hub == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("node"))
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str, tasks: int, edges: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) among pairs, and those of edges, that join the same components as all links would."""
-    if edges is None:
-        edges = scratch.kept(f"{name}-links", _verified(scratch.kept(f"{name}-best", _best(pairs)), texts, tasks))
-    comp, apart = components(edges), pairs
+def _linked(pairs: DataFrame, texts: DataFrame, scratch: Scratch, tasks: int) -> DataFrame:
+    """The components (node, comp) of the links among pairs."""
+    comp = cut(components(scratch.kept("links", _verified(scratch.kept("best", _best(pairs)), texts, tasks))))
+    apart = pairs
     for side in ("a", "b"):
         apart = joined(apart, comp.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp")), side, how="left", counted=pairs)
-    rest = scratch.kept(f"{name}-rest", apart.filter(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("a", "b"))
+    rest = scratch.kept("rest", apart.filter(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("a", "b"))
     if rest.isEmpty():
-        return edges
-    return edges.unionByName(scratch.kept(f"{name}-more", _verified(scratch.kept(f"{name}-spokes", _spokes(rest)), texts, tasks)))
+        return comp
+    return joined_components(comp, scratch.kept("more", _verified(scratch.kept("spokes", _spokes(rest)), texts, tasks)))
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -506,15 +509,13 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     scratch.drop("groups")
     possible = scratch.kept("possible", _possible(pairs, known))
     scratch.drop("pairs")
-    texts = scratch.kept("texts", _texts(slim, known, possible))
-    edges = _linked(possible, texts, scratch, "possible", tasks)
-    scratch.drop("texts", "possible")
-    comp = components(edges)
+    comp = _linked(possible, _texts(slim, known, possible, scratch, "possible"), scratch, tasks)
+    scratch.drop("possible", "possible-texts")
     members = large.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     walked = scratch.kept("walked", _walked(_open(cut(members)), known))
     if not walked.isEmpty():
-        texts = scratch.kept("walked-texts", _texts(slim, known, walked))
-        comp = components(_linked(walked, texts, scratch, "walked", tasks, edges))
+        texts = _texts(slim, known, walked, scratch, "walked")
+        comp = joined_components(comp, scratch.kept("walked-links", _verified(scratch.kept("walked-spokes", _spokes(walked)), texts, tasks)))
     comp = cut(comp.withColumnRenamed("node", "id").join(name.hint("merge"), "id").select("class", "comp"))
     rows = joined(found.filter("class is not null").drop("sketch"), comp, "class", how="left")
     rows = rows.select("doc_id", "key", "n_shingles", F.coalesce(F.col("comp").cast("string").cast("binary"), F.col("class")).alias("comp"))

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 
 from quillon.llm import bpe, exact_dedup, html_text, jaccard_join, lm_score, media, mixing, quality, suffix_dedup, token_store, webp, webp_lanes
-from quillon.llm.graph_components import components
+from quillon.llm.graph_components import components, joined_components
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, kept string"
@@ -130,6 +130,10 @@ def test_components(spark):
         root[max(x, y)] = min(x, y)
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert all(got[x] == find(x) for x in got) and {x for p in pairs for x in p if p[0] != p[1]} == set(got)
+    first, rest = pairs[::2], pairs[1::2]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = {r["node"]: r["comp"] for r in joined_components(components(frame(first)), frame(rest)).collect()}
+    assert all(got[x] == find(x) for x in got) and {x for p in pairs for x in p if p[0] != p[1]} == set(got)
 
 
 def test_suffix_dedup(docs, monkeypatch):
