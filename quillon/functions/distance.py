@@ -87,6 +87,10 @@ def checked(a: Column, dimension: int) -> Column:
     return F.when((F.size(a) == dimension) & ~bad, a).otherwise(F.raise_error(F.lit(f"not {dimension} finite numbers")).cast("array<float>"))
 
 
+#: Below this share of both lengths' squares a squared distance from products has lost half of its digits.
+CANCELS = 1e-8
+
+
 def pairwise(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
     """len(queries) x len(vectors) distances of two matrices, by matrix products where the metric allows."""
     queries, vectors = np.asarray(queries, np.float64), np.asarray(vectors, np.float64)
@@ -100,4 +104,10 @@ def pairwise(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarra
     if metric == "cosine":
         scale = np.sqrt(q2 * v2)
         return np.where(scale == 0, 1.0, 1 - products / np.where(scale == 0, 1, scale))
-    return np.sqrt(np.maximum(q2 + v2 - 2 * products, 0))
+    squares = np.maximum(q2 + v2 - 2 * products, 0)
+    # near copies: their squares cancel, so they are measured by their differences
+    i, j = np.nonzero(squares < CANCELS * (q2 + v2))
+    for at in range(0, len(i), 4096):
+        a, b = i[at : at + 4096], j[at : at + 4096]
+        squares[a, b] = ((queries[a] - vectors[b]) ** 2).sum(1)
+    return np.sqrt(squares)

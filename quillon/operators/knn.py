@@ -12,15 +12,19 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.distance import distance, known, pairwise, vector
 from quillon.functions.filters import Filter, compiled, selectivity
+from quillon.lineage import in_order
 
 #: The most bytes of query vectors that go to every executor at a time.
 QUERY_BYTES = 64 << 20
+#: Bytes of vectors in a block, where more queries meet the vectors block by block.
+BLOCK_BYTES = 8 << 20
 MOST_EF = 10_000
 
 
@@ -95,6 +99,60 @@ def _block(vectors: DataFrame, qids: np.ndarray, queries: np.ndarray, k: int, me
     return slim.mapInArrow(run, "qid long, id long, score double")
 
 
+def _nearest(block: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, id, score) of the k best of each row of a block of distances."""
+    near = [best(row, ids, k) for row in block]
+    counts = [len(x) for x in near]
+    which = np.repeat(np.arange(len(block)), counts)
+    at = np.concatenate(near) if near else np.zeros(0, np.int64)
+    return which, ids[at], block[which, at]
+
+
+def _packed(rows: DataFrame, dimension: int, name: str) -> DataFrame:
+    """rows(id, vector) as blocks of up to BLOCK_BYTES: (name, ids, x), numbered from 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, parts, held = [], [], 0
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"ids": [np.concatenate(ids).tobytes()], "x": [np.concatenate(parts).tobytes()]})
+
+        for batch in batches:
+            step = max(1, BLOCK_BYTES // (8 * dimension))
+            for at in range(0, batch.num_rows, step):
+                piece = batch.slice(at, step)
+                ids.append(piece.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+                parts.append(matrix(piece.column(1), dimension))
+                held += len(ids[-1])
+                if held >= step:
+                    yield block()
+                    ids, parts, held = [], [], 0
+        if held:
+            yield block()
+
+    return in_order(rows.mapInArrow(run, "ids binary, x binary"), name)
+
+
+def _blocks(queries: DataFrame, vectors: DataFrame, k: int, metric: str, dimension: int) -> DataFrame:
+    """(qid, id, score): the k best of each block of queries in each block of vectors.
+
+    Every pair of blocks meets in one task, which holds these two only; nothing goes through the driver but two counts.
+    """
+    one, two = _packed(queries, dimension, "a"), _packed(vectors, dimension, "b")
+    n_one, n_two = one.count(), two.count()
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    if not n_one or not n_two:
+        return queries.sparkSession.createDataFrame([], "qid long, id long, score double")
+    sides = one.select("a", upto(n_two).alias("b"), F.lit(0).alias("side"), "ids", "x").unionByName(two.select(upto(n_one).alias("a"), "b", F.lit(1).alias("side"), "ids", "x"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        (q_ids, q), (v_ids, v) = ((np.frombuffer(r.ids, np.int64), np.frombuffer(r.x).reshape(-1, dimension)) for r in pdf.sort_values("side").itertuples())
+        which, ids, scores = _nearest(pairwise(q, v, metric), v_ids, k)
+        return pd.DataFrame({"qid": q_ids[which], "id": ids, "score": scores})
+
+    return sides.groupBy("a", "b").applyInPandas(run, "qid long, id long, score double")
+
+
 def batch_search(
     vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", where: Filter | None = None, id_col: str = "id", vec_col: str = "embedding", query_id: str = "qid", query_vec: str = "query"
 ) -> DataFrame:
@@ -109,14 +167,11 @@ def batch_search(
     schema = "qid long, id long, score double, rank int"
     if not n or k < 1:
         return vectors.sparkSession.createDataFrame([], schema)
-    blocks = math.ceil(n * dimension * 8 / QUERY_BYTES)
-    out = None
-    for b in range(blocks):
-        part = slim if blocks == 1 else slim.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        rows = part.toArrow()
-        if rows.num_rows:
-            found = _block(kept, rows.column(0).to_numpy(), matrix(rows.column(1), dimension), k, metric, id_col, vec_col)
-            out = found if out is None else out.unionByName(found)
+    if n * dimension * 8 <= QUERY_BYTES:
+        rows = slim.toArrow()
+        out = _block(kept, rows.column(0).to_numpy(), matrix(rows.column(1), dimension), k, metric, id_col, vec_col)
+    else:
+        out = _blocks(slim, kept.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).filter("v is not null"), k, metric, dimension)
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.isnan("score"), "score", "id")))
     return ranked.filter(F.col("rank") <= k)
 
@@ -162,7 +217,20 @@ class Request:
 
 def mixed_batch(requests: Sequence[Request]) -> DataFrame:
     """(qid, id, score, rank) of queries that differ in collection, k, filter or strategy; qid is the request's place."""
-    parts = [filtered_search(r.vectors, r.query, r.k, r.where, r.strategy, r.metric).withColumn("qid", F.lit(n).cast("long")) for n, r in enumerate(requests)]
+    groups: dict[tuple, list[int]] = {}
+    for n, r in enumerate(requests):
+        # requests that filter first and differ in query and k alone read their vectors once
+        alone = n if r.strategy == "post_filter" and r.where is not None else -1
+        groups.setdefault((id(r.vectors), repr(r.where), r.metric, alone), []).append(n)
+    parts = []
+    for places in groups.values():
+        r = requests[places[0]]
+        if len(places) == 1:
+            parts.append(filtered_search(r.vectors, r.query, r.k, r.where, r.strategy, r.metric).withColumn("qid", F.lit(places[0]).cast("long")))
+            continue
+        rows = r.vectors.sparkSession.createDataFrame([(n, [float(x) for x in requests[n].query], requests[n].k) for n in places], "qid long, query array<double>, k int")
+        found = batch_search(r.vectors, rows, max(requests[n].k for n in places), r.metric, r.where)
+        parts.append(found.join(F.broadcast(rows.select("qid", "k")), "qid").filter("rank <= k").drop("k"))
     if not parts:
         raise ValueError("a batch needs a request")
     out = parts[0]
@@ -174,3 +242,25 @@ def mixed_batch(requests: Sequence[Request]) -> DataFrame:
 def with_metadata(found: DataFrame, vectors: DataFrame, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
     """found with the vectors' other columns."""
     return found.join(vectors.drop(vec_col).withColumnRenamed(id_col, "id"), "id", "left")
+
+
+GRAPH_EDGES = 10
+PENDING = "the collection has changes that optimize() hasn't seen; approximate structures may miss them"
+
+
+def with_graph(found: DataFrame, sim_edges: DataFrame, most: int = 0, threshold: float = 0.0, default: float = 0.7, overrides: DataFrame | None = None) -> DataFrame:
+    """found(id, ...) with graph_edges: each result's edges (target, similarity) of the similarity graph, the most similar first.
+
+    At most ten unless most says otherwise; a threshold of 0 takes each vector's own or the collection's.
+    """
+    from quillon.operators.simgraph import related
+
+    near = related(sim_edges, found.select("id"), threshold or None, default, most or GRAPH_EDGES, overrides)
+    listed = near.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("dst").alias("target"), "similarity"))).alias("g"))
+    edges = F.transform(F.coalesce("g", F.array().cast("array<struct<rank:int,target:bigint,similarity:double>>")), lambda e: F.struct(e["target"].alias("target"), e["similarity"].alias("similarity")))
+    return found.join(listed.withColumnRenamed("src", "id"), "id", "left").withColumn("graph_edges", edges).drop("g")
+
+
+def warning(status: str) -> str | None:
+    """What a search over a collection of this status should tell its caller."""
+    return PENDING if status == "pending_optimization" else None

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.distance import distance, known, pairwise, squared_euclidean_distance, vector
+from quillon.lineage import in_order
 from quillon.operators.knn import Quantization, matrix
 
 LEVELS, CENTROIDS, CELLS, SEED = 255, 256, 256, 42
@@ -46,10 +47,19 @@ def train_scalar(vectors: DataFrame, quantile: float | None = None) -> ScalarCod
     if quantile is None:
         rows = parts.groupBy("at").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.max(F.isnan("x")).alias("bad")).orderBy("at").collect()
     else:
-        order = Window.partitionBy("at").orderBy("x")
-        ranked = parts.withColumn("rn", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("at")))
-        low, high = F.floor((1 - quantile) / 2 * F.col("n")), F.least(F.col("n") - 1, F.floor((1 + quantile) / 2 * F.col("n")))
-        rows = ranked.groupBy("at").agg(F.max(F.when(F.col("rn") == low, F.col("x"))).alias("low"), F.max(F.when(F.col("rn") == high, F.col("x"))).alias("high"), F.max(F.isnan("x")).alias("bad")).orderBy("at").collect()
+        counts = parts.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.max(F.isnan("x")).alias("bad")).orderBy("at").collect()  # a row per dimension
+        first, wanted = 0, []
+        for r in counts:
+            n = r["n"]
+            wanted += [(r["at"], side, first + at) for side, at in (("low", math.floor((1 - quantile) / 2 * n)), ("high", min(n - 1, math.floor((1 + quantile) / 2 * n))))]
+            first += n
+        rows = []
+        if counts:
+            # all entries sorted by dimension and value over all tasks, and the wanted places of that order
+            places = vectors.sparkSession.createDataFrame(wanted, "at int, side string, place long")
+            found = in_order(parts, "place", "at", "x").join(F.broadcast(places), ["at", "place"]).collect()
+            value = {(r["at"], r["side"]): r["x"] for r in found}
+            rows = [{"low": value[r["at"], "low"], "high": value[r["at"], "high"], "bad": r["bad"]} for r in counts]
     if not rows:
         raise ValueError("no vectors to train on")
     if any(r["bad"] for r in rows):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quillon.functions.distance import distance, vector
 from quillon.functions.predicates import Predicate, compiled
 from quillon.functions.weights import Temporal, Weight, cost, effective_weight, valid
-from quillon.lineage import cut
+from quillon.lineage import cut, in_order
 from quillon.operators import vmath
 from quillon.operators.graph import Graph, as_edge_rows, degrees, direction_of, incident, neighbours, no_structure, with_degrees
 from quillon.operators.knn import search
@@ -219,7 +219,7 @@ class Run:
             rows = rows.filter((F.col("kind") == "entity") == F.lit(entities))
         if label is not None:
             rows = rows.filter((F.col("kind") == "entity") & (F.col("label") == label))
-        return "nodes", _numbered(rows.select("id"), "id").select("pos", "id")
+        return "nodes", in_order(rows.select("id"), "pos", "id").select("pos", "id")
 
     def _first(self, rows: DataFrame, key: str, *order) -> DataFrame:
         """Each key once, numbered by the least of order."""
@@ -463,9 +463,10 @@ def fused(query: NodeQuery, spec: Rrf, k: int) -> DataFrame:
         pool = pool.filter(F.col("pos") < spec.pool)
     pool = pool.persist()
     target = query.steps[0].args["query"]
-    near = run.ranked(run.fetched(pool, "skip"), distance(F.col("embedding"), vector(target), run.metric), MOST_FRONTIER)[1].select("id", (F.col("pos") + 1).alias("r1"))
+    scored = run.fetched(pool, "skip").select("id", distance(F.col("embedding"), vector(target), run.metric).alias("score"))
+    near = in_order(scored, "r0", F.isnan("score"), "score", "id").select("id", (F.col("r0") + 1).alias("r1"))
     close = run.proximity(seeds, pool, spec).filter("near > 0").join(pool, "id")
-    close = close.withColumn("r2", F.row_number().over(Window.orderBy(F.desc("near"), "pos"))).select("id", "r2")
+    close = in_order(close.select("id", "near", "pos"), "r0", F.desc("near"), "pos").select("id", (F.col("r0") + 1).alias("r2"))
     base = float(spec.k or RRF_K)
     both = pool.join(near, "id", "left").join(close, "id", "left")
     total = sum((F.coalesce(1 / (F.lit(base) + F.col(r)), F.lit(0.0)) for r in ("r1", "r2")), F.lit(0.0))

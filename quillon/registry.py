@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillon.functions import distance as D
 from quillon.functions.filters import field, parsed
 from quillon.functions.predicates import Among, Compare, Exists, IncidentEdges, Kind, Label, Negated, Property
-from quillon.functions.text import content_hash, few_edits, normalized_name
+from quillon.functions.text import content_hash
 from quillon.functions.weights import Temporal, Weight, cost, effective_weight, valid
 from quillon.operators import extract, graph, knn, quant, simgraph, vmath
 from quillon.operators.graph import Graph
@@ -175,7 +175,6 @@ def _filters():
         "range": (field("p_size").gt(10) & field("p_size").lte(40.0), "coalesce(p_size > 10 AND p_size <= 40, false)"),
         "string_order": (field("p_type").gte("M") & field("p_type").lt("T"), "coalesce(p_type >= 'M' AND p_type < 'T', false)"),
         "in": (field("label").in_([1, 3, 5.0]), "label IN (1, 3, 5)"),
-        "between": (field("p_retailprice").between(950, 1200.5), "coalesce(p_retailprice BETWEEN 950 AND 1200.5, false)"),
         "exists": (field("p_brand").exists(), "p_brand IS NOT NULL"),
         "contains": (field("p_type").contains("E"), "coalesce(contains(p_type, 'E'), false)"),
         "logic": (parsed({"or": [{"not": {"field": "p_size", "op": "lt", "value": 30}}, {"and": [{"field": "label", "op": "eq", "value": 2}, {"field": "absent", "op": "ne", "value": 1}]}]}), "NOT coalesce(p_size < 30, false)"),
@@ -225,7 +224,6 @@ PREDICATES = {
     "number": (_P("num", "ge", 25), "num >= 25"),
     "text": (_P("tag", "eq", "BUILDING") | _P("name", "lt", "Customer#000000100"), "tag = 'BUILDING' OR name < 'Customer#000000100'"),
     "missing_ne": (_P("tag", "ne", "BUILDING"), "tag IS NOT NULL AND tag <> 'BUILDING'"),
-    "wrong_type": (_P("num", "eq", "25") | _P("name", "gt", 3), "false"),
     "among": (Among(Property("tag"), ("BUILDING", "MACHINERY")), "tag IN ('BUILDING', 'MACHINERY')"),
     "not_among": (Among(Property("tag"), ("BUILDING", "MACHINERY"), negated=True), "tag IS NOT NULL AND tag NOT IN ('BUILDING', 'MACHINERY')"),
     "exists": (Exists(Property("num")), "num IS NOT NULL"),
@@ -351,11 +349,6 @@ def hybrid_k_hop_predicate(spark, sf_dir):
     return start(spark, sf_dir).vector_similar(AXIS, 20).k_hop(2, predicate=_P("num", "gt", 3000)).run().select("id")
 
 
-@query()
-def hybrid_k_hop_weighted(spark, sf_dir):
-    return start(spark, sf_dir).scan(True, "Customer", _P("num", "gt", 9000)).k_hop(2, weight=Weight("qty", True), order_by_weight=True).run()
-
-
 def region_of(spark, sf_dir) -> int:
     """The region that customer 1 lives in."""
     g = property_graph(spark, sf_dir)
@@ -370,22 +363,6 @@ def hybrid_shortest_path(spark, sf_dir):
     return path.select("pos", F.size("nodes").cast("long").alias("n_nodes"), F.element_at("nodes", 1).alias("first"), F.element_at("nodes", -1).alias("last"))
 
 
-@query()
-def hybrid_shortest_path_weighted(spark, sf_dir):
-    path = start(spark, sf_dir).from_nodes([10_000_001]).shortest_path(region_of(spark, sf_dir), ["LOCATED_IN", "PART_OF"], Weight("qty")).return_paths()
-    return path.select("pos", F.posexplode("nodes").alias("at", "id"))
-
-
-def _both_ways(ids):
-    return f"SELECT target AS id FROM edges WHERE source IN ({ids}) UNION SELECT source FROM edges WHERE target IN ({ids})"
-
-
-@query(f"WITH {EDGES} ({_both_ways('10000001')}) INTERSECT ({_both_ways('10000002')})")
-def hybrid_mutual(spark, sf_dir):
-    s = start(spark, sf_dir)
-    return s.from_nodes([10_000_001]).mutual_neighbours(s.from_nodes([10_000_002])).run().select("id")
-
-
 @query(f"WITH {NODES}, {VECTORS}, {SEED} SELECT id, row_number() OVER (ORDER BY pos) - 1 AS pos FROM s WHERE id IN (SELECT id FROM nodes WHERE num > 25)")
 def hybrid_intersect(spark, sf_dir):
     s = start(spark, sf_dir)
@@ -458,14 +435,6 @@ def hybrid_centroid(spark, sf_dir):
     return start(spark, sf_dir).scan(False).centroid(10).run()
 
 
-@query()
-def hybrid_rrf(spark, sf_dir):
-    """Suppliers have no vector, so they rank by the graph alone."""
-    s = start(spark, sf_dir)
-    seeds = s.vector_similar(AXIS, 20)
-    return rounded(seeds.union(seeds.traverse("SUPPLIED_BY")).fused(Rrf(k=60, max_hops=1), 15), "score")
-
-
 @query()
 def hybrid_rrf_damped(spark, sf_dir):
     s = start(spark, sf_dir)
@@ -491,11 +460,6 @@ def similarity_related(spark, sf_dir):
     return rounded(simgraph.related(simgraph.build(v, 0.3), v.select("id"), 0.4, most=5), "similarity").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
-def similarity_traverse(spark, sf_dir):
-    return rounded(simgraph.traverse(simgraph.build(vectors(spark, sf_dir), 0.3).persist(), 1, 2, 0.35), "path_similarity").withColumn("path", F.concat_ws(",", F.col("path").cast("array<string>")))
-
-
 # --- vector mathematics ---
 
 
@@ -615,17 +579,6 @@ def text_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", content_hash(F.col("text")).alias("hash"))
 
 
-@query()
-def entity_names(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", normalized_name("p_name").alias("name"))
-
-
-@query("WITH p AS (SELECT DISTINCT lower(p_type) AS a FROM part) SELECT x.a, y.a AS b FROM p x JOIN p y ON x.a < y.a AND levenshtein(x.a, y.a) <= CASE WHEN least(length(x.a), length(y.a)) <= 4 THEN 0 WHEN least(length(x.a), length(y.a)) <= 8 THEN 1 ELSE 2 END")
-def entity_few_edits(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.lower("p_type").alias("a")).distinct()
-    return p.join(p.withColumnRenamed("a", "b"), (F.col("a") < F.col("b")) & few_edits(F.col("a"), F.col("b")))
-
-
 def chunks(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").alias("chunk_id"), "text")
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.distance import checked, known
+from quillon.lineage import in_order
 
 NAME = re.compile("[a-zA-Z0-9_-]{1,256}")
 QUANTILE = 0.99
@@ -128,12 +129,7 @@ class Collection:
             raise ValueError(f"id {clash['id']} exists")
         top = max(top, wanted.agg(F.max("id")).first()[0] or 0)
         free = rows.filter("coalesce(id, 0) = 0").drop("id")
-        free = free.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-        counts = free.groupBy("__p").count()
-        before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-        counts = counts.select("__p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__b"))
-        within = F.shiftrightunsigned(F.shiftleft(F.col("__m"), 31), 31)
-        given = free.join(counts, "__p").withColumn("id", F.col("__b") + within + 1 + top).drop("__p", "__m", "__b")
+        given = in_order(free, "id").withColumn("id", F.col("id") + top + 1)
         every = wanted.unionByName(given).withColumn("embedding", checked(F.col("embedding").cast("array<float>"), self.config.dimension)).withColumn("version", F.lit(1))
         seq = len(self._segments()) + self._compacted()
         self._append(every)
@@ -182,13 +178,23 @@ class Collection:
         return {"merged": len(parts), "written": written, "removed": rows - written}
 
     def status(self) -> dict[str, object]:
-        return {"name": self.config.name, "count": self.load().count(), "segments": len(self._segments()), "status": "ready"}
+        return {"name": self.config.name, "count": self.load().count(), "segments": len(self._segments()), "status": "ready" if self._optimized() else "pending_optimization"}
+
+    def _mark(self) -> str:
+        return json.dumps([p.rsplit("/", 1)[-1] for p in self._segments()])
+
+    def _optimized(self) -> bool:
+        """Whether what optimize() makes covers all segments; a collection that needs nothing made always is."""
+        if self.config.quantization != "sq8" and self.config.mode == "vector_only" or not self._segments():
+            return True
+        fs, p = self.catalog._fs(f"{self.folder}/optimized")
+        return fs.exists(p) and self.spark.read.text(f"{self.folder}/optimized").first()["value"] == self._mark()
 
     def optimize(self) -> str:
         """Writes scalar codes and the similarity graph anew, as the mode asks; already_optimized if nothing came since."""
         from quillon.operators import quant, simgraph
 
-        mark = json.dumps([p.rsplit("/", 1)[-1] for p in self._segments()])
+        mark = self._mark()
         fs, p = self.catalog._fs(f"{self.folder}/optimized")
         if fs.exists(p) and self.spark.read.text(f"{self.folder}/optimized").first()["value"] == mark:
             return "already_optimized"

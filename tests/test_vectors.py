@@ -218,3 +218,49 @@ def test_codes(spark, points):
     rc = quant.train_product(residual, 4, 16)
     coded_rest = rc.encode(residual).join(celled.select("id", "cell"), "id")
     assert cells.residual_search(celled, coded_rest, rc, x[3].tolist(), 5, 3).count() == 5
+
+
+def test_near_copies_keep_their_distance():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=1536)
+    y = x.copy()
+    y[7] += 1e-6
+    assert math.isclose(D.pairwise(x[None], np.stack([y, -x]), "euclidean")[0, 0], 1e-6, rel_tol=1e-6)
+
+
+def test_queries_beyond_the_driver_meet_block_by_block(spark, points, monkeypatch):
+    x, df = points
+    queries = df.select(F.col("id").alias("qid"), F.col("embedding").alias("query"))
+    want = sorted((r["qid"], r["rank"], r["id"]) for r in knn.batch_search(df, queries, 3).collect())
+    monkeypatch.setattr(knn, "QUERY_BYTES", 1000)
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 8 * 8 * 30)
+    assert sorted((r["qid"], r["rank"], r["id"]) for r in knn.batch_search(df, queries, 3).collect()) == want
+    assert knn.batch_search(df.limit(0), queries, 3).count() == 0
+
+
+def test_a_mixed_batch_reads_equal_requests_once(spark, points):
+    x, df = points
+    requests = [knn.Request(df, x[0].tolist(), 2), knn.Request(df, x[1].tolist(), 4), knn.Request(df, x[2].tolist(), 3, "euclidean", field("label").eq(2)), knn.Request(df, x[3].tolist(), 1, strategy="post_filter", where=field("label").eq(1))]
+    got = {(r["qid"], r["rank"]): r["id"] for r in knn.mixed_batch(requests).collect()}
+    for n, r in enumerate(requests):
+        one = knn.filtered_search(r.vectors, r.query, r.k, r.where, r.strategy, r.metric).collect()
+        assert {k: v for (q, k), v in got.items() if q == n} == {row["rank"]: row["id"] for row in one}
+
+
+def test_results_with_graph_edges_and_warning(spark, points):
+    _, df = points
+    edges = simgraph.build(df, 0.1)
+    found = knn.search(df, [1.0] * 8, 3)
+    rows = knn.with_graph(found, edges, threshold=0.2).collect()
+    for r in rows:
+        want = [(e["dst"], e["similarity"]) for e in edges.filter((F.col("src") == r["id"]) & (F.col("similarity") >= 0.2)).orderBy(F.desc("similarity"), "dst").limit(10).collect()]
+        assert [(e["target"], e["similarity"]) for e in r["graph_edges"]] == want
+    assert knn.warning("ready") is None and knn.warning("pending_optimization")
+
+
+def test_ordered_numbers_over_many_partitions(spark):
+    from quillon.lineage import in_order
+
+    rows = [(int(v),) for v in np.random.default_rng(0).integers(0, 1000, 500)]
+    got = in_order(spark.createDataFrame(rows, "x long").repartition(7), "n", "x").collect()
+    assert sorted(r["n"] for r in got) == list(range(500)) and [r["x"] for r in sorted(got, key=lambda r: r["n"])] == sorted(v for (v,) in rows)
