@@ -6,6 +6,7 @@ positions come from (parent's position, out before in, edge id). Walks are loops
 
 from __future__ import annotations
 
+import asyncio
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -84,6 +85,10 @@ class Query:
             raise PlanError("an empty plan")
         return Run(self).run(self.steps)[1]
 
+    async def arun(self) -> DataFrame:
+        """run for callers that mustn't wait: the plan's jobs are started from another thread."""
+        return await asyncio.to_thread(self.run)
+
 
 class NodeQuery(Query):
     def vector_similar(self, query: Sequence[float], k: int, ef: int | None = None) -> NodeQuery:

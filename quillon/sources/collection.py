@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, replace
@@ -207,10 +208,27 @@ class Collection:
         self.spark.createDataFrame([(mark,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/optimized")
         return "completed"
 
-    def set_threshold(self, threshold: float) -> Collection:
-        out = Collection(self.catalog, replace(self.config, threshold=threshold))
-        self.catalog._save(out.config)
-        return out
+    def set_threshold(self, threshold: float, vector_id: int = 0) -> Collection:
+        """Vector 0 stands for the collection, whose similarity graph is then to be made again; of another one it is kept as its own threshold, and
+        edges that are there stay."""
+        if not vector_id:
+            out = Collection(self.catalog, replace(self.config, threshold=threshold))
+            self.catalog._save(out.config)
+            fs, p = self.catalog._fs(f"{self.folder}/optimized")
+            fs.delete(p, True)
+            return out
+        if self.get(vector_id) is None:
+            raise KeyError(vector_id)
+        row = self.spark.createDataFrame([(vector_id, float(threshold), time.time_ns())], "id long, threshold_override double, at long")
+        row.coalesce(1).write.mode("append").parquet(f"{self.folder}/thresholds")
+        return self
+
+    def thresholds(self) -> DataFrame:
+        """(id, threshold_override): the newest of each vector that has one of its own."""
+        fs, p = self.catalog._fs(f"{self.folder}/thresholds")
+        if not fs.exists(p):
+            return self.spark.createDataFrame([], "id long, threshold_override double")
+        return self.spark.read.parquet(f"{self.folder}/thresholds").groupBy("id").agg(F.max_by("threshold_override", "at").alias("threshold_override"))
 
     def backup(self, folder: str) -> DataFrame:
         """A copy of the rows and a manifest (id, sha256) of them."""
@@ -251,9 +269,15 @@ def read_f32(spark: SparkSession, path: str, dimension: int, ids_path: str | Non
     return _rows(spark, flat.reshape(-1, dimension), ids_path, chunk)
 
 
+#: Folders that files are read from; any, if there is none.
+ALLOWED: list[str] = []
+
+
 def _safe(path: str) -> str:
     if not path.startswith("/") or "\0" in path or {".", ".."} & set(path.split("/")):
         raise ValueError(f"not an absolute, plain path: {path!r}")
+    if ALLOWED and not any(path.startswith(f"{a.rstrip('/')}/") for a in ALLOWED):
+        raise PermissionError(f"not in an allowed folder: {path!r}")
     return path
 
 

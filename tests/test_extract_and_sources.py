@@ -205,3 +205,81 @@ def test_files_and_stream(spark, tmp_path):
         stream = spark.readStream.schema("id long, embedding array<float>").parquet(str(tmp_path / "in"))
         ingest(stream, c, str(tmp_path / "check"), lambda bad, n: errors.extend(r["error"] for r in bad.collect())).awaitTermination()
     assert c.load().count() == 4 and len(errors) == 2
+
+
+def test_bulk_insertion_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    from quillon.sources import bulk
+
+    c = Catalog(spark, str(tmp_path / "cat")).create(config("b", 2))
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 31)] + [(99, [1.0])], "id long, embedding array<float>")
+    calls, original = [], type(c).insert
+
+    def failing(self, part):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return original(self, part)
+
+    monkeypatch.setattr(type(c), "insert", failing)
+    monkeypatch.setattr(bulk.uuid, "uuid4", lambda: type("U", (), {"hex": "t"})())
+    with pytest.raises(RuntimeError):
+        bulk.bulk_insert(c, rows, bulk.BulkOptions(checkpoint_every=10))
+    monkeypatch.setattr(type(c), "insert", original)
+    monkeypatch.undo()
+    assert 0 < c.load().count() < 30
+    done = bulk.bulk_insert(c, rows, bulk.BulkOptions(checkpoint_every=10, resume_token="t"))
+    assert done.inserted == 30 and c.load().count() == 30
+    again = bulk.bulk_insert(c, rows, bulk.BulkOptions(checkpoint_every=10, resume_token="t"))
+    assert again.inserted == 30 and c.load().count() == 30
+    for bad in ({"index_mode": "x"}, {"checkpoint_every": -1}):
+        with pytest.raises(ValueError):
+            bulk.BulkOptions(**bad)
+    with pytest.raises(KeyError):
+        bulk.bulk_insert(c, rows, bulk.BulkOptions(resume_token="none"))
+
+
+def test_thresholds_status_and_arrays(spark, tmp_path):
+    from quillon.sources import arrays
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 3)).astype(np.float32)
+    c = Catalog(spark, str(tmp_path / "cat")).create(config("t", 3, mode="auto_similarity", threshold=0.5))
+    arrays.np_insert(c, x)
+    assert c.status()["status"] == "pending_optimization" and c.optimize() == "completed" and c.status()["status"] == "ready"
+    c.set_threshold(0.9, 3).set_threshold(0.8, 3)
+    assert [tuple(r) for r in c.thresholds().collect()] == [(3, 0.8)]
+    with pytest.raises(KeyError):
+        c.set_threshold(0.9, 300)
+    c = c.set_threshold(0.6)
+    assert c.status()["status"] == "pending_optimization" and c.config.threshold == 0.6
+    assert np.allclose(arrays.np_get(c, 1)[0], x[0]) and arrays.np_get(c, 999) is None
+    assert np.allclose(arrays.np_centroid(c), x.mean(0), atol=1e-6) and np.allclose(arrays.np_interpolate(x[0], x[1]), (x[0] + x[1]) / 2, atol=1e-6)
+    assert arrays.np_cluster(c, 3).centroids.shape == (3, 3)
+    found = arrays.np_pca(c, 2)
+    assert found.components.shape == (2, 3) and found.projected.count() == 40
+
+
+def test_jobs_take_turns(spark, empty):
+    from quillon.operators.jobs import Jobs
+
+    frame = lambda *rows: spark.createDataFrame(rows, "doc_id string, chunk_id long, text string")
+    jobs = Jobs(empty, Words(), ONTOLOGY, spark.createDataFrame([], extract.CHUNK_HASHES))
+    one, two, three = jobs.submit(frame(("a", 1, "Ann met Bob"), ("b", 2, "FAIL"))), jobs.submit(frame(("c", 3, "Cid met Dan"))), jobs.submit(frame(("d", 4, "Eve met Fay"), ("e", 5, "Gus")))
+    assert jobs.step() and jobs.step()
+    assert [jobs.status(j)["status"] for j in (one, two, three)] == ["running", "completed", "queued"]
+    jobs.append(one, frame(("f", 6, "Ann met Cid")))
+    jobs.cancel(three)
+    with pytest.raises(ValueError):
+        jobs.append(three, frame(("g", 7, "Hal")))
+    jobs.run()
+    assert jobs.status(one)["status"] == "completed_with_errors" and jobs.status(one)["total"] == 3 and jobs.status(three) | {"errors": []} == {"status": "cancelled", "waiting": 0, "skipped": 2, "total": 0, "done": 0, "failed": 0, "input_tokens": 0, "output_tokens": 0, "errors": []}
+    assert sorted(json.loads(r["properties"])["name"] for r in jobs.graph.nodes.collect()) == ["Ann", "Bob", "Cid", "Dan"]
+
+
+def test_plans_run_beside_the_caller(spark, empty):
+    import asyncio
+
+    from quillon.plans.hybrid import NodeQuery
+
+    query = NodeQuery(empty, spark.createDataFrame([], "id long, embedding array<float>")).from_nodes([4, 2])
+    assert [r["id"] for r in asyncio.run(query.arun()).orderBy("pos").collect()] == [4, 2]
