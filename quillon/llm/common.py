@@ -84,11 +84,14 @@ def joined(rows: DataFrame, table: DataFrame, *keys: str, how: str = "inner", co
     read) and table's rows of them are broadcast, so that none of them meets in one task; the rest is shuffled.
     """
     counted = rows if counted is None else counted
+    total = counted.count()
+    if total <= LIGHT and how == "inner":
+        return table.join(F.broadcast(rows), list(keys))  # no more than LIGHT rows, all different or fewer than counted
     known = F.lit(True)
     for key in keys:
         known &= F.col(key).isNotNull()
-    top = counted.filter(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > LIGHT).orderBy(F.desc("__n")).limit(HEAVY).collect()
-    least = counted.count() // HEAVY if top else 0
+    top = counted.filter(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > LIGHT).orderBy(F.desc("__n")).limit(HEAVY).collect() if total > LIGHT else []
+    least = total // HEAVY
     heavy = [r[: len(keys)] for r in top if r["__n"] > least]
     if not heavy:
         return rows.join(table.hint("merge"), list(keys), how)

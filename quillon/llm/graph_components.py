@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import cut
 
 ROUNDS = 60
+#: A graph of up to so many edges is worked on by one task, which spares a small graph the files of many shuffles.
+FEW = 100_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,13 +19,14 @@ def components(edges: DataFrame) -> DataFrame:
     the smallest of them, until only stars are left. Rounds grow with the logarithm of the longest path.
     """
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    together = (lambda df: df.coalesce(1)) if edges.count() <= FEW else (lambda df: df)
     for _ in range(ROUNDS):
         # all stars: no node hangs on two others, and none on which others hang hangs itself
         ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("hangs")).union(edges.select("v", F.lit(0)))
-        tied = ends.groupBy("n").agg(F.sum("hangs").alias("up"), F.min("hangs").alias("down")).filter("up > 1 or up = 1 and down = 0")
+        tied = together(ends).groupBy("n").agg(F.sum("hangs").alias("up"), F.min("hangs").alias("down")).filter("up > 1 or up = 1 and down = 0")
         if tied.isEmpty():
             break
-        both = edges.union(edges.select("v", "u"))
+        both = together(edges.union(edges.select("v", "u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

@@ -40,11 +40,13 @@ CHUNK = 4000
 BUCKET_ITEMS = 400_000
 LEAF, FAN = 8, 4
 #: The widths of bitmaps, each of which the smaller ones divide; a set has the smallest with PER_ITEM bits for each of its items.
-WIDTHS, PER_ITEM = (256, 512, 1024, 2048, 4096, 8192, 16384, 32768, 65536), 2
+WIDTHS, PER_ITEM = (256, 512, 1024, 2048, 4096, 8192, 16384, 32768, 65536), 6
 #: Sets that link have sizes in one or two neighbouring steps of this ratio, which is a little over WHOLE / PARTS.
 STEP = 1.34
 #: Sizes travel with prefixes as steps of this ratio, of which sets that link lie at most FAR apart (one more than the ratio gives, for rounding).
 FINE, FAR = 1.08, 5
+#: Keys of texts that the walk of large groups asks for, up to which they are broadcast (3 MB); those of listed pairs never are.
+MOST_KEYS = 1 << 17
 #: Texts that are compared with one text in one task.
 SPOKES = 500
 BASE = 0x5851F42D4C957F2D
@@ -367,13 +369,14 @@ def _possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _texts(docs: DataFrame, known: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _texts(docs: DataFrame, known: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, most: int = 0) -> DataFrame:
     """(id, text) of the classes of known(id, key) that pairs name, each from one document of that key.
 
-    What is wanted is a table of its own, so that Spark knows its size, and broadcasts it if that is below its threshold.
+    Up to ``most`` keys (of 24 bytes with their id) are broadcast; for more of them documents are shuffled.
     """
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = scratch.kept(f"{name}-wanted", wanted.join(known.select("id", "key"), "id"))
+    wanted = wanted.hint("broadcast" if 0 < wanted.count() <= most else "merge")
     return scratch.kept(f"{name}-texts", docs.select("key", "text").join(wanted, "key").select("id", "text").dropDuplicates(["id"]))
 
 
@@ -434,6 +437,7 @@ def _best(pairs: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, texts: DataFrame, scratch: Scratch, tasks: int) -> DataFrame:
     """The components (node, comp) of the links among pairs."""
+    tasks = max(1, min(tasks, pairs.count() // SPOKES))
     comp = cut(components(scratch.kept("links", _verified(scratch.kept("best", _best(pairs)), texts, tasks))))
     apart = pairs
     for side in ("a", "b"):
@@ -514,7 +518,8 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     members = large.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     walked = scratch.kept("walked", _walked(_open(cut(members)), known))
     if not walked.isEmpty():
-        texts = _texts(slim, known, walked, scratch, "walked")
+        texts = _texts(slim, known, walked, scratch, "walked", MOST_KEYS)
+        tasks = max(1, min(tasks, walked.count() // SPOKES))
         comp = joined_components(comp, scratch.kept("walked-links", _verified(scratch.kept("walked-spokes", _spokes(walked)), texts, tasks)))
     comp = cut(comp.withColumnRenamed("node", "id").join(name.hint("merge"), "id").select("class", "comp"))
     rows = joined(found.filter("class is not null").drop("sketch"), comp, "class", how="left")
