@@ -3,8 +3,8 @@
 1. Every 200-byte window of a document is assigned to one 48-byte anchor in it: the one of smallest hash, the leftmost of equals. Windows
    with one anchor follow each other; they and the bytes that they cover are a context. Equal windows have equal anchors at equal places in
    them, so only contexts whose anchor occurs again can hold a repeat.
-2. Contexts that are equal as a whole (told by 128-bit digests) are one kind, whose windows all repeat if it occurs twice. Of each kind of
-   an anchor with several kinds one context stands for all.
+2. Contexts that are equal as a whole (told by 128-bit digests) are one kind. Of each kind one context stands for all, and counts twice in
+   the merge if there are several; what the merge finds in it is then carried over to all of them.
 3. These contexts are dealt out by anchor. Those that agree with no other one on either side of the anchor far enough for a
    window are left out. A task cuts the others into shards, builds each shard's Burrows-Wheeler transform
    and merges the transforms by refining their interleave: a round takes the current order of all rows, reads the symbols before each row's
@@ -20,6 +20,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -167,17 +168,23 @@ def dense(key: np.ndarray) -> tuple[np.ndarray, int]:
     return out, int(new.sum())
 
 
-def merged_repeats(shards: list[list[bytes]], length: int) -> list[list[np.ndarray]]:
-    """For each string of each shard, the starts at which its string of that length occurs elsewhere in them too."""
+def merged_repeats(shards: list[list[bytes]], length: int, twice: list[list[bool]] | None = None) -> list[list[np.ndarray]]:
+    """For each string of each shard, the starts at which its string of that length occurs elsewhere in them too.
+
+    A string with ``twice`` set stands for several equal ones.
+    """
     parts = [transform(s) for s in shards]
     base = np.cumsum([0] + [len(p[0]) for p in parts])
     symbols = np.concatenate([p[0] for p in parts])
     leads = np.concatenate([p[1] + b for p, b in zip(parts, base, strict=False)])
     places = np.concatenate([p[2] for p in parts])
     depth = np.empty(len(symbols), np.int64)  # symbols of the string before each row's suffix
+    several = np.zeros(len(symbols), bool)
     for k, strings in enumerate(shards):
         sizes = np.array([len(s) + 1 for s in strings], np.int64)
         depth[base[k] : base[k + 1]] = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))[parts[k][2]]
+        if twice is not None:
+            several[base[k] : base[k + 1]] = np.repeat(np.array(twice[k], bool), sizes)[parts[k][2]]
     rows = np.arange(len(symbols))  # the interleave: shard after shard, as no symbol has been read
     block = np.zeros(len(symbols), np.int64)
 
@@ -194,7 +201,7 @@ def merged_repeats(shards: list[list[bytes]], length: int) -> list[list[np.ndarr
         new[1:] = (read[1:] != read[:-1]) | (block[1:] != block[:-1])
         last = np.ones(len(rows), bool)
         last[:-1] = new[1:]
-        more = ~(new & last)
+        more = ~(new & last) | several[rows]
         return rows[more], np.cumsum(new)[more]
 
     # steps of 1, 8 and 24 symbols: what is read along them, and where they lead
@@ -232,7 +239,9 @@ def merged_repeats(shards: list[list[bytes]], length: int) -> list[list[np.ndarr
 
 
 def likely(rows: list[tuple], length: int, anchor: int) -> list[tuple]:
-    """Of the contexts (anchor, ..., place of the anchor, bytes) of one anchor, those that can share a window with another one.
+    """Of the contexts (anchor, ..., alone, place of the anchor, bytes) of one anchor, those that can share a window with another one.
+
+    One that isn't alone stands for several equal ones, and so always can.
 
     Of a window's bytes beside its anchor at least half lie on one side of it, so two equal windows agree in so many there.
     """
@@ -246,7 +255,7 @@ def likely(rows: list[tuple], length: int, anchor: int) -> list[tuple]:
         if len(context) - off - anchor >= side:
             k = context[off + anchor : off + anchor + side]
             right[k] = right.get(k, 0) + 1
-    return [r for r in rows if left.get(r[-1][r[-2] - side : r[-2]] if r[-2] >= side else None, 0) > 1 or right.get(r[-1][r[-2] + anchor : r[-2] + anchor + side], 0) > 1]
+    return [r for r in rows if not r[-3] or left.get(r[-1][r[-2] - side : r[-2]] if r[-2] >= side else None, 0) > 1 or right.get(r[-1][r[-2] + anchor : r[-2] + anchor + side], 0) > 1]
 
 
 def _contexts(docs: DataFrame, length: int) -> DataFrame:
@@ -312,6 +321,8 @@ def _split(contexts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for uid, gid, lo, off, alone, context, left, right in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if not alone and not left and not right:  # it repeats by itself, whatever group its windows come to
+                    out.append((uid, xxhash.xxh3_128_digest(gid + b"=" + uid + str(lo).encode()), lo, off, alone, context, left, right))
                 half = -(-(length - anchor - left - right) // 2)
                 end = off + anchor + right
                 if end + half <= len(context):
@@ -326,7 +337,7 @@ def _split(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _merged(contexts: DataFrame, tasks: int, length: int) -> DataFrame:
-    """Spans (uid, lo, hi) of repeated window starts, in contexts(gid, uid, lo, alone, off, context) that no other equals."""
+    """Spans of repeated window starts: those of contexts(gid, uid, lo, alone, off, context), by uid and first window (at), relative to it."""
 
     def repeats(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         shards: list[list[bytes]] = [[]]
@@ -337,17 +348,17 @@ def _merged(contexts: DataFrame, tasks: int, length: int) -> DataFrame:
                 held = 0
             shards[-1].append(row[5])
             held += len(row[5])
-        flat = [x for shard in merged_repeats(shards, length) for x in shard]
-        uid, lo, hi = [], [], []
+        flags = iter([not row[3] for row in rows])
+        flat = [x for shard in merged_repeats(shards, length, [[next(flags) for _ in shard] for shard in shards]) for x in shard]
+        out: list[tuple] = []
         for row, starts in zip(rows, flat, strict=True):
-            if row[3] and len(starts):
+            if len(starts):
                 first = np.flatnonzero(np.diff(starts, prepend=-2) != 1)
                 final = np.append(first[1:], len(starts)) - 1
-                uid += [row[1]] * len(first)
-                lo += (starts[first] + row[2]).tolist()
-                hi += (starts[final] + row[2]).tolist()
-        if uid:
-            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.binary()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["uid", "lo", "hi"])
+                out += [(row[1], row[2], row[3], a, b) for a, b in zip(starts[first].tolist(), starts[final].tolist(), strict=True)]
+        if out:
+            types = (pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["uid", "at", "alone", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -369,7 +380,7 @@ def _merged(contexts: DataFrame, tasks: int, length: int) -> DataFrame:
             yield from repeats(rows)
 
     dealt = contexts.select("gid", "uid", "lo", "alone", "off", "context").repartition(tasks, "gid").sortWithinPartitions("gid")
-    return dealt.mapInArrow(run, "uid binary, lo long, hi long")
+    return dealt.mapInArrow(run, "uid binary, at long, alone boolean, first long, last long")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, full: bool = False) -> DataFrame:
@@ -391,28 +402,35 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = scratch.kept("again", _met(found, anchors, ["anchor"], total).drop("n"))
     scratch.drop("found", "anchors")
     kinds = scratch.kept("kinds", again.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "lo", "hi")).alias("at")))
-    spans = _met(again, kinds.filter("n > 1").select(*kind, "n"), kind, total).select("uid", "lo", "hi")
-    mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
     reps = kinds.select("anchor", "off", F.col("at.uid").alias("uid"), F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), (F.col("n") == 1).alias("alone"))
-    stand = _met(reps, mixed, ["anchor"], total).withColumn("gid", F.encode(F.col("anchor").cast("string"), "utf-8"))
+    stand = _met(reps, sizes, ["anchor"], total).withColumn("gid", F.encode(F.col("anchor").cast("string"), "utf-8"))
     zero = F.lit(0).cast("long")
     level = scratch.kept("contexts", _texts_of(stand, slim, length)).withColumn("left", zero).withColumn("right", zero)
-    depth = 0
+    need, merged, depth = length - min(ANCHOR, length), [], 0
     while True:
         depth += 1
         rows = level.count()
-        small = level.filter((F.col("n") <= GROUP) & (F.col("left") + F.col("right") < length - min(ANCHOR, length)))
-        spans = spans.unionByName(scratch.kept(f"merged{depth}", _merged(small, max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // TASK_CONTEXTS), length)))
+        lacking = level.filter((F.col("left") + F.col("right") < need))
+        small = lacking.filter(F.col("n") <= GROUP)
+        merged.append(scratch.kept(f"merged{depth}", _merged(small, max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // TASK_CONTEXTS), length)))
         # a group that lacks no more bytes shares its window
-        at = F.col("lo") + F.col("off") - F.col("left")
-        spans = spans.unionByName(level.filter(F.col("alone") & (F.col("left") + F.col("right") >= length - min(ANCHOR, length))).select("uid", at.alias("lo"), at.alias("hi")))
-        large = level.filter((F.col("n") > GROUP) & (F.col("left") + F.col("right") < length - min(ANCHOR, length)))
+        first = F.col("off") - F.col("left")
+        merged.append(level.filter(F.col("alone") & (F.col("left") + F.col("right") >= need)).select("uid", F.col("lo").alias("at"), "alone", first.alias("first"), first.alias("last")))
+        large = lacking.filter(F.col("n") > GROUP)
         if large.isEmpty():
             break
         parts = scratch.kept(f"split{depth}", _split(large, length))
-        sizes = parts.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        sizes = parts.groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.min("alone").alias("x")).filter("n > 1 or not x").drop("x")
         level = scratch.kept(f"level{depth}", _met(parts, sizes, ["gid"], parts.count()))
         scratch.drop(f"split{depth}")
+    repeats = functools.reduce(DataFrame.unionByName, merged)
+    spans = repeats.filter("alone").select("uid", (F.col("at") + F.col("first")).alias("lo"), (F.col("at") + F.col("last")).alias("hi"))
+    # what was found in the context that stands for a kind holds for all of it
+    named = kinds.filter("n > 1").select(*kind, "n", F.col("at.uid").alias("uid"), F.col("at.lo").alias("at"))
+    of_kind = repeats.filter("not alone").drop("alone").distinct().join(named.hint("merge"), ["uid", "at"]).select(*kind, "n", "first", "last")
+    whole = _met(again.select(*kind, "uid", "lo"), of_kind, kind, total)
+    spans = spans.unionByName(whole.select("uid", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last")).alias("hi")))
     listed = spans.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # no more than a text's bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -759,3 +759,45 @@ def test_pipeline_stages(spark, tmp_path):
     assert left["quality"] == set(range(70)) and left["exact"] == left["quality"] - set(range(60, 65)) and left["near"] == set(range(60))
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in final.collect()} <= left["near"]
+
+
+def test_every_operator_keeps_odd_rows_and_empty_tables(spark):
+    """Null ids and texts, repeated rows, a long text, and columns named like the operators' own; one row out for each row in."""
+    long = " ".join(f"w{i % 997}" for i in range(60_000))
+    rows = [(1, None), (1, None), (None, "a b c d e f"), (None, "a b c d e f"), (2, ""), (3, long), (3, long), (4, "x"), (5, " \n\t")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n long, key binary, at long, uid string, comp string, hub long, score double, copies long, __key string"
+    df = spark.createDataFrame([(*r, None, "src1", 0, 0, b"k", 1, "u", "c", 2, 0.5, 3, "k") for r in rows], schema).repartition(2)
+    labels = spark.createDataFrame([(4, 1, 0), (2, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    path = tokenizer("byte_bpe_50k.json")
+    spec = open(tokenizer("word_bpe_49k.json"), encoding="utf-8").read()
+    operators = {
+        "suffix": suffix_dedup.without_repeats,
+        "tokens": lambda d: token_store.stored_tokens(d, path),
+        "jaccard": jaccard_join.near_duplicates,
+        "exact": exact_dedup.duplicate_groups,
+        "lm": lambda d: lm_score.lm_scores(d, labels.filter("quality = 1")),
+        "bpe": lambda d: bpe.encoded(d, spec),
+        "mixing": lambda d: mixing.mixture(d, {}, 50, 2, 1),
+        "quality": lambda d: quality.scored(d, quality.train(d, labels)),
+        "media": media.media,
+    }
+    for name, run in operators.items():
+        got = run(df).collect()
+        assert sorted((r["doc_id"] for r in got), key=str) == sorted((r[0] for r in rows), key=str), name
+        assert run(df.limit(0)).count() == 0, name
+    assert exact_dedup.deduplicate(df).columns == jaccard_join.one_of_each(df).columns == mixing.mix(df, {}, 100, 1).columns == df.columns
+    left = collections.Counter((r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(df).collect())
+    assert left == {(1, None): 2, (None, "a b c d e f"): 1, (2, ""): 1, (3, long): 1, (4, "x"): 1, (5, " \n\t"): 1}
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, None, None, None, 0), (1, None, None, None, 0), (None, "one two", "en", "src1", 7), (2, "x " * 50_000, "en", "src1", 100_000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, data in (("full", rows), ("empty", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(data, schema).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        found = corpus_pipeline.run(spark, str(folder))
+        assert "doc_id" in found.columns and found.count() <= 2 * len(data)
