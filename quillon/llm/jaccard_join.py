@@ -10,7 +10,10 @@
    the smallest sets in it.
 4. What is left is compared exactly, by whole sets: first each class with one candidate, the one of most candidates, then the pairs that
    these links don't join into one component yet. A text travels once for each pair, to the text that it is compared with.
-5. Large groups that the links found so far don't join into one component are walked in full, by trees over the whole group.
+5. Large groups that the links found so far don't join into one component are walked in full, by trees over the whole group. A pair
+   that shares several groups is listed in the first of them. A walk lists some pairs of each class; these are compared, and what their
+   links join is not listed again, so that a group of copies gives about as many pairs as it has members. Classes of which a walk left out pairs
+   are walked again for more, until no pair is left out.
 """
 
 from __future__ import annotations
@@ -45,6 +48,10 @@ WIDTHS, PER_ITEM = (256, 512, 1024, 2048, 4096, 8192, 16384, 32768, 65536), 6
 STEP = 1.34
 #: Sizes travel with prefixes as steps of this ratio, of which sets that link lie at most FAR apart (one more than the ratio gives, for rounding).
 FINE, FAR = 1.08, 5
+#: Pairs of each class that the first walk of a group lists, and how many times as many each later one does.
+PAIRS, MORE = 8, 8
+#: Groups that a class's row names as walked elsewhere; beyond these a pair may be listed twice, none is left out.
+MARKS = 32
 #: Keys of texts that the walk of large groups asks for, up to which they are broadcast (3 MB); those of listed pairs never are.
 MOST_KEYS = 1 << 17
 #: Texts that are compared with one text in one task.
@@ -458,12 +465,29 @@ def _open(members: DataFrame) -> DataFrame:
     return joined(left, left.groupBy("item").agg(F.count(F.lit(1)).alias("n_members")), "item")
 
 
-def _walked(members: DataFrame, known: DataFrame) -> DataFrame:
-    """Possible links (a, b) between members of one group and different components: members(item, class, comp, n_members)."""
+def _dealt(members: DataFrame) -> DataFrame:
+    """members(item, class, n_members) as rows (item, i, j, part, class, marks) of the tasks that walk chunk i against chunk j.
+
+    marks are up to MARKS of the groups of the same class that come before item, in one order of all groups.
+    """
+    of = F.sort_array(F.collect_list(F.struct(F.xxhash64("item").alias("mark"), "item", "n_members"))).alias("of")
+    each = members.groupBy("class").agg(of).select("class", F.transform(F.slice("of", 1, MARKS), lambda x: x["mark"]).alias("marks"), F.posexplode("of").alias("at", "of"))
+    placed = each.select("class", F.slice("marks", 1, F.least("at", F.lit(MARKS))).alias("marks"), "of.item", F.ceil(F.col("of.n_members") / CHUNK).cast("int").alias("k"))
+    dealt = placed.withColumn("part", F.pmod(F.xxhash64("class"), F.col("k").cast("long")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return dealt.select("item", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "class", "marks")
+
+
+def _walked(dealt: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """Possible links (a, b) between members of one group and different components: dealt has comp, too.
+
+    Pairs are left out when both classes have listed that many already; such a class (a) is told with its task (item, i, j) and no b.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         comp = dict(zip(pdf["class"], pdf["comp"], strict=True))
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        before = {c: frozenset(marks) for c, marks in zip(pdf["class"], pdf["marks"], strict=True)}
+        item, i, j = pdf["item"].iloc[0], pdf["i"].iloc[0], pdf["j"].iloc[0]
 
         def sets(part: int) -> list[tuple[int, bytes, int]]:
             rows = pdf[pdf["part"] == part].drop_duplicates("class")
@@ -471,15 +495,44 @@ def _walked(members: DataFrame, known: DataFrame) -> DataFrame:
 
         left = sets(i)
         right = left if i == j else sets(j)
-        found = [(min(p, q), max(p, q)) for p, q in candidates(left, right) if comp[p] != comp[q]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    k = F.ceil(F.col("n_members") / CHUNK).cast("int")
-    dealt = members.withColumn("k", k).withColumn("part", F.pmod(F.xxhash64("class"), F.col("k").cast("long")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    full = dealt.join(known.select(F.col("id").alias("class"), "n", "sketch").hint("merge"), "class").select("item", "i", "j", "part", "class", "comp", "n", "sketch")
-    return full.groupBy("item", "i", "j").applyInPandas(run, "a long, b long").distinct()
+        found, more, listed = [], set(), dict.fromkeys(comp, 0)
+        for p, q in candidates(left, right):
+            if comp[p] == comp[q] or not before[p].isdisjoint(before[q]):
+                continue
+            if min(listed[p], listed[q]) >= most:
+                more |= {p, q}
+                continue
+            listed[p] += 1
+            listed[q] += 1
+            found.append((None, None, None, min(p, q), max(p, q)))
+        out = pd.DataFrame([*found, *((item, i, j, c, None) for c in more)], columns=["item", "i", "j", "a", "b"])
+        return out.astype({"i": "Int32", "j": "Int32", "a": "Int64", "b": "Int64"})
+
+    full = dealt.join(known.select(F.col("id").alias("class"), "n", "sketch").hint("merge"), "class").select("item", "i", "j", "part", "class", "comp", "marks", "n", "sketch")
+    return full.groupBy("item", "i", "j").applyInPandas(run, "item binary, i int, j int, a long, b long")
+
+
+def _with_comp(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """rows(class) with the component of their class, which is the class itself without links."""
+    return rows.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+
+
+def _joined_by_walks(large: DataFrame, comp: DataFrame, docs: DataFrame, known: DataFrame, scratch: Scratch, tasks: int) -> DataFrame:
+    """The components (node, comp) after the links within the groups large(item, class, n) that comp leaves apart."""
+    dealt, most = scratch.kept("dealt", _dealt(_open(cut(_with_comp(large, comp))))), PAIRS
+    while True:
+        walked = scratch.kept(f"walked{most}", _walked(_with_comp(dealt, comp), known, most))
+        pairs = scratch.kept(f"walked{most}-pairs", walked.filter("b is not null").select("a", "b").distinct())
+        if pairs.isEmpty():
+            return comp
+        texts = _texts(docs, known, pairs, scratch, f"walked{most}", MOST_KEYS)
+        few = max(1, min(tasks, pairs.count() // SPOKES))
+        comp = joined_components(comp, scratch.kept(f"walked{most}-links", _verified(scratch.kept(f"walked{most}-spokes", _spokes(pairs)), texts, few)))
+        scratch.drop(f"walked{most}-texts")
+        more = walked.filter("b is null").select("item", "i", "j", F.col("a").alias("class"))
+        if more.isEmpty():
+            return comp
+        dealt, most = scratch.kept(f"dealt{most}", dealt.join(more.hint("merge"), ["item", "i", "j", "class"])), most * MORE
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -515,12 +568,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     scratch.drop("pairs")
     comp = _linked(possible, _texts(slim, known, possible, scratch, "possible"), scratch, tasks)
     scratch.drop("possible", "possible-texts")
-    members = large.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    walked = scratch.kept("walked", _walked(_open(cut(members)), known))
-    if not walked.isEmpty():
-        texts = _texts(slim, known, walked, scratch, "walked", MOST_KEYS)
-        tasks = max(1, min(tasks, walked.count() // SPOKES))
-        comp = joined_components(comp, scratch.kept("walked-links", _verified(scratch.kept("walked-spokes", _spokes(walked)), texts, tasks)))
+    comp = _joined_by_walks(large, comp, slim, known, scratch, tasks)
     comp = cut(comp.withColumnRenamed("node", "id").join(name.hint("merge"), "id").select("class", "comp"))
     rows = joined(found.filter("class is not null").drop("sketch"), comp, "class", how="left")
     rows = rows.select("doc_id", "key", "n_shingles", F.coalesce(F.col("comp").cast("string").cast("binary"), F.col("class")).alias("comp"))

@@ -96,6 +96,44 @@ def test_large_groups_are_walked(spark, monkeypatch):
     assert all(got[100 + n] == 100 + n for n in range(12)) and {got[n] for n in range(9)} == {0}
 
 
+def test_walks_list_about_as_many_pairs_as_rows(spark, monkeypatch):
+    """Forty near copies, of which no link is known before the walk, and twenty texts that share most of their words."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 1)
+    monkeypatch.setattr(jaccard_join, "_possible", lambda pairs, known: pairs.limit(0))
+    base = [f"w{i}" for i in range(300)]
+    copies = [(n, " ".join([*base, *(f"x{n}_{i}" for i in range(3 + n % 4))])) for n in range(40)]
+    apart = [(100 + n, " ".join([*(f"y{n}_{i}" for i in range(50)), *base[:250]])) for n in range(20)]
+    walked, made = jaccard_join._walked, []
+
+    def walk(*args):
+        out = walked(*args).persist()
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_walked", walk)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(spark.createDataFrame(copies + apart, "doc_id long, text string")).collect()}
+    sets = {n: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for n, t in copies + apart}
+    want = {n: n for n in sets}
+    for _ in sets:
+        want = {a: min(want[b] for b in sets if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])) for a in sets}
+    assert got == want and {got[n] for n in range(40)} == {0}
+    assert made and sum(made) <= 10 * len(sets), made
+
+
+@pytest.mark.parametrize("pairs,marks", [(1, 32), (1, 1), (3, 2)])
+def test_walks_leave_no_pair_out(spark, monkeypatch, pairs, marks):
+    """Rows of a chain, each of which links with few of those that it shares groups with, walked one pair at a time."""
+    for name, value in (("SMALL", 1), ("CHUNK", 7), ("PAIRS", pairs), ("MORE", 2), ("MARKS", marks)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    monkeypatch.setattr(jaccard_join, "_possible", lambda pairs, known: pairs.limit(0))
+    words = [f"w{i}" for i in range(260)]
+    rows = [(n, " ".join(words[4 * n : 4 * n + 100])) for n in range(40)]
+    rows = [r for r in rows if r[0] not in (13, 14, 15, 27)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # 96 shingles, of which neighbours d apart share 96 - 4 d: they link up to d = 3
+    assert got == {n: 0 if n < 13 else 16 for n, _ in rows}
+
+
 def test_signature_trees_lose_nothing():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
