@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import text_of
+from quillon.llm.common import keeps, release, text_of
 
 #: Words kept per worker with their encoding, twice: when the young half is full it becomes the old one, from which
 #: what is met again moves back. A word that has gone is encoded again, which costs time only.
@@ -64,6 +64,11 @@ class Halves(dict):
             self.clear()
         self[key] = value
 
+    def forget(self) -> None:
+        """Empties both halves."""
+        self.clear()
+        self.old = {}
+
 
 class WordBpe:
     """A byte-level BPE over words with an end-of-word suffix, as its tokenizer file describes it."""
@@ -151,6 +156,7 @@ class WordBpe:
 
 
 _LOADED: dict[str, WordBpe] = {}
+keeps("bpe", _LOADED, _LOADED.clear)
 
 
 def loaded(spec: str) -> WordBpe:
@@ -172,6 +178,7 @@ def encoded(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str =
     extra = ", ids string, decoded string" if full else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("bpe")
         bpe = loaded(broadcast.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sized
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +107,28 @@ def text_of(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: What operators keep in a process from one task to the next, by operator: the cache and what empties it.
+_CACHES: list[tuple[str, Sized, Callable[[], None]]] = []
+
+
+def keeps(operator: str, cache: Sized, empty: Callable[[], None]) -> None:
+    _CACHES.append((operator, cache, empty))
+
+
+def release(operator: str | None = None) -> None:
+    """Empties the caches of all operators but this one, and gives their memory back.
+
+    Spark's Python workers serve one stage after the other, so what a former operator has cached would add to what this one takes.
+    """
+    held = [empty for name, cache, empty in _CACHES if name != operator and len(cache)]
+    for empty in held:
+        empty()
+    if held:
+        gc.collect()
+        with contextlib.suppress(AttributeError, OSError):  # only the GNU library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """A batch in slices whose texts have up to that many bytes, or one row."""
     upto = np.cumsum(pc.binary_length(batch.column(column)).to_numpy().astype(np.int64))

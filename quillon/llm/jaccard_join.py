@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD, Scratch, cut, joined, text_of
+from quillon.llm.common import WORD, Scratch, cut, joined, release, text_of
 from quillon.llm.graph_components import components, joined_components
 
 WORDS = 5
@@ -231,6 +231,7 @@ def candidates(left: list[tuple[int, bytes, int]], right: list[tuple[int, bytes,
 
 def _classes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("near")
         hashes = Words()
         for batch in batches:
             sets = [shingles(text.as_py(), hashes) for text in batch.column(2)]
@@ -249,6 +250,7 @@ def _classes(docs: DataFrame) -> DataFrame:
 
 def _often(docs: DataFrame, total: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("near")
         hashes = Words()
         for batch in batches:
             parts = [shingles(t.as_py(), hashes) for t in batch.column(0)]
@@ -286,6 +288,7 @@ def _prefixes(docs: DataFrame, often: np.ndarray, buckets: int) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("near")
         hashes, often = Words(), broadcast.value
         items: list[np.ndarray] = []
         names: list[bytes] = []
@@ -322,6 +325,7 @@ def _groups(rows: DataFrame) -> DataFrame:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        release("near")
         item = np.frombuffer(b"".join(pdf["items"]), np.uint64)
         name = np.frombuffer(b"".join(pdf["names"]), np.uint64).reshape(-1, 2)
         step = np.frombuffer(b"".join(pdf["steps"]), np.uint8)
@@ -361,6 +365,7 @@ def _possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs (a, b) that their sketches don't rule out, by trees over batches of pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("near")
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 columns = [batch.column(k).slice(at, 500).to_pylist() for k in range(6)]
@@ -394,6 +399,7 @@ def _verified(spokes: DataFrame, texts: DataFrame, tasks: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("near")
         hashes = Words()
         at, hub = None, np.zeros(0, np.uint64)
         for batch in batches:
@@ -485,6 +491,7 @@ def _walked(dealt: DataFrame, known: DataFrame, most: int) -> DataFrame:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        release("near")
         comp = dict(zip(pdf["class"], pdf["comp"], strict=True))
         before = {c: frozenset(marks) for c, marks in zip(pdf["class"], pdf["marks"], strict=True)}
         item, i, j = pdf["item"].iloc[0], pdf["i"].iloc[0], pdf["j"].iloc[0]

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import Halves
-from quillon.llm.common import text_of
+from quillon.llm.common import keeps, release, text_of
 
 #: The most labelled rows that a model is fitted on; the rows are those of smallest hashed id.
 SAMPLE_ROWS = 4000
@@ -58,6 +58,7 @@ def pieces(word: str) -> tuple[str, ...]:
 
 
 CUT = Halves(pieces)
+keeps("quality", CUT, CUT.forget)
 
 
 def words_of(text: str) -> list[str]:
@@ -195,7 +196,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).join(F.broadcast(wanted), "doc_id").collect()
     rows = {r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]), reverse=True)}
     rows = [rows[k] for k in sorted(rows)]
-    return fit([r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64))
+    model = fit([r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64))
+    release()  # of the driver, which only scores where Spark runs in it
+    return model
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -207,6 +210,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     broadcast = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary and network, both of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("quality")
         model = broadcast.value
         rows = model.reader()
         for batch in batches:
@@ -227,6 +231,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("quality")
         model = broadcast.value
         rows = model.reader()
         for batch in batches:

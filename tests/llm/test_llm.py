@@ -10,6 +10,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillon.llm import bpe, exact_dedup, html_text, jaccard_join, lm_score, media, mixing, quality, suffix_dedup, token_store, webp, webp_lanes
@@ -799,6 +800,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r["doc_id"] for r in final.collect()} <= left["near"]
 
 
+def test_stages_leave_no_caches_in_workers(spark):
+    """Python workers serve one stage of the pipeline after the other; near, whose memory was exceeded, starts without what others cached."""
+    spec = open(tokenizer("word_bpe_49k.json"), encoding="utf-8").read()
+    rows = [(n, " ".join(f"longerword{n}x{i}" for i in range(40)), "en", "src1", 1) for n in range(64)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(16).cache()
+
+    def cached(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(quality.CUT) + len(quality.CUT.old) + len(bpe._LOADED)], pa.int64())})
+
+    assert quality.accepted(df, quality.fit([r[1] for r in rows], np.array([0, 1] * 32))).count() + bpe.encoded(df, spec).agg({"n_tokens": "sum"}).first()[0] > 64
+    assert max(r["n"] for r in df.mapInArrow(cached, "n long").collect()) > 0
+    assert jaccard_join.one_of_each(df).count() == 64
+    assert max(r["n"] for r in df.mapInArrow(cached, "n long").collect()) == 0
+
+
 def test_every_operator_keeps_odd_rows_and_empty_tables(spark):
     """Null ids and texts, repeated rows, a long text, and columns named like the operators' own; one row out for each row in."""
     long = " ".join(f"w{i % 997}" for i in range(60_000))
