@@ -51,7 +51,7 @@ FINE, FAR = 1.08, 5
 #: Pairs of each class that the first walk of a group lists, and how many times as many each later one does.
 PAIRS, MORE = 8, 8
 #: Groups that a class's row names as walked elsewhere; beyond these a pair may be listed twice, none is left out.
-MARKS = 32
+MARKS = 8
 #: Keys of texts that the walk of large groups asks for, up to which they are broadcast (3 MB); those of listed pairs never are.
 MOST_KEYS = 1 << 17
 #: Texts that are compared with one text in one task.
