@@ -23,8 +23,6 @@ from quillon.operators import vmath
 from quillon.operators.graph import Graph, as_edge_rows, degrees, direction_of, incident, neighbours, no_structure, with_degrees
 from quillon.operators.knn import search
 
-#: The most frontier rows that a ranking step takes, counted after its predicate.
-MOST_FRONTIER = 100_000
 RRF_K = 60.0
 MODES = ("vector_only", "auto_similarity", "hybrid")
 
@@ -384,11 +382,6 @@ class Run:
             raise PlanError("a node without a vector")
         return rows.filter("embedding is not null")
 
-    def capped(self, frontier: DataFrame) -> DataFrame:
-        if frontier.limit(MOST_FRONTIER + 1).count() > MOST_FRONTIER:
-            raise PlanError(f"more than {MOST_FRONTIER} nodes to rank")
-        return frontier
-
     def ranked(self, rows: DataFrame, score: Column, k: int, descending: bool = False) -> tuple[str, DataFrame]:
         scored = rows.select("id", score.alias("score"))
         key = F.desc("score") if descending else F.asc("score")
@@ -398,25 +391,25 @@ class Run:
         return result[0], result[1].select("pos", "id")
 
     def _vector_rank(self, frontier, query, k, on_missing, predicate):
-        rows = self.fetched(self.capped(self._passing(frontier, predicate)), on_missing)
+        rows = self.fetched(self._passing(frontier, predicate), on_missing)
         return self._plain(self.ranked(rows, distance(F.col("embedding"), vector(query), self.metric), k))
 
     def _centroid(self, frontier, k, on_missing):
-        rows = self.fetched(self.capped(frontier), on_missing)
+        rows = self.fetched(frontier, on_missing)
         center = vmath.centroid_table(rows).select("centroid")
         # one row
         return self._plain(self.ranked(rows.crossJoin(F.broadcast(center)), distance(F.col("embedding"), F.col("centroid"), self.metric), k))
 
     def _diversity(self, frontier, query, k, balance, on_missing):
-        found = vmath.diverse(self.fetched(self.capped(frontier), on_missing), query, k, balance, "pos")
+        found = vmath.diverse(self.fetched(frontier, on_missing), query, k, balance, "pos")
         return "nodes", found.select(F.col("pos").cast("long").alias("pos"), "id")
 
     def _cone(self, frontier, direction, aperture, k, on_missing):
-        found = vmath.cone(self.fetched(self.capped(frontier), on_missing).select("id", "embedding"), direction, aperture)
+        found = vmath.cone(self.fetched(frontier, on_missing).select("id", "embedding"), direction, aperture)
         return self._plain(self.ranked(found, F.col("cosine"), k, descending=True))
 
     def _isolation(self, frontier, centroids, k, on_missing):
-        rows = self.fetched(self.capped(frontier), on_missing)
+        rows = self.fetched(frontier, on_missing)
         return self._plain(self.ranked(rows, vmath.least_distance(centroids, self.metric), k, descending=True))
 
     def proximity(self, seeds: DataFrame, pool: DataFrame, spec: Rrf) -> DataFrame:
