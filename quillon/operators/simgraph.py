@@ -20,7 +20,8 @@ def build(vectors: DataFrame, threshold: float = THRESHOLD, metric: str = "cosin
     found = batch_search(vectors, queries, k, metric, id_col=id_col, vec_col=vec_col)
     near = found.filter(F.col("qid") != F.col("id")).select(F.col("qid").alias("src"), F.col("id").alias("dst"), similarity(F.col("score"), metric).alias("similarity"))
     near = near.filter(F.col("similarity") >= threshold)
-    both = near.unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "similarity")).groupBy("src", "dst").agg(F.max("similarity").alias("similarity"))
+    ends = near.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"), "similarity")
+    both = ends.groupBy("e.src", "e.dst").agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")
     kept = both.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most).drop("rn")
     return kept.withColumn("refined", F.lit(False))

@@ -264,3 +264,31 @@ def test_ordered_numbers_over_many_partitions(spark):
     rows = [(int(v),) for v in np.random.default_rng(0).integers(0, 1000, 500)]
     got = in_order(spark.createDataFrame(rows, "x long").repartition(7), "n", "x").collect()
     assert sorted(r["n"] for r in got) == list(range(500)) and [r["x"] for r in sorted(got, key=lambda r: r["n"])] == sorted(v for (v,) in rows)
+
+
+@pytest.mark.parametrize("metric", D.METRICS)
+def test_equal_vectors_tie_in_every_block(spark, metric, monkeypatch):
+    """3,000 vectors with copies, near copies, zeros and no numbers, met in blocks, some tasks reading one block only."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 24)).astype(np.float32)
+    x[1500:1700] = x[40]
+    x[2000:2400] = x[:400]
+    x[2999] = x[7] + np.float32(1e-6)
+    x[[3, 4, 2500]] = 0
+    x[5, 2], x[6, 1] = np.nan, np.inf
+    own = np.arange(1, 3001) * 7 % 3001
+    df = spark.createDataFrame(pa.table({"id": own, "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))})).repartition(5)
+    queries = df.filter("id % 25 = 1 or id < 30").select(F.col("id").alias("qid"), F.col("embedding").alias("query"))
+    want = {}
+    for q in np.flatnonzero((own % 25 == 1) | (own < 30)):
+        with np.errstate(all="ignore"):
+            d = knn.exact(np.repeat(x[[q]], len(x), 0).astype(float), x.astype(float), metric)
+        want[int(own[q])] = own[np.lexsort((own, np.where(np.isnan(d), 0, d), np.isnan(d)))[:6]].tolist()
+    for most in (1, 32):
+        monkeypatch.setattr(knn, "QUERY_BYTES", 1000)
+        monkeypatch.setattr(knn, "BLOCK_BYTES", 24 * 4 * 500)
+        monkeypatch.setattr(knn, "MOST_BLOCKS", most)
+        got = {}
+        for r in knn.batch_search(df, queries, 6, metric).orderBy("qid", "rank").collect():
+            got.setdefault(r["qid"], []).append(r["id"])
+        assert got == want
