@@ -293,8 +293,9 @@ def enumerate_nodes(spark, sf_dir):
 
 @query(f"WITH {NODES}, {EDGES} SELECT e.id, CASE WHEN count(*) OVER () > 10000 THEN -1 ELSE 0 END AS next_cursor FROM edges e WHERE edge_type = 'LOCATED_IN' AND (source IN (SELECT id FROM nodes WHERE label = 'Supplier') OR target IN (SELECT id FROM nodes WHERE label = 'Supplier'))")
 def enumerate_edges(spark, sf_dir):
+    """Every edge; next_cursor is -1 if a page can't hold them."""
     g = property_graph(spark, sf_dir)
-    return graph.enumerate_edges(g.edges, g.nodes, 0, 10_000, "LOCATED_IN", end_kind="entity", end_label="Supplier").select("id", "next_cursor")
+    return graph.enumerate_edges(g.edges, g.nodes, 0, -1, "LOCATED_IN", end_kind="entity", end_label="Supplier").select("id", "next_cursor")
 
 
 @query(f"WITH {NODES}, {EDGES} SELECT (SELECT count(*) FROM nodes) - 1 AS n_nodes, (SELECT count(*) FROM edges WHERE source <> 30000003 AND target <> 30000003) AS n_edges")
