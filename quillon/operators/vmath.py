@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.distance import cosine_distance, distance, dot, known, norm, normalized, pairwise, vector
 from quillon.lineage import cut
-from quillon.operators.knn import matrix
+from quillon.operators.knn import BLOCK_BYTES, PAIRS, PIECE, TILE, matrix
 
 
 def metric_or_euclidean(name: str | None) -> str:
@@ -330,7 +330,7 @@ def unit(vectors: DataFrame) -> DataFrame:
 
 #: Up to so many candidates a greedy selection runs in the driver; of more, each pick is one pass over all.
 FEW = 10_000
-#: Picks after which the passes carry on from stored likenesses, and rows of a block in the search of the farthest pair.
+#: Picks after which the passes carry on from stored likenesses, and the fewest rows of a block in the search of the farthest pair.
 STORED_EVERY, BLOCK_ROWS = 32, 2048
 STATE = "o long, id long, embedding array<double>, near double, r long"
 
@@ -411,47 +411,84 @@ def _most_alike(near: np.ndarray, x: np.ndarray, picked: np.ndarray) -> np.ndarr
     return np.fmax(near, _cosines(x, picked))
 
 
-def _farthest_pair(rows: DataFrame):
-    """The two rows of STATE least alike, the earlier first; ties go to the earlier. Blocks of rows meet each other once."""
+def _directions(x: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Rows at length 1 in single precision, zeros as they are, and whether all are numbers."""
+    with np.errstate(all="ignore"):
+        size = np.linalg.norm(x, axis=1)
+        return (x / np.where(size > 0, size, 1)[:, None]).astype(np.float32), bool(np.isfinite(size).all())
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS)
-                x = matrix(part.column(2), len(part.column(2)[0]))
-                held = [np.ascontiguousarray(y).tobytes() for y in (part.column(0).to_numpy(), part.column(4).to_numpy(), x)]
-                yield pa.RecordBatch.from_pydict({"block": [int(part.column(4)[0].as_py())], "o": [held[0]], "r": [held[1]], "x": [held[2]]})
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _least_alike(a: tuple, b: tuple, same: bool, found: tuple | None) -> tuple | None:
+    """found, or the pair (cosine, o1, r1, o2, r2) of a row of a and one of b that comes before it; a and b hold (o, r, x), and of the same
+    block each pair counts once.
+
+    Products in single precision tell which pairs can be the least; these are measured each by itself.
+    """
+    error = (a[2].shape[1] + 8) * 2.0**-22
+    for i in range(0, len(a[0]), TILE):
+        one, sane = _directions(a[2][i : i + TILE])
+        for j in range(0, len(b[0]), PIECE):
+            two, whole = _directions(b[2][j : j + PIECE])
+            with np.errstate(all="ignore"):
+                c = one @ two.T
+            if not (sane and whole):
+                c[np.isnan(c)] = np.inf  # never less alike than others
+            if same:
+                c[np.arange(i, i + len(one))[:, None] >= np.arange(j, j + len(two))[None, :]] = np.nan
+            if np.isnan(c).all():
+                continue
+            least = float(np.nanmin(c)) + error if found is None else min(float(np.nanmin(c)) + error, found[0])
+            hits = np.flatnonzero(c <= np.float32(least + error) + np.float32(1e-6))
+            for at in range(0, len(hits), PAIRS):
+                m, n = np.divmod(hits[at : at + PAIRS], len(two))
+                m, n = m + i, n + j
+                with np.errstate(all="ignore"):
+                    cosine = _cosines(a[2][m], b[2][n])
+                cosine[np.isnan(cosine)] = np.inf
+                oa, ob, ra, rb = a[0][m], b[0][n], a[1][m], b[1][n]
+                later = (oa > ob) | (oa == ob) & (ra > rb)
+                keys = np.where(later, ob, oa), np.where(later, rb, ra), np.where(later, oa, ob), np.where(later, ra, rb)
+                k = np.lexsort((*keys[::-1], cosine))[0]
+                this = (float(cosine[k]), *(int(y[k]) for y in keys))
+                found = this if found is None else min(found, this)
+    return found
+
+
+def _farthest_pair(rows: DataFrame):
+    """The two rows of STATE least alike, the earlier first; ties go to the earlier. Blocks of rows meet each other once: a task holds one while
+    half of the others come by."""
+    spark, (total, dimension) = rows.sparkSession, rows.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    most = max(1, BLOCK_BYTES // (8 * max(dimension, 1)))
+    n = max(math.ceil(total / most), min(2 * spark.sparkContext.defaultParallelism, math.ceil(total / BLOCK_ROWS)))
+
+    def pack(table: pa.Table) -> pa.Table:
+        held = [np.ascontiguousarray(y).tobytes() for y in (table.column(1).to_numpy(), table.column(2).to_numpy(), matrix(table.column(3), dimension))]
+        return pa.table({"b": table.column(0)[:1], "o": [held[0]], "r": [held[1]], "x": [held[2]]})
+
+    dealt = rows.select(F.pmod(F.xxhash64("r"), F.lit(n)).cast("int").alias("b"), "o", "r", "embedding")
+    blocks = dealt.groupBy("b").applyInArrow(pack, "b int, o binary, r binary, x binary")
+    # block b meets those up to half of the way round before it, and itself
+    ahead = F.sequence(F.lit(0), F.when((F.lit(n) % 2 == 0) & (F.col("b") < n // 2), F.lit(max(n // 2 - 1, 0))).otherwise(F.lit(n // 2)))
+    pairs = blocks.select(F.explode(ahead).alias("d"), "b", "o", "r", "x").select(F.pmod(F.col("b") - F.col("d"), F.lit(n)).alias("a"), "d", "o", "r", "x")
+    met = pairs.repartitionById(n, "a").sortWithinPartitions("a", "d")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, mine, found = None, None, None
         for batch in batches:
-            for one in batch.to_pylist():
-                o, r, x = ([np.frombuffer(one[f"{n}{side}"], kind) for side in "ab"] for n, kind in (("o", np.int64), ("r", np.int64), ("x", float)))
-                x = [y.reshape(len(k), -1) for y, k in zip(x, r, strict=True)]
-                size = [np.linalg.norm(y, axis=1) for y in x]
-                scale = size[0][:, None] * size[1][None, :]
-                c = np.where(scale > 0, x[0] @ x[1].T / np.where(scale > 0, scale, 1), 0.0)
-                c[np.isnan(c)] = np.inf
-                if one["blocka"] == one["blockb"]:
-                    c[np.arange(len(c))[:, None] >= np.arange(len(c))[None, :]] = np.nan  # each pair once
-                    if len(c) < 2:
-                        continue
-                least, found = np.nanmin(c), None
-                i, j = np.nonzero(c <= least + 1e-12)
-                for at in range(0, len(i), 65_536):  # once more, so that equal pairs are equal whatever the block
-                    a, b = i[at : at + 65_536], j[at : at + 65_536]
-                    cosine = _cosines(x[0][a], x[1][b])
-                    cosine[np.isnan(cosine)] = np.inf
-                    oa, ob, ra, rb = o[0][a], o[1][b], r[0][a], r[1][b]
-                    later = (oa > ob) | (oa == ob) & (ra > rb)
-                    keys = np.where(later, ob, oa), np.where(later, rb, ra), np.where(later, oa, ob), np.where(later, ra, rb)
-                    k = np.lexsort((*keys[::-1], cosine))[0]
-                    this = (float(cosine[k]), *(int(y[k]) for y in keys))
-                    found = this if found is None else min(found, this)
-                yield pa.RecordBatch.from_pydict({n: [v] for n, v in zip(("c", "o1", "r1", "o2", "r2"), found, strict=True)})
-
-    packed = cut(rows.mapInArrow(blocks, "block long, o binary, r binary, x binary"))
-    a, b = (packed.select(*(F.col(n).alias(n + side) for n in packed.columns)) for side in "ab")
-    pair = a.join(b.hint("shuffle_replicate_nl"), F.col("blocka") <= F.col("blockb")).mapInArrow(met, "c double, o1 long, r1 long, o2 long, r2 long").orderBy("c", "o1", "r1", "o2", "r2").first()
+            for k in range(batch.num_rows):
+                a, d = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                o, r, x = (np.frombuffer(batch.column(c)[k].as_buffer(), kind) for c, kind in ((2, np.int64), (3, np.int64), (4, float)))
+                own = o, r, x.reshape(len(o), -1)
+                if a != at:
+                    at, mine = a, None
+                if d == 0:
+                    mine = tuple(y.copy() for y in own)
+                if mine is not None:
+                    found = _least_alike(mine, own, d == 0, found)
+        if found is not None:
+            yield pa.RecordBatch.from_pydict({name: [v] for name, v in zip(("c", "o1", "r1", "o2", "r2"), found, strict=True)})
+
+    pair = met.mapInArrow(run, "c double, o1 long, r1 long, o2 long, r2 long").orderBy("c", "o1", "r1", "o2", "r2").first()
     both = {row["r"]: row for row in rows.filter(F.col("r").isin([pair["r1"], pair["r2"]])).collect()}
     return both[pair["r1"]], both[pair["r2"]]
 

@@ -292,3 +292,17 @@ def test_equal_vectors_tie_in_every_block(spark, metric, monkeypatch):
         for r in knn.batch_search(df, queries, 6, metric).orderBy("qid", "rank").collect():
             got.setdefault(r["qid"], []).append(r["id"])
         assert got == want
+
+
+def test_the_least_alike_pair_of_two_blocks():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 8))
+    x[300:330], x[600:640] = x[11], -x[11]  # many equal pairs
+    x[[5, 650]] = 0
+    x[17, 2] = np.nan
+    o = np.arange(700)
+    a, b = (o[:400], o[:400] * 2, x[:400]), (o[400:], o[400:] * 2, x[400:])
+    want = min((float(vmath._cosines(x[[i]], x[[j]])[0]), i, 2 * i, j, 2 * j) for i in (11, *range(300, 330)) for j in range(600, 640))
+    found = vmath._least_alike(a, b, False, None)
+    assert found == want and vmath._least_alike(b, a, False, None) == want
+    assert vmath._least_alike(a, a, True, found) == found and vmath._least_alike(a, a, True, None)[0] > want[0]
