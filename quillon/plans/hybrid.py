@@ -20,10 +20,14 @@ from quillon.functions.predicates import Predicate, compiled
 from quillon.functions.weights import Temporal, Weight, cost, effective_weight, valid
 from quillon.lineage import cut, in_order
 from quillon.operators import vmath
-from quillon.operators.graph import Graph, as_edge_rows, degrees, direction_of, incident, neighbours, no_structure, with_degrees
+from quillon.operators.graph import Graph, as_edge_rows, direction_of, incident, neighbours, no_structure, with_degrees
 from quillon.operators.knn import search
 
 RRF_K = 60.0
+#: Up to so many nodes, a frontier's edges are picked by its ids as values, and by ids that go to every executor.
+AS_VALUES, AS_BROADCAST = 1000, 1_000_000
+#: Ids of a frontier are told apart by spans of 2**SPAN, unless these are more than MOST_SPANS.
+SPAN, MOST_SPANS = 16, 4096
 MODES = ("vector_only", "auto_similarity", "hybrid")
 
 
@@ -58,6 +62,21 @@ def _numbered(df: DataFrame, *order) -> DataFrame:
     return df.withColumn("pos", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
 
 
+def from_frontier(near: DataFrame, frontier: DataFrame) -> DataFrame:
+    """near(node, ...) without what can't start at frontier(id), a kept table. Filters on node go down to where edges are read, before they are
+    joined and grouped, so that a step's cost is that of the edges it takes; of a large frontier only spans of ids are told apart."""
+    ids = frontier.select(F.col("id").alias("__at")).distinct()
+    values = [r[0] for r in ids.limit(AS_VALUES + 1).collect()]
+    if len(values) <= AS_VALUES:
+        return near.filter(F.col("node").isin(values))
+    spans = [r[0] for r in ids.select(F.shiftright("__at", SPAN)).distinct().limit(MOST_SPANS + 1).collect()]
+    if len(spans) <= MOST_SPANS:
+        near = near.filter(F.shiftright("node", SPAN).isin(spans))
+    if ids.limit(AS_BROADCAST + 1).count() <= AS_BROADCAST:
+        near = near.join(F.broadcast(ids), F.col("node") == F.col("__at"), "left_semi")
+    return near
+
+
 class Query:
     """Builds and runs a plan over one collection."""
 
@@ -230,8 +249,8 @@ class Run:
         return _numbered(least, "o", key).select("pos", F.col(key).alias("id"))
 
     def _traverse(self, frontier, edge_type, direction, temporal):
-        near = incident(self.graph.edges.filter(valid(temporal, self.now_ms)), direction_of(direction), edge_type)
-        joined = frontier.join(near, F.col("id") == F.col("node"))
+        near, frontier = incident(self.graph.edges.filter(valid(temporal, self.now_ms)), direction_of(direction), edge_type), cut(frontier)
+        joined = frontier.join(from_frontier(near, frontier), F.col("id") == F.col("node"))
         return "nodes", self._first(joined, "neighbour", "pos", "side", "edge_id")
 
     def _passing(self, ids: DataFrame, predicate: Predicate | None) -> DataFrame:
@@ -247,9 +266,10 @@ class Run:
         if weight is not None:
             return self._k_hop_weighted(frontier, most, edge_type, predicate, temporal, weight)
         near = incident(self.graph.edges.filter(valid(temporal, self.now_ms)), "outgoing", edge_type)
+        frontier = cut(frontier)
         seen, level, out = frontier.select("id"), frontier, []
         for step in range(most):
-            found = level.join(near, F.col("id") == F.col("node")).select("pos", "side", "edge_id", F.col("neighbour"))
+            found = level.join(from_frontier(near, level), F.col("id") == F.col("node")).select("pos", "side", "edge_id", F.col("neighbour"))
             found = found.join(seen.withColumnRenamed("id", "neighbour"), "neighbour", "left_anti")
             level = cut(self._passing(self._first(found, "neighbour", "pos", "side", "edge_id"), predicate))
             if level.isEmpty():
@@ -264,32 +284,32 @@ class Run:
         return "nodes", _numbered(every.withColumnRenamed("pos", "p"), "step", "p").select("pos", "id")
 
     def _weighted_edges(self, edge_type, temporal, weight) -> DataFrame:
+        """(node, neighbour, w), parallel edges each."""
         rows = self.graph.edges.filter(valid(temporal, self.now_ms))
         if edge_type is not None:
             rows = rows.filter(F.col("edge_type") == edge_type)
-        best = rows.groupBy(F.col("source").alias("node"), F.col("target").alias("neighbour")).agg(F.max(effective_weight(weight, self.now_ms)).alias("w"))
-        return best
+        return rows.select(F.col("source").alias("node"), F.col("target").alias("neighbour"), effective_weight(weight, self.now_ms).alias("w"))
 
     def _reach(self, starts: DataFrame, edges: DataFrame, most: int, predicate: Predicate | None) -> DataFrame:
         """(key, id, acc): by start key, the nodes within most hops and the best product of weights of the routes that the walk
-        takes; a node goes on with the product by which it was first seen, in order (parent's position, neighbour)."""
-        level = starts.select("key", "id", "pos", F.lit(1.0).alias("w0"))
-        seen, best = level.select("key", "id"), None
-        for _ in range(most):
-            found = level.join(edges, F.col("id") == F.col("node")).select("key", "pos", F.col("neighbour").alias("n"), (F.col("w0") * F.col("w")).alias("p"))
+        takes; a node goes on with the product by which it was first seen, in order (parent's position, neighbour). Of parallel edges the
+        heaviest counts. A position is that of the start and the ids from there on."""
+        starts = cut(starts)
+        level = starts.select("key", "id", F.array("pos").alias("pos"), F.lit(1.0).alias("w0"))
+        seen, best = starts.select("key", "id"), None
+        for hop in range(1, most + 1):
+            routes = level.join(from_frontier(edges, level), F.col("id") == F.col("node")).select("key", "pos", F.col("neighbour").alias("n"), (F.col("w0") * F.col("w")).alias("p"))
+            first = [] if hop == most else [F.min(F.struct("pos", (-F.col("p")).alias("lost"))).alias("first")]
+            found = routes.groupBy("key", "n").agg(F.max("p").alias("p"), *first)
             found = found.join(starts.select(F.col("key").alias("k0"), F.col("id").alias("i0")), (F.col("key") == F.col("k0")) & (F.col("n") == F.col("i0")), "left_anti")
-            if predicate is not None:
-                found = self._passing(found.withColumnRenamed("n", "id"), predicate).withColumnRenamed("id", "n")
-            found = cut(found)
+            found = cut(self._passing(found.withColumnRenamed("n", "id"), predicate))
             if found.isEmpty():
                 break
-            best = found.select("key", F.col("n").alias("id"), "p") if best is None else best.unionByName(found.select("key", F.col("n").alias("id"), "p"))
-            order = F.struct("pos", "n")
-            fresh = found.join(seen.select(F.col("key").alias("k1"), F.col("id").alias("i1")), (F.col("key") == F.col("k1")) & (F.col("n") == F.col("i1")), "left_anti")
-            first = fresh.groupBy("key", "n").agg(F.min_by(F.struct(F.col("p"), order.alias("o")), order).alias("b"))
-            numbered = first.withColumn("pos", (F.row_number().over(Window.partitionBy("key").orderBy("b.o")) - 1).cast("long"))
-            level = cut(numbered.select("key", F.col("n").alias("id"), "pos", F.col("b.p").alias("w0")))
-            seen = seen.unionByName(level.select("key", "id"))
+            best = found.select("key", "id", "p") if best is None else best.unionByName(found.select("key", "id", "p"))
+            if hop < most:
+                fresh = found.join(seen.select(F.col("key").alias("k1"), F.col("id").alias("i1")), (F.col("key") == F.col("k1")) & (F.col("id") == F.col("i1")), "left_anti")
+                level = cut(fresh.select("key", "id", F.concat("first.pos", F.array("id")).alias("pos"), (-F.col("first.lost")).alias("w0")))
+                seen = seen.unionByName(level.select("key", "id"))
         if best is None:
             return self.spark.createDataFrame([], "key long, id long, acc double")
         return best.groupBy("key", "id").agg(F.max("p").alias("acc"))
@@ -297,7 +317,7 @@ class Run:
     def _k_hop_weighted(self, frontier, most, edge_type, predicate, temporal, weight):
         starts = frontier.withColumn("key", F.lit(0).cast("long"))
         found = self._reach(starts, self._weighted_edges(edge_type, temporal, weight), most, predicate)
-        return "nodes", _numbered(found, F.desc("acc"), "id").select("pos", "id")
+        return "nodes", in_order(found, "pos", F.desc("acc"), "id").select("pos", "id")
 
     def _shortest_path(self, frontier, target, edge_types, weight):
         schema = "pos long, nodes array<long>"
@@ -306,11 +326,11 @@ class Run:
         rows = self.graph.edges.filter(F.col("edge_type").isin(list(edge_types))) if edge_types else self.graph.edges
         if weight is not None:
             return "paths", self._cheapest_path(frontier, target, rows, weight)
-        near = incident(rows, "both").select("node", "neighbour", "edge_id")
+        near, frontier = incident(rows, "both").select("node", "neighbour", "edge_id"), cut(frontier)
         level = frontier.select("pos", "id", F.array("id").alias("nodes"))
         seen = frontier.select("id")
         while True:
-            found = level.join(near, F.col("id") == F.col("node")).join(seen.withColumnRenamed("id", "neighbour"), "neighbour", "left_anti")
+            found = level.join(from_frontier(near, level), F.col("id") == F.col("node")).join(seen.withColumnRenamed("id", "neighbour"), "neighbour", "left_anti")
             order = F.struct("pos", "edge_id")
             first = found.groupBy("neighbour").agg(F.min_by(F.struct(F.concat("nodes", F.array("neighbour")).alias("nodes"), order.alias("o")), order).alias("b"))
             level = cut(_numbered(first.select(F.col("neighbour").alias("id"), "b.nodes", "b.o"), "o").select("pos", "id", "nodes"))
@@ -365,8 +385,8 @@ class Run:
         return "edges", _numbered(frontier.join(rows, "id", "left_semi").withColumnRenamed("pos", "p"), "p").select("pos", "id")
 
     def _collect_edges(self, frontier, edge_type, direction):
-        near = incident(self.graph.edges, direction_of(direction), edge_type)
-        return "edges", self._first(frontier.join(near, F.col("id") == F.col("node")).select("pos", "side", "edge_id"), "edge_id", "pos", "side")
+        near, frontier = incident(self.graph.edges, direction_of(direction), edge_type), cut(frontier)
+        return "edges", self._first(frontier.join(from_frontier(near, frontier), F.col("id") == F.col("node")).select("pos", "side", "edge_id"), "edge_id", "pos", "side")
 
     def _limit(self, frontier, n):
         return "paths" if "nodes" in frontier.columns else "nodes", frontier.filter(F.col("pos") < n)
@@ -422,7 +442,8 @@ class Run:
         hits = reach.join(seeds.select("id"), "id", "left_anti").join(pool.select("id"), "id", "left_semi")
         factor = F.col("acc") if spec.edge_weight is not None and not spec.edge_weight.nothing() else F.lit(1.0)
         if spec.hub_damping:
-            hubs = degrees(self.graph.edges, "both").select(F.col("node").alias("id"), "degree")
+            hits = cut(hits)
+            hubs = from_frontier(incident(self.graph.edges, "both"), hits).groupBy(F.col("node").alias("id")).agg(F.countDistinct("edge_id").alias("degree"))
             hits = hits.join(hubs, "id", "left")
             factor = factor / (1 + spec.hub_damping * F.log1p(F.coalesce("degree", F.lit(0)).cast("double")))
         return hits.groupBy("id").agg(F.sum(factor).alias("near"))
@@ -455,11 +476,11 @@ def fused(query: NodeQuery, spec: Rrf, k: int) -> DataFrame:
     if query.kind != "nodes":
         raise PlanError("fusion needs a plan that ends on nodes")
     run = Run(query)
-    seeds = run.run(query.steps[:1])[1].persist()
+    seeds = cut(run.run(query.steps[:1])[1])
     pool = run.run(query.steps)[1]
     if spec.pool:
         pool = pool.filter(F.col("pos") < spec.pool)
-    pool = pool.persist()
+    pool = cut(pool)
     target = query.steps[0].args["query"]
     scored = run.fetched(pool, "skip").select("id", distance(F.col("embedding"), vector(target), run.metric).alias("score"))
     near = in_order(scored, "r0", F.isnan("score"), "score", "id").select("id", (F.col("r0") + 1).alias("r1"))
