@@ -20,7 +20,7 @@ from quillon.functions.predicates import Predicate, compiled
 from quillon.functions.weights import Temporal, Weight, cost, effective_weight, valid
 from quillon.lineage import cut, in_order
 from quillon.operators import vmath
-from quillon.operators.graph import Graph, as_edge_rows, direction_of, incident, neighbours, no_structure, with_degrees
+from quillon.operators.graph import Graph, as_edge_rows, direction_of, incident, neighbours, no_structure, node_edges, with_degrees
 from quillon.operators.knn import search
 
 RRF_K = 60.0
@@ -443,7 +443,7 @@ class Run:
         factor = F.col("acc") if spec.edge_weight is not None and not spec.edge_weight.nothing() else F.lit(1.0)
         if spec.hub_damping:
             hits = cut(hits)
-            hubs = from_frontier(incident(self.graph.edges, "both"), hits).groupBy(F.col("node").alias("id")).agg(F.countDistinct("edge_id").alias("degree"))
+            hubs = from_frontier(node_edges(self.graph.edges, "both"), hits).groupBy(F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
             hits = hits.join(hubs, "id", "left")
             factor = factor / (1 + spec.hub_damping * F.log1p(F.coalesce("degree", F.lit(0)).cast("double")))
         return hits.groupBy("id").agg(F.sum(factor).alias("near"))

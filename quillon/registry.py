@@ -75,6 +75,16 @@ def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).join(part, "id", "left")
 
 
+#: Bytes of a table's files whose rows a task joins or groups.
+TASK_BYTES = 4 << 20
+
+
+def tasks_for(df: DataFrame) -> int:
+    """How many tasks take a table that is read from files, so that what one holds doesn't grow with the table."""
+    n = -(-int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // TASK_BYTES)
+    return n if n <= 1 else max(n, df.sparkSession.sparkContext.defaultParallelism)
+
+
 def property_graph(spark: SparkSession, sf_dir: str) -> Graph:
     t = lambda name: table(spark, sf_dir, name)
     content = lambda df, key, name, num, tag: df.select((F.col(key) + 1).alias("id"), F.lit("content").alias("kind"), F.to_json(F.struct(F.col(name).alias("name"), F.col(num).cast("double").alias("num"), F.col(tag).alias("tag"))).alias("properties"))
@@ -90,13 +100,14 @@ def property_graph(spark: SparkSession, sf_dir: str) -> Graph:
     for p in parts[1:]:
         nodes = nodes.unionByName(graph.shaped(p, graph.NODES))
     ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
-    sold = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    bought = sold.groupBy("o_custkey", "l_partkey").agg(
+    n = tasks_for(t("lineitem"))
+    sold = t("orders").repartition(n, "o_orderkey").join(t("lineitem").repartition(n, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    bought = sold.repartition(n, "o_custkey", "l_partkey").groupBy("o_custkey", "l_partkey").agg(
         (1 - F.min("l_discount")).alias("confidence"), F.max("l_quantity").alias("qty"), F.min(ms("o_orderdate")).alias("created_at"), F.min(ms("l_shipdate")).alias("valid_from"), (F.max(ms("l_shipdate")) + 86_400_000).alias("valid_until"), F.min("l_returnflag").alias("temporal_context")
     )
     qty = F.to_json(F.struct("qty")).alias("properties")
     bought = bought.select((F.col("o_custkey") * 10_000_000 + F.col("l_partkey")).alias("id"), (F.col("o_custkey") + 10_000_000).alias("source"), (F.col("l_partkey") + 1).alias("target"), F.lit("BOUGHT").alias("edge_type"), qty, "confidence", "created_at", "valid_from", "valid_until", "temporal_context")
-    supplied = t("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max("l_quantity").alias("qty"), F.min(ms("l_shipdate")).alias("created_at"))
+    supplied = t("lineitem").repartition(n, "l_partkey", "l_suppkey").groupBy("l_partkey", "l_suppkey").agg(F.max("l_quantity").alias("qty"), F.min(ms("l_shipdate")).alias("created_at"))
     supplied = supplied.select((F.col("l_partkey") * 1_000_000 + F.col("l_suppkey") + 5_000_000_000_000_000).alias("id"), (F.col("l_partkey") + 1).alias("source"), (F.col("l_suppkey") + 20_000_000).alias("target"), F.lit("SUPPLIED_BY").alias("edge_type"), qty, F.lit(1.0).alias("confidence"), "created_at")
     place = lambda df, key, base, own, to, other, kind: df.select((F.col(key) + base).cast("long").alias("id"), (F.col(key) + own).cast("long").alias("source"), (F.col(to) + other).cast("long").alias("target"), F.lit(kind).alias("edge_type"), F.lit("{}").alias("properties"), F.lit(1.0).alias("confidence"), F.lit(0).alias("created_at"))
     edges = graph.shaped(bought, graph.EDGES)
